@@ -60,3 +60,34 @@ def fold(name: str, remainder: int, of: int, column: str = "doc_id") -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows of a few numbers that may be broadcast; beyond them a join shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def hinted(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """`df` with a broadcast hint if it has at most `limit` rows."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
+def connected_components(links: DataFrame, rounds: int = 50) -> DataFrame:
+    """id, component (the least id reached) of every id in `links` (a, b).
+
+    Alternates large-star and small-star steps, each a minimum by node and a
+    join back, so that no node's neighbours meet in one place.
+    """
+    edges = materialize(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    mark = None
+    for _ in range(rounds):
+        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = materialize(both.filter("v > u").join(least, "u").filter("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct(), "large-star")
+        least = large.groupBy("b").agg(F.min("a").alias("m"))
+        small = large.join(least, "b").select(F.col("m"), F.explode(F.array("a", "b")).alias("v")).filter("v <> m")
+        edges = materialize(small.select(F.col("m").alias("a"), F.col("v").alias("b")).distinct(), "small-star")
+        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        if mark == tuple(now):
+            return edges.select(F.col("b").alias("id"), F.col("a").alias("component")).unionByName(edges.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())
+        mark = tuple(now)
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
