@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm import decontaminate, jaccard_join, language_id, lm_score, quality, substring_dedup, token_blocks
+from kgloom.llm import decontaminate, jaccard_join, language_id, license_scan, lm_score, quality, simhash, substring_dedup, token_blocks
 from kgloom.llm.common import fold, table
 
 #: A text is kept from this score on.
 QUALITY_THRESHOLD = 0.3
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.edited_fingerprints(table(spark, sf_dir, "documents"))
+    shown = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+    return rows.select("doc_id", "n_chars", "edited_sha256", shown("f").alias("fingerprint"), shown("g").alias("edited_fingerprint"), simhash.likeness(F.col("f"), F.col("g")).alias("near_edited"), simhash.likeness(F.col("f"), F.col("next_f")).alias("near_next"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
@@ -33,6 +39,13 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    places = F.col("base")["first"]
+    joined = lambda x: F.array_join(F.array_sort(F.array_distinct(x)), ",")
+    return rows.select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(places).alias("first_word"), F.array_max(places).alias("last_word"), joined(F.col("base")["label"]).alias("base_labels"), joined(F.concat(F.col("base")["label"], F.col("detections")["label"])).alias("labels"), "score")
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
 
@@ -89,5 +102,5 @@ def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op4_jaccard_join, op5_quality, op6_substring_dedup, op8_lm_score, op9_language_id, op10_token_blocks)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_license_scan, op4_jaccard_join, op5_quality, op6_substring_dedup, op8_lm_score, op9_language_id, op10_token_blocks)}
 ORACLES: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op4_jaccard_join": OP4_SQL, "op6_substring_dedup": OP6_SQL}
