@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm import decontaminate, jaccard_join, language_id, license_scan, lm_score, quality, simhash, substring_dedup, token_blocks
+from kgloom.llm import decontaminate, jaccard_join, language_id, license_scan, lm_score, mixing, quality, simhash, substring_dedup, token_blocks
 from kgloom.llm.common import fold, table
 
 #: A text is kept from this score on.
@@ -84,6 +84,16 @@ FROM d LEFT JOIN gone USING (doc_id)
 """
 
 
+#: Shares of the mix by domain.
+MIX = {"good": 0.95, "low": 0.045, "toxic": 0.005}
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, the posteriors p_good, p_low, p_toxic, and the rate that brings the whole table's tokens to MIX."""
+    rows = mixing.mixing_rates(table(spark, sf_dir, "documents"), mixing.quality_domains(table(spark, sf_dir, "labels")), MIX)
+    return rows.select("doc_id", "n_tokens", *(F.get("posteriors", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(sorted(MIX))), "rate")
+
+
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", fold("held_out", 2, 7))
     return lm_score.score_texts(docs, "NOT held_out", keep=("doc_id", "held_out"))
@@ -102,5 +112,5 @@ def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_license_scan, op4_jaccard_join, op5_quality, op6_substring_dedup, op8_lm_score, op9_language_id, op10_token_blocks)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_license_scan, op4_jaccard_join, op5_quality, op6_substring_dedup, op7_mixing, op8_lm_score, op9_language_id, op10_token_blocks)}
 ORACLES: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op4_jaccard_join": OP4_SQL, "op6_substring_dedup": OP6_SQL}
