@@ -12,12 +12,16 @@ not each other.
 
 Documents with equal sets are one class. In a bucket each document is compared
 with its leader first; what links is one component, and only pairs of different
-components that still share a bucket are compared after that, so that a large
-group of near copies does not give all its pairs. No candidate is dropped.
+components that still share a bucket are looked at after that, so that a large
+group of near copies does not give all its pairs. Their number c of shared prefix
+tokens bounds the overlap by c + max(n_a - prefix_a, n_b - prefix_b); those that can
+still reach the similarity are verified. No candidate is dropped.
 
+A task sends each bucket one document, the leader of those it has itself.
 Which tokens are frequent only decides their order. They come from counts of all
 tokens, in 24 bits of the hash besides the bucket: the FREQUENT most frequent, if
-they occur in at least LEAST documents.
+they occur in at least LEAST documents. Buckets also have 24 bits besides
+their number; a collision only adds a candidate.
 
 Defined cases: a text without words, or null, has an empty set and is linked
 with nothing; with fewer words than a shingle the whole sequence is one; a null
@@ -31,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgloom.llm.common import connected_components, hinted, materialize, shuffle_partitions
@@ -40,11 +44,9 @@ from kgloom.llm.words import BY_SPACE, Words, grams, mix, word_slices
 SHINGLE, PERCENT = 5, 75
 FREQUENT, LEAST = 200_000, 8
 COMBINED = 12
-#: Members of a frequent token that share a leader.
-GROUP = 4096
 _U = np.uint64
 _SHORT = _U(0x5851F42D4C957F2D)
-_EXACT, _LIGHT, _DENSE = 0, 1, 2
+_RARE, _LIGHT, _DENSE, _PAIR = range(4)
 
 
 def shingle_sets(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -107,49 +109,116 @@ def frequent_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     return slot[order], n[order], buckets
 
 
-def _prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray, int]) -> DataFrame:
-    """doc_id, n, sig (two longs that equal sets share), keys with their kind and number of subgroups."""
+def _signatures(docs: DataFrame) -> DataFrame:
+    """doc_id, n (set size) and two longs that equal sets share, of each row."""
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, words in word_slices(batch, BY_SPACE, lower=True):
+                token, first = shingle_sets(words)
+                size = np.diff(first)
+                sums = [np.add.reduceat(np.append(mix(token ^ _U(s)), _U(0)), first[:-1]) * (size > 0).astype(_U) for s in (0x1234567, 0x89ABCDEF01)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(size, pa.int64()), *(pa.array(s.view(np.int64)) for s in sums)], names=["doc_id", "n", "sig_a", "sig_b"])
+
+    return docs.select("doc_id", "text").mapInArrow(signed, "doc_id bigint, n bigint, sig_a bigint, sig_b bigint")
+
+
+def _prefix(own: np.ndarray, df: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys under which a document is indexed, and their kinds."""
+    n = len(own)
+    wide = min(n, n - -(-PERCENT * n // 100) + 2)
+    rare = own[df == 0][:wide]
+    if len(rare) == wide:
+        return rare, np.full(wide, _RARE, np.uint8)
+    often, f = own[df > 0], df[df > 0]
+    often = often[np.lexsort((often, f))[: wide - len(rare)]]
+    dense = len(often) > COMBINED
+    x, y = np.triu_indices(0 if dense else len(often), 1)
+    pairs = mix(np.minimum(often[x], often[y]) * _U(0x9E3779B97F4A7C15) + np.maximum(often[x], often[y]))
+    kinds = np.repeat(np.array([_RARE, _DENSE if dense else _LIGHT, _PAIR], np.uint8), [len(rare), len(often), len(pairs)])
+    return np.concatenate((rare, mix(often + _U(7)), pairs)), kinds
+
+
+_MET = "bucket int, slot bigint, kind int, doc_id bigint, leader bigint, blob binary"
+_MET_ARROW = pa.schema([("bucket", pa.int32()), ("slot", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("leader", pa.int64()), ("blob", pa.binary())])
+
+
+def _grouped(slot: np.ndarray, kind: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by slot with leaders first, each one's leader (the first of its slot; -1 if that is light), and the slot's size."""
+    order = np.lexsort((doc, kind == _LIGHT, slot))
+    fresh = np.concatenate(([True], slot[order][1:] != slot[order][:-1]))
+    begins = np.flatnonzero(fresh)
+    of = np.cumsum(fresh) - 1
+    first = order[begins][of]
+    return order, np.where(kind[first] == _LIGHT, -1, first), np.diff(np.append(begins, len(order)))[of]
+
+
+def _met(slot: np.ndarray, kind: np.ndarray, doc: np.ndarray, leader: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """leader: row of each one's leader, or -1."""
+    for k in range(0, len(slot), 100_000):
+        at = slice(k, k + 100_000)
+        n = len(slot[at])
+        heads = pa.array(np.where(leader[at] < 0, 0, leader[at]), mask=leader[at] < 0)
+        yield pa.RecordBatch.from_arrays([pa.array((slot[at] >> 24).astype(np.int32)), pa.array(slot[at]), pa.array(kind[at].astype(np.int32)), pa.array(doc[at]), heads, pa.nulls(n, pa.binary())], schema=_MET_ARROW)
+
+
+def _meetings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray, int]) -> DataFrame:
+    """slot, kind, doc_id, leader: documents that share a bucket with others; leader is null where only light ones meet."""
     slots, counts, buckets = frequent
+    parts = shuffle_partitions(docs.sparkSession)
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids = batch.column("doc_id").to_numpy()
             for i, j, words in word_slices(batch, BY_SPACE, lower=True):
                 token, first = shingle_sets(words)
-                size = np.diff(first)
                 bucket, low = _slot(token, buckets)
                 slot = (bucket << _U(24) | low).astype(np.int64)
                 at = np.minimum(np.searchsorted(slots, slot), max(0, len(slots) - 1))
                 df = np.where(slots[at] == slot, counts[at], 0) if len(slots) else np.zeros(len(slot), np.int64)
-                sums = [np.add.reduceat(np.append(mix(token ^ _U(s)), _U(0)), first[:-1]) * (size > 0).astype(_U) for s in (0x1234567, 0x89ABCDEF01)]
-                keys, kinds, spans, lengths = [], [], [], []
-                for d in range(j - i):
-                    own, f = token[first[d] : first[d + 1]], df[first[d] : first[d + 1]]
-                    n = len(own)
-                    wide = min(n, n - -(-PERCENT * n // 100) + 2)
-                    rare = own[f == 0][:wide] if n else own
-                    k, kind, span = [rare], [np.zeros(len(rare), np.int8)], [np.ones(len(rare), np.int32)]
-                    if len(rare) < wide:
-                        often, fo = own[f > 0], f[f > 0]
-                        order = np.lexsort((often, fo))[: wide - len(rare)]
-                        often, fo = often[order], fo[order]
-                        dense = len(often) > COMBINED
-                        if not dense:
-                            x, y = np.triu_indices(len(often), 1)
-                            k.append(mix(np.minimum(often[x], often[y]) * _U(0x9E3779B97F4A7C15) + np.maximum(often[x], often[y])))
-                            kind.append(np.zeros(len(x), np.int8))
-                            span.append(np.ones(len(x), np.int32))
-                        k.append(mix(often + _U(7)))
-                        kind.append(np.full(len(often), _DENSE if dense else _LIGHT, np.int8))
-                        span.append((fo // GROUP + 1).astype(np.int32))
-                    keys += k
-                    kinds += kind
-                    spans += span
-                    lengths.append(sum(map(len, k)))
-                ends = pa.array(np.cumsum([0, *lengths]), pa.int32())
-                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x) if x else np.empty(0), t)) for x, t in ((list(map(lambda k: k.view(np.int64), keys)), pa.int64()), (kinds, pa.int8()), (spans, pa.int32()))]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(size, pa.int64()), *(pa.array(s.view(np.int64)) for s in sums), *lists], names=["doc_id", "n", "sig_a", "sig_b", "keys", "kinds", "spans"])
-
-    return docs.select("doc_id", "text").mapInArrow(indexed, "doc_id bigint, n bigint, sig_a bigint, sig_b bigint, keys array<bigint>, kinds array<tinyint>, spans array<int>")
+                found = [_prefix(token[a:b], df[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+                doc = np.repeat(ids[i:j], [len(k) for k, _ in found])
+                bucket, low = _slot(mix(np.concatenate([k for k, _ in found])), buckets)
+                slot, kind = (bucket << _U(24) | low).astype(np.int64), np.concatenate([k for _, k in found])
+                if not len(slot):
+                    continue
+                order, leader, size = _grouped(slot, kind, doc)
+                slot, kind, by = slot[order], kind[order], doc[order]
+                here = (size > 1) | (kind == _LIGHT) | (kind == _DENSE)
+                yield from _met(slot[here], kind[here], by[here], np.where(leader[here] < 0, -1, doc[leader[here]]))
+                sent = np.flatnonzero(leader == order)
+                slot, kind, by = slot[sent], kind[sent], by[sent]
+                cuts = np.flatnonzero(np.concatenate(([True], slot[1:] >> 24 != slot[:-1] >> 24, [True]))) if len(slot) else np.zeros(1, np.int64)
+                low3 = (slot & 0xFFFFFF).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+                blobs = [b"".join((np.array([b - a], "<u4").tobytes(), by[a:b].astype("<i8").tobytes(), low3[a:b].tobytes(), kind[a:b].tobytes())) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                n = len(blobs)
+                yield pa.RecordBatch.from_arrays([pa.array((slot[cuts[:-1]] >> 24).astype(np.int32)), *(pa.nulls(n, t) for t in _MET_ARROW.types[1:5]), pa.array(blobs, pa.binary())], schema=_MET_ARROW)
+
+    def led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: list[tuple[int, bytes]] = []
+        for batch in batches:
+            yield batch.filter(batch.column("blob").is_null())
+            sent = batch.filter(batch.column("blob").is_valid())
+            got += zip(sent.column("bucket").to_pylist(), sent.column("blob").to_pylist(), strict=True)
+        if not got:
+            return
+        docs_, lows, kinds, sizes = [], [], [], []
+        for _, blob in got:
+            n = int(np.frombuffer(blob, "<u4", 1)[0])
+            docs_.append(np.frombuffer(blob, "<i8", n, 4))
+            lows.append(np.frombuffer(blob, np.uint8, 3 * n, 4 + 8 * n).reshape(n, 3))
+            kinds.append(np.frombuffer(blob, np.uint8, n, 4 + 11 * n))
+            sizes.append(n)
+        wide = np.zeros((sum(sizes), 4), np.uint8)
+        wide[:, :3] = np.concatenate(lows)
+        slot = np.repeat(np.array([b for b, _ in got], np.int64), sizes) << 24 | wide.view("<u4")[:, 0]
+        doc, kind = np.concatenate(docs_), np.concatenate(kinds)
+        order, leader, size = _grouped(slot, kind, doc)
+        some = size > 1
+        yield from _met(slot[order][some], kind[order][some], doc[order][some], doc[leader[some]])
+
+    rows = docs.select("doc_id", "text").mapInArrow(indexed, _MET).repartition(parts, "bucket").mapInArrow(led, _MET)
+    return rows.select("slot", "kind", "doc_id", "leader")
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -172,46 +241,53 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", shared.alias("o"), (F.size("t_a") + F.size("t_b")).alias("s")).filter(F.expr(f"100L * o >= {PERCENT}L * (s - o)")).select("a", "b")
 
 
-def _near_size(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs whose set sizes allow the similarity."""
+def _width(n: Column) -> Column:
+    return F.least(n, n - F.ceil(n * PERCENT / F.lit(100)) + 2)
+
+
+def _able(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs (a, b, c) whose sizes, and c shared tokens of the prefixes, allow the similarity."""
     x, y = (sizes.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
     both = pairs.join(x, "a").join(y, "b")
-    return both.filter(F.expr(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")).select("a", "b")
+    most = F.col("c") + F.greatest(F.col("n_a") - _width(F.col("n_a")), F.col("n_b") - _width(F.col("n_b")))
+    least = (F.col("n_a") + F.col("n_b")) * PERCENT / F.lit(100 + PERCENT)
+    return both.filter((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT) & (most >= least)).select("a", "b")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    pairs = materialize(pairs, f"{name}-pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = materialize(_sets(docs, ids).dropDuplicates(["doc_id"]), f"{name}-sets")
+    return materialize(_linked(pairs, sets), f"{name}-links")
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reached by links) of each row."""
-    index = materialize(_prefixes(docs, frequent_tokens(docs)), "prefixes")
+    index = materialize(_signatures(docs), "signatures")
     classes = index.filter("n > 0 AND doc_id IS NOT NULL").groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"))
     several = materialize(classes.filter("members > 1"), "classes")
     copies = index.select("doc_id", "sig_a", "sig_b").join(hinted(several), ["sig_a", "sig_b"]).filter("doc_id <> rep").select("doc_id", "rep")
     copies = materialize(copies.distinct(), "copies")
 
-    alone = index.filter("n > 1 AND doc_id IS NOT NULL").join(hinted(copies.select("doc_id")), "doc_id", "left_anti")
-    postings = alone.select("doc_id", "n", F.explode(F.arrays_zip("keys", "kinds", "spans")).alias("p")).select("doc_id", "n", F.col("p.keys").alias("key"), F.col("p.kinds").alias("kind"), F.col("p.spans").alias("span"))
-    postings = postings.withColumn("part", F.when(F.col("span") > 1, F.pmod(F.xxhash64("doc_id"), F.col("span"))).otherwise(0).cast("int"))
-    group = Window.partitionBy("key", "part")
-    leading = F.min(F.when(F.col("kind") != _LIGHT, F.col("doc_id"))).over(group)
-    met = postings.withColumns({"leader": leading, "members": F.count("*").over(group)}).filter("members > 1 OR span > 1")
-    met = materialize(met.select("key", "kind", "doc_id", "n", "leader"), "postings")
-
-    leaders = met.filter("leader IS NOT NULL").select("key", "leader").distinct()
-    over = leaders.groupBy("key").agg(F.min("leader").alias("a")).join(leaders, "key").filter("a <> leader").select("a", F.col("leader").alias("b"))
-    own = met.filter("leader IS NOT NULL AND leader <> doc_id").groupBy("doc_id", "leader").agg(F.count("*").alias("c"))
-    own = own.groupBy("doc_id").agg(F.max_by("leader", F.struct("c", -F.col("leader"))).alias("a")).select("a", F.col("doc_id").alias("b"))
-    sizes = met.select("doc_id", "n").dropDuplicates(["doc_id"])
-    sizes = materialize(sizes, "sizes")
-    sets = materialize(_sets(docs, sizes.select("doc_id")).dropDuplicates(["doc_id"]), "sets")
-    star = materialize(_linked(_near_size(own.unionByName(over).distinct(), sizes), sets), "links")
+    alone = docs.filter("doc_id IS NOT NULL").join(hinted(copies.select("doc_id")), "doc_id", "left_anti")
+    met = materialize(_meetings(alone, frequent_tokens(docs)), "meetings")
+    sizes = index.groupBy("doc_id").agg(F.max("n").alias("n"))
+
+    own = met.filter("leader <> doc_id").groupBy("doc_id", "leader").agg(F.count("*").alias("c"))
+    own = own.groupBy("doc_id").agg(F.max_by(F.struct("leader", "c"), F.struct("c", -F.col("leader"))).alias("best"))
+    star = _verified(_able(own.select(F.col("best.leader").alias("a"), F.col("doc_id").alias("b"), F.col("best.c").alias("c")), sizes), docs, "star")
 
     found = connected_components(star)
-    placed = met.select("key", "kind", "doc_id").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    placed = met.select("slot", "kind", "doc_id").distinct().join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     placed = materialize(placed, "placed")
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("kind").alias("k"), F.min("kind").alias("l")).filter(f"x < y AND NOT (k = {_LIGHT} AND l = {_LIGHT})").select("key")
-    still = materialize(placed.join(open_keys, "key", "left_semi"), "open")
-    left, right = (still.select("key", F.col("doc_id").alias(c), F.col("kind").alias(f"k_{c}"), F.col("component").alias(f"c_{c}")) for c in "ab")
-    pairs = left.join(right, "key").filter(f"c_a < c_b AND NOT (k_a = {_LIGHT} AND k_b = {_LIGHT})").select("a", "b").distinct()
-    rest = materialize(_linked(_near_size(pairs, sizes), sets), "links")
+    open_slots = placed.groupBy("slot").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count_if(F.col("kind") != _LIGHT).alias("k")).filter("x < y AND k > 0").select("slot")
+    still = materialize(placed.join(open_slots, "slot", "left_semi"), "open")
+    left, right = (still.select("slot", F.col("doc_id").alias(c), F.col("kind").alias(f"k_{c}"), F.col("component").alias(f"c_{c}")) for c in "ab")
+    # light ones do not meet at a single frequent token; their combinations stand for up to COMBINED of them
+    both = left.join(right, "slot").filter(f"c_a < c_b AND NOT (k_a = {_LIGHT} AND k_b = {_LIGHT})")
+    shared = both.groupBy("a", "b").agg((F.count_if((F.col("k_a") != _PAIR) | (F.col("k_b") != _PAIR)) + F.lit(COMBINED) * F.max(((F.col("k_a") == _PAIR) & (F.col("k_b") == _PAIR)).cast("int"))).alias("c"))
+    lone = F.col("c") + 2  # a light pair may share one frequent token without a combination; two tokens may share a slot
+    rest = _verified(_able(shared.withColumn("c", lone), sizes), docs, "rest")
 
     found = connected_components(star.unionByName(rest)).withColumnRenamed("component", "of")
     rows = index.select("doc_id", "n").join(copies, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
