@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes that are worked on at once; a longer document is worked on alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _BASE, _STEP = 0x9E3779B97F4A7C55, 0xD6E8FEB86659FD93
 _U = np.uint64
