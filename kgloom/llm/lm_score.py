@@ -36,6 +36,7 @@ _U = np.uint64
 _END, _PAIR = _U(0x51ED270B8A2C3F15), _U(0xC2B2AE3D27D4EB4F)
 _WORDS, _PAIRS, _STATS = 0, 1, 2
 _ROWS = "kind int, bucket int, shard int, blob binary, n bigint, v bigint"
+_ASKED = "bucket int, kinds array<int>, shards array<int>, blobs array<binary>"
 _ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("shard", pa.int32()), ("blob", pa.binary()), ("n", pa.int64()), ("v", pa.int64())])
 
 
@@ -107,6 +108,7 @@ def _ask(buckets: int):
                     for kind, keys, at in ((_WORDS, tokens, doc), (_PAIRS, pairs, doc[second])):
                         own = shards[at] == shard
                         got.setdefault((kind, shard), []).append(_counted(keys[own], train[at[own]]))
+            sent: dict[int, list[tuple[int, int, bytes]]] = {}
             for (kind, shard), parts in got.items():
                 keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
                 if len(parts) > 1:
@@ -115,9 +117,10 @@ def _ask(buckets: int):
                 order = np.argsort(bucket, kind="stable")
                 keys, counts, bucket = keys[order], counts[order], bucket[order]
                 cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(keys) else np.zeros(1, np.int64)
-                for k in range(0, len(cuts) - 1, 4096):
-                    part = cuts[k : k + 4097]
-                    yield _batch([(kind, int(bucket[a]), shard, _pack(kind, keys[a:b], counts[a:b]), None, None) for a, b in zip(part[:-1].tolist(), part[1:].tolist(), strict=True)])
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    sent.setdefault(int(bucket[a]), []).append((kind, shard, _pack(kind, keys[a:b], counts[a:b])))
+            columns = [list(sent), *([[row[i] for row in rows] for rows in sent.values()] for i in range(3))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.binary())), strict=True)], names=["bucket", "kinds", "shards", "blobs"])
 
     return asked
 
@@ -126,8 +129,9 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Total counts that differ from a shard's own, for the shards that asked, and the number of training tokens and distinct ones."""
     asked: dict[tuple[int, int], list[tuple[int, bytes]]] = {}
     for batch in batches:
-        for kind, bucket, shard, blob in zip(*(batch.column(c).to_pylist() for c in ("kind", "bucket", "shard", "blob")), strict=True):
-            asked.setdefault((kind, bucket), []).append((shard, blob))
+        for bucket, *listed in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kinds", "shards", "blobs")), strict=True):
+            for kind, shard, blob in zip(*listed, strict=True):
+                asked.setdefault((kind, bucket), []).append((shard, blob))
     n = v = 0
     replies: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
     for (kind, _), rows in asked.items():
@@ -173,7 +177,7 @@ def score_texts(docs: DataFrame, train: str, keep: tuple[str, ...] = ("doc_id",)
     parts = shuffle_partitions(spark)
     splits = id_splits(docs, 2 * parts)
     rows = docs.select(*dict.fromkeys((*keep, "text")), id_range(splits).cast("int").alias("shard"), F.coalesce(F.expr(train), F.lit(True)).alias("train"))
-    asked = rows.select("shard", "train", "text").mapInArrow(_ask(16 * parts), _ROWS)
+    asked = rows.select("shard", "train", "text").mapInArrow(_ask(3 * parts), _ASKED)
     answers = materialize(asked.repartition(parts, "bucket").mapInArrow(_answer, _ROWS), "lm-counts")
     stats = answers.filter(F.col("kind") == _STATS).agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = stats["n"] or 0, stats["v"] or 0
