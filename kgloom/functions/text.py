@@ -24,7 +24,7 @@ def tokens(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Trimmed sentences, cut after a full stop, exclamation or question mark (ASCII full stops do not cut) and at line ends."""
     parts = F.split(text, r"(?<=[。！？!?])\s*|\n+")
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def mentioned(text: Column, name: Column) -> Column:
