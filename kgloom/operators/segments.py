@@ -62,3 +62,30 @@ def greedy_windows(rows: DataFrame, width: float) -> DataFrame:
         return F.when(fits, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(fresh)))
 
     return listed.select("doc", F.inline(F.aggregate("s", empty, step)))
+
+
+def best_apart(clips: DataFrame, most: int, shortest: float = 1.0) -> DataFrame:
+    """Of (doc, start, end, score) up to `most` clips a document, by falling score and then start, none overlapping a better one or shorter than `shortest`; one fold a document."""
+    listed = clips.filter(F.col("end") - F.col("start") >= shortest).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("back"), "start", "end"))).alias("s"))
+    empty = F.array().cast("array<struct<back:double,start:double,end:double>>")
+
+    def step(acc, x):
+        apart = ~F.exists(acc, lambda c: (c["start"] < x["end"]) & (c["end"] > x["start"]))
+        return F.when((F.size(acc) < most) & apart, F.concat(acc, F.array(x))).otherwise(acc)
+
+    return listed.select("doc", F.inline(F.aggregate("s", empty, step))).select("doc", "start", "end", (-F.col("back")).alias("score"))
+
+
+def batches(cues: DataFrame, most: int = 12, chars: int = 1600) -> DataFrame:
+    """Cues (doc, start, end, text) with `batch`, from 0: a cue opens a batch when the last one has `most` cues, or would hold over `chars` characters."""
+    listed = cues.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "end", "text"))).alias("s"))
+    start = F.struct(F.lit(-1).alias("b"), F.lit(most).alias("n"), F.lit(0).alias("c"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc, x):
+        size = F.char_length(x["text"])
+        opens = (acc["n"] >= most) | (acc["c"] + size > chars)
+        b = acc["b"] + opens.cast("int")
+        return F.struct(b.alias("b"), F.when(opens, 1).otherwise(acc["n"] + 1).alias("n"), F.when(opens, size).otherwise(acc["c"] + size).alias("c"), F.concat(acc["out"], F.array(b)).alias("out"))
+
+    both = listed.select("doc", F.inline(F.arrays_zip("s", F.aggregate("s", start, step)["out"].alias("batch"))))
+    return both.select("doc", "s.start", "s.end", "s.text", "batch")
