@@ -249,13 +249,23 @@ def _width(n: Column) -> Column:
     return F.least(n, n - F.ceil(n * PERCENT / F.lit(100)) + 2)
 
 
-def _able(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs (a, b, c) whose sizes, and c shared tokens of the prefixes, allow the similarity."""
+def _alike(n_a: Column, n_b: Column) -> Column:
+    """Whether sets of these sizes can reach the similarity."""
+    return F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * PERCENT
+
+
+def _able(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b, c, n_a, n_b) whose sizes, and c shared tokens of the prefixes, allow the similarity."""
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    most = F.col("c") + F.greatest(n_a - _width(n_a), n_b - _width(n_b))
+    least = (n_a + n_b) * PERCENT / F.lit(100 + PERCENT)
+    return pairs.filter(_alike(n_a, n_b) & (most >= least)).select("a", "b")
+
+
+def _sized(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """`pairs` with n_a and n_b."""
     x, y = (sizes.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
-    both = pairs.join(x, "a").join(y, "b")
-    most = F.col("c") + F.greatest(F.col("n_a") - _width(F.col("n_a")), F.col("n_b") - _width(F.col("n_b")))
-    least = (F.col("n_a") + F.col("n_b")) * PERCENT / F.lit(100 + PERCENT)
-    return both.filter((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT) & (most >= least)).select("a", "b")
+    return pairs.join(x, "a").join(y, "b")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
@@ -283,19 +293,20 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     first = own.select(F.col("best.leader").alias("a"), F.col("doc_id").alias("b"), (F.col("best.c") * 3 + 10).alias("c"))
     first = materialize(first, "leaders")
     over = first.join(first.select(F.col("b").alias("a"), F.col("a").alias("above")), "a").filter("above <> b").select(F.col("above").alias("a"), "b", "c")
-    star = _verified(_able(first.unionByName(over).dropDuplicates(["a", "b"]), sizes), docs, "star")
+    star = _verified(_able(_sized(first.unionByName(over).dropDuplicates(["a", "b"]), sizes)), docs, "star")
 
     found = connected_components(star)
     placed = met.select("slot", "kind", "doc_id").distinct().join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    placed = placed.join(sizes, "doc_id")  # sizes go with the slots, so that pairs need no join to be judged
     placed = materialize(placed, "placed")
     open_slots = placed.groupBy("slot").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count_if(F.col("kind") != _LIGHT).alias("k")).filter("x < y AND k > 0").select("slot")
     still = materialize(placed.join(open_slots, "slot", "left_semi"), "open")
-    left, right = (still.select("slot", F.col("doc_id").alias(c), F.col("kind").alias(f"k_{c}"), F.col("component").alias(f"c_{c}")) for c in "ab")
+    left, right = (still.select("slot", F.col("doc_id").alias(c), F.col("kind").alias(f"k_{c}"), F.col("component").alias(f"c_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
     # light ones do not meet at a single frequent token; their combinations stand for up to COMBINED of them
-    both = left.join(right, "slot").filter(f"c_a < c_b AND NOT (k_a = {_LIGHT} AND k_b = {_LIGHT})")
-    shared = both.groupBy("a", "b").agg((F.count_if((F.col("k_a") != _PAIR) | (F.col("k_b") != _PAIR)) + F.lit(COMBINED) * F.max(((F.col("k_a") == _PAIR) & (F.col("k_b") == _PAIR)).cast("int"))).alias("c"))
+    both = left.join(right, "slot").filter(F.expr(f"c_a < c_b AND NOT (k_a = {_LIGHT} AND k_b = {_LIGHT})") & _alike(F.col("n_a"), F.col("n_b")))
+    shared = both.groupBy("a", "b").agg((F.count_if((F.col("k_a") != _PAIR) | (F.col("k_b") != _PAIR)) + F.lit(COMBINED) * F.max(((F.col("k_a") == _PAIR) & (F.col("k_b") == _PAIR)).cast("int"))).alias("c"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
     lone = F.col("c") + 2  # a light pair may share one frequent token without a combination; two tokens may share a slot
-    rest = _verified(_able(shared.withColumn("c", lone), sizes), docs, "rest")
+    rest = _verified(_able(shared.withColumn("c", lone)), docs, "rest")
 
     found = connected_components(star.unionByName(rest)).withColumnRenamed("component", "of")
     rows = index.select("doc_id", "n").join(copies, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
