@@ -21,6 +21,7 @@ ordered by text, then kept each; a null doc_id sorts first; other columns are ig
 from __future__ import annotations
 
 import json
+import os
 import struct
 import uuid
 import zlib
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +41,7 @@ BLOCK = 256
 PERCENTILE = 0.9
 #: A segment is closed at so many ids.
 SEGMENT_IDS = 1 << 20
-#: Words whose ids a worker keeps; when full it starts anew.
+#: Words whose ids a worker keeps; when full it drops those met once.
 CACHE_WORDS = 1 << 20
 _MAGIC = b"PFB1"
 
@@ -131,6 +133,7 @@ class _Encoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker on each core
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
@@ -138,49 +141,81 @@ class _Encoder:
         #: By id: whether the token begins with a space, as the first of each space-led word does.
         self.leads = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.leads[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
-        self.heads: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _room(self, cache: dict[str, bytes], found: set[str]) -> list[str]:
-        new = found - cache.keys()
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = found
-        return list(new)
-
-    def _fill_heads(self, found: set[str]) -> None:
-        new = self._room(self.heads, found)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.heads[w] = np.array(e.ids, "<u4").tobytes()
-
-    def _fill_words(self, found: set[str]) -> None:
-        """Encodes many words as one text, and cuts its ids where a token begins with a space."""
-        new = self._room(self.words, found)
-        if "" in new:
-            new.remove("")
-            self.words[""] = np.array(self.tokenizer.encode(" ", add_special_tokens=False).ids, "<u4").tobytes()
+        self._clear()
+
+    def _clear(self) -> None:
+        """Rows of words by word: heads as they begin a text, words as they follow a space; where each row's ids are."""
+        self.heads: dict[str, int] = {}
+        self.words: dict[str, int] = {}
+        self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        #: Of each row: where its ids are, and whether a later slice had it too.
+        self.starts, self.again = np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def _trim(self) -> None:
+        """Only words that were met again stay; none do if those are many."""
+        keep, starts, sizes, ids, old = self.again, self.starts, self.sizes, self.ids, (self.heads, self.words)
+        self._clear()
+        if 2 * keep.sum() > CACHE_WORDS:
+            return
+        sizes, at = sizes[keep], (np.cumsum(keep) - 1).tolist()
+        self.sizes, self.starts, self.again = sizes, np.cumsum(sizes) - sizes, np.zeros(len(sizes), bool)
+        self.ids = ids[np.arange(sizes.sum()) + np.repeat(starts[keep] - self.starts, sizes)]
+        kept = keep.tolist()
+        self.heads, self.words = ({w: at[r] for w, r in rows.items() if kept[r]} for rows in old)
+
+    def _add(self, rows: dict[str, int], words: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        rows.update(zip(words, range(len(self.starts), len(self.starts) + len(words)), strict=True))
+        self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(sizes) - sizes))
+        self.sizes, self.ids = np.concatenate((self.sizes, sizes)), np.concatenate((self.ids, ids))
+        self.again = np.concatenate((self.again, np.zeros(len(words), bool)))
+
+    def _add_each(self, rows: dict[str, int], words: list[str], texts: list[str]) -> None:
+        each = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self._add(rows, words, np.array([len(x) for x in each], np.int64), np.array([i for x in each for i in x], np.uint32))
+
+    def _rows(self, heads: set[str], words: list[str]) -> np.ndarray:
+        """Rows of `words`. Encodes many new ones as one text, and cuts its ids where a token begins with a space."""
+        if len(self.starts) + len(words) + len(heads) > CACHE_WORDS:
+            self._trim()
+        rows = np.array([self.words.get(w, -1) for w in words], np.int64)
+        self.again[rows[rows >= 0]] = True
+        if new := [w for w in heads if w not in self.heads]:
+            self._add_each(self.heads, new, new)
+        gone = np.flatnonzero(rows < 0)
+        new = [w for w in map(words.__getitem__, gone.tolist()) if w]
+        if len(new) < len(gone):
+            self._add_each(self.words, [""], [" "])
         parts = [new[k : k + 500] for k in range(0, len(new), 500)]
-        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" " + " ".join(p) for p in parts], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            at = [*np.flatnonzero(self.leads[ids]).tolist(), len(ids)]
-            if len(at) != len(part) + 1:
+        ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([" " + " ".join(p) for p in parts], add_special_tokens=False)]
+        if ids:
+            flat = np.concatenate(ids)
+            sizes = np.diff(np.append(np.flatnonzero(self.leads[flat]), len(flat)))
+            if len(sizes) != len(new):
                 raise ValueError("a word's first token does not begin with a space")
-            raw = ids.tobytes()
-            self.words.update((w, raw[4 * x : 4 * y]) for w, x, y in zip(part, at, at[1:], strict=False))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as bytes."""
-        out: list[bytes] = [b""] * len(texts)
-        whole = [i for i, t in enumerate(texts) if t and (not self.by_word or "  " in t)]
-        for i in whole:
-            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
-        if self.by_word:
-            skip = set(whole)
-            parts = {i: t.split(" ") for i, t in enumerate(texts) if t and i not in skip}
-            self._fill_heads({p[0] for p in parts.values() if p[0]})
-            self._fill_words(set().union(*(p[1:] for p in parts.values())))
-            for i, p in parts.items():
-                out[i] = (self.heads[p[0]] if p[0] else b"") + b"".join(map(self.words.__getitem__, p[1:]))
+            self._add(self.words, new, sizes, flat)
+        rows[gone] = [self.words[words[i]] for i in gone.tolist()]
+        return rows
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text; a null one has none."""
+        texts = pc.fill_null(texts, "")
+        runs = pc.match_substring(texts, "  ").to_numpy(zero_copy_only=False) if self.by_word else np.ones(len(texts), bool)
+        out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
+        for i in np.flatnonzero(runs).tolist():
+            out[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
+        rest = np.flatnonzero(~runs)
+        if len(rest):
+            split = pc.split_pattern(texts.take(pa.array(rest)), " ")
+            first = split.offsets.to_numpy()[:-1].astype(np.int64)
+            flat = split.flatten()
+            heads, coded = flat.take(pa.array(first)).to_pylist(), flat.dictionary_encode()
+            row = self._rows(set(heads), coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
+            row[first] = [self.heads[w] for w in heads]
+            size = self.sizes[row]
+            end = np.cumsum(size)
+            ids = self.ids[np.arange(end[-1]) + np.repeat(self.starts[row] - end + size, size)]
+            for i, x in zip(rest.tolist(), np.split(ids, (end - size)[first[1:]]), strict=True):
+                out[i] = x
         return out
 
 
@@ -212,12 +247,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
             return pa.RecordBatch.from_pylist([{"part": part, "place": place, "start": start, "n_ids": n, "segment": data}], schema=pa.schema([("part", pa.int32()), ("place", pa.int64()), ("start", pa.int64()), ("n_ids", pa.int64()), ("segment", pa.binary())]))
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                rows = batch.slice(k, 512)
-                for doc, ids in zip(rows.column("doc_id").to_pylist(), encode([t or "" for t in rows.column("text").to_pylist()]), strict=True):
+            for k in range(0, batch.num_rows, 1024):
+                rows = batch.slice(k, 1024)
+                for doc, ids in zip(rows.column("doc_id").to_pylist(), encode(rows.column("text")), strict=True):
                     doc_ids.append(doc)
-                    got.append(ids + end)
-                    n += len(ids) // 4 + 1
+                    got.append(ids.astype("<u4").tobytes() + end)
+                    n += len(ids) + 1
                     if n >= SEGMENT_IDS:
                         yield closed()
                         doc_ids, got, n, place, start = [], [], 0, place + 1, start + n
