@@ -1,8 +1,8 @@
 """License scans (3): ordered signature rules over whole texts, natively.
 
 A rule is a regex over a text's words (lower-case, joined by single spaces), with
-a keyword that the text must hold before the regex is tried, a priority (1 is
-best) and a label. A detection inside another of the same or a better priority is
+a keyword (characters, not always a whole word) that the text must hold before the
+regex is tried, a priority (1 is best) and a label. A detection inside another of the same or a better priority is
 suppressed. Base phrases are found besides, at all their places, and never suppressed.
 
 Defined cases: a null text is empty; of equal detections the earlier rule's
@@ -18,31 +18,31 @@ from pyspark.sql import functions as F
 
 from kgloom.llm.common import NON_ALNUM
 
-#: (label, keyword, name): a licence's name as a regex over words; the keyword is a word of every form of it.
+#: (label, keyword, name): a licence's name as a regex over words; every form of it holds the keyword, a word unless it has a * where other characters may follow or precede.
 FAMILIES: list[tuple[str, str, str]] = [
     ("mit", "mit", "(?:the )?mit(?: x11| expat)?"),
     ("apache-1.1", "apache", "apache(?: software)? (?:license )?(?:version |v)?1 1"),
-    ("apache-2", "apache", "apache(?: software)?(?: license)?(?: version| v)? ?2(?: 0)?"),
-    ("bsd-2-clause", "bsd", "(?:the )?(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd)"),
+    ("apache-2", "apache*", "apache(?: software)?(?: license)?(?: version| v)? ?2(?: 0)?"),
+    ("bsd-2-clause", "*bsd", "(?:the )?(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd)"),
     ("bsd-3-clause", "bsd", "(?:the )?(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd)"),
     ("bsd-4-clause", "bsd", "(?:the )?(?:original bsd|bsd 4 clause|4 clause bsd)"),
     ("bsd", "bsd", "(?:the )?bsd(?: style)?"),
-    ("gpl-2", "gpl", "(?:gnu )?gpl(?: version| v)? ?v?2(?: 0)?"),
-    ("gpl-3", "gpl", "(?:gnu )?gpl(?: version| v)? ?v?3(?: 0)?"),
+    ("gpl-2", "gpl*", "(?:gnu )?gpl(?: version| v)? ?v?2(?: 0)?"),
+    ("gpl-3", "gpl*", "(?:gnu )?gpl(?: version| v)? ?v?3(?: 0)?"),
     ("gpl", "general", "(?:the )?gnu general public"),
     ("gpl", "gpl", "(?:the )?(?:gnu )?gpl"),
-    ("lgpl-2.1", "lgpl", "(?:gnu )?lgpl(?: version| v)? ?v?2 1"),
-    ("lgpl-3", "lgpl", "(?:gnu )?lgpl(?: version| v)? ?v?3(?: 0)?"),
-    ("lgpl", "lesser", "(?:the )?gnu (?:lesser|library) general public"),
+    ("lgpl-2.1", "lgpl*", "(?:gnu )?lgpl(?: version| v)? ?v?2 1"),
+    ("lgpl-3", "lgpl*", "(?:gnu )?lgpl(?: version| v)? ?v?3(?: 0)?"),
+    ("lgpl", "general", "(?:the )?gnu (?:lesser|library) general public"),
     ("agpl-3", "affero", "(?:the )?gnu affero general public"),
-    ("agpl-3", "agpl", "(?:gnu )?agpl(?: version| v)? ?v?3?(?: 0)?"),
+    ("agpl-3", "agpl*", "(?:gnu )?agpl(?: version| v)? ?v?3?(?: 0)?"),
     ("gfdl", "documentation", "(?:the )?gnu free documentation"),
     ("mpl-1.1", "mozilla", "mozilla public(?: license)?(?: version| v)? ?1 1"),
     ("mpl-2", "mozilla", "mozilla public(?: license)?(?:(?: version| v)? ?2(?: 0)?)?"),
     ("epl-1", "eclipse", "eclipse public(?: license)?(?: version| v)? ?1(?: 0)?"),
     ("epl-2", "eclipse", "eclipse public(?: license)?(?:(?: version| v)? ?2(?: 0)?)?"),
     ("edl-1", "eclipse", "eclipse distribution(?: license)?(?: version| v)? ?1?(?: 0)?"),
-    ("cddl-1", "cddl", "cddl(?: version| v)? ?1?(?: [01])?"),
+    ("cddl-1", "cddl*", "cddl(?: version| v)? ?1?(?: [01])?"),
     ("cddl-1", "development", "common development and distribution"),
     ("cpl-1", "common", "common public"),
     ("isc", "isc", "(?:the )?isc"),
@@ -51,23 +51,23 @@ FAMILIES: list[tuple[str, str, str]] = [
     ("boost-1", "boost", "(?:the )?boost software(?: license)?(?: version| v)? ?1?(?: 0)?"),
     ("unlicense", "unlicense", "(?:the )?unlicense"),
     ("wtfpl", "wtfpl", "(?:the )?wtfpl"),
-    ("artistic-1", "artistic", "artistic(?: license)?(?: version| v)? ?1(?: 0)?"),
-    ("artistic-2", "artistic", "artistic(?: license)?(?: version| v)? ?2(?: 0)?"),
+    ("artistic-1", "artistic*", "artistic(?: license)?(?: version| v)? ?1(?: 0)?"),
+    ("artistic-2", "artistic*", "artistic(?: license)?(?: version| v)? ?2(?: 0)?"),
     ("psf-2", "python", "python software foundation"),
-    ("php-3", "php", "php(?: license)?(?: version| v)? ?3(?: 0[01]?)?"),
+    ("php-3", "php*", "php(?: license)?(?: version| v)? ?3(?: 0[01]?)?"),
     ("ruby", "ruby", "(?:the )?ruby"),
     ("perl", "perl", "same terms as perl(?: itself)?"),
     ("postgresql", "postgresql", "(?:the )?postgresql"),
     ("openssl", "openssl", "(?:the )?openssl"),
     ("x11", "x11", "(?:the )?x11"),
-    ("eupl", "eupl", "(?:the )?eupl(?: version| v)? ?(?:1 [012])?"),
+    ("eupl", "eupl*", "(?:the )?eupl(?: version| v)? ?(?:1 [012])?"),
     ("eupl", "european", "european union public"),
     ("ofl-1.1", "sil", "sil open font"),
-    ("osl-3", "osl", "osl(?: version| v)? ?3?(?: 0)?"),
+    ("osl-3", "osl*", "osl(?: version| v)? ?3?(?: 0)?"),
     ("osl-3", "open", "open software"),
     ("afl-3", "academic", "academic free"),
     ("ecl-2", "educational", "educational community"),
-    ("ncsa", "ncsa", "university of illinois(?: open source| ncsa)*"),
+    ("ncsa", "illinois", "university of illinois(?: open source| ncsa)*"),
     ("ms-pl", "microsoft", "microsoft public"),
     ("ms-rl", "microsoft", "microsoft reciprocal"),
     ("upl-1", "universal", "universal permissive"),
@@ -92,9 +92,9 @@ FAMILIES: list[tuple[str, str, str]] = [
     ("public-domain", "domain", "public domain"),
     ("bsl-1.1", "business", "business source"),
     ("sspl-1", "server", "server side public"),
-    ("elastic-2", "elastic", "elastic(?: license)?(?: version| v)? ?2?(?: 0)?"),
+    ("elastic-2", "elastic*", "elastic(?: license)?(?: version| v)? ?2?(?: 0)?"),
     ("llama", "llama", "llama(?: [0-9])?(?: [0-9])? community"),
-    ("openrail", "rail", "(?:creativeml )?open ?rail(?: m)?"),
+    ("openrail", "*rail", "(?:creativeml )?open ?rail(?: m)?"),
 ]
 #: (priority, form): the ways in which a text names a licence.
 FORMS: list[tuple[int, str]] = [
@@ -127,7 +127,7 @@ _GATE = r"(?i)licen[cs]|(?<![a-z])under(?![a-z])|spdx|copyright|proprietary|cc[\
 
 def rules() -> list[dict]:
     """All rules, in order of priority and then of the families."""
-    out = [{"priority": p, "label": label, "keyword": f" {word} ", "regex": f"(?<= ){form.format(name)}(?= )"} for p, form in FORMS for label, word, name in FAMILIES]
+    out = [{"priority": p, "label": label, "keyword": f" {word} ".replace(" *", "").replace("* ", ""), "regex": f"(?<= ){form.format(name)}(?= )"} for p, form in FORMS for label, word, name in FAMILIES]
     out += [{"priority": p, "label": label, "keyword": f" {word} ", "regex": f"(?<= ){regex}(?= )"} for p, label, word, regex in SINGLE]
     return [r | {"rule": i} for i, r in enumerate(sorted(out, key=lambda r: r["priority"]))]
 

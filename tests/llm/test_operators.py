@@ -140,6 +140,41 @@ def test_license_scan(docs, texts, empty):
     assert license_scan.scan_licenses(empty).count() == 0
 
 
+def spelled(parsed):
+    """All strings of a parsed regex without its lookarounds; * stands for up to two."""
+    out = [""]
+    for op, arg in parsed:
+        match str(op):
+            case "LITERAL":
+                each = [chr(arg)]
+            case "IN":
+                each = [chr(c) for kind, x in arg for c in (range(x[0], x[1] + 1) if str(kind) == "RANGE" else [x])]
+            case "SUBPATTERN":
+                each = spelled(arg[3])
+            case "BRANCH":
+                each = [s for branch in arg[1] for s in spelled(branch)]
+            case "MAX_REPEAT":
+                each = ["".join(x) for n in range(arg[0], min(arg[1], 2) + 1) for x in itertools.product(spelled(arg[2]), repeat=n)]
+            case "ASSERT":
+                each = [""]
+        out = [a + b for a in out for b in each]
+    return out
+
+
+def test_license_keywords():
+    gate = re.compile(license_scan._GATE)
+    for r in license_scan.rules():
+        forms = spelled(re._parser.parse(r["regex"]))
+        assert re.search(r["regex"], f" {forms[-1]} ")
+        assert [s for s in forms if r["keyword"] not in f" {s} " or not gate.search(s)] == [], r
+
+
+def test_license_glued_versions(spark):
+    said = {"SPDX-License-Identifier: GPLv2": "gpl-2", "licensed under the GPLv3 license": "gpl-3", "LGPLv3 license": "lgpl-3", "AGPLv3 license": "agpl-3", "license: apache2": "apache-2", "FreeBSD license": "bsd-2-clause", "OpenRAIL-M license": "openrail", "University of Illinois open source license": "ncsa", "under the GNU Library General Public License": "lgpl", "Artistic2 license": "artistic-2", "PHP3 license": "php-3", "OSL3 license": "osl-3", "CDDL1 license": "cddl-1", "EUPL1.2 license": "eupl", "Elastic2 license": "elastic-2"}
+    got = by_id(license_scan.scan_licenses(spark.createDataFrame(list(enumerate(said)), "doc_id bigint, text string")))
+    assert {text: label in {d["label"] for d in got[i]["detections"]} for i, (text, label) in enumerate(said.items())} == dict.fromkeys(said, True)
+
+
 def components(sets):
     ids = list(sets)
     root = {i: i for i in ids}
