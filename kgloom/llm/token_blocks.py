@@ -41,6 +41,8 @@ BLOCK = 256
 PERCENTILE = 0.9
 #: A segment is closed at so many ids.
 SEGMENT_IDS = 1 << 20
+#: A space beside other white space: a tokenizer may join pieces across it, as byte_bpe_50k does for spaces and U+00A0 by turns.
+_RUNS = r"[{0}] | [{0}]".format(r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}")
 #: Words whose ids a worker keeps; when full it drops those met once.
 CACHE_WORDS = 1 << 20
 _MAGIC = b"PFB1"
@@ -125,9 +127,10 @@ def decode_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarra
 class _Encoder:
     """The tokenizers library with the ids of words it has seen.
 
-    A byte-level tokenizer without normalizer never joins pieces across a single
-    space, so each space-led word can be encoded alone; texts with runs of spaces
-    and other kinds of tokenizer are encoded whole.
+    A byte-level tokenizer without normalizer never joins pieces across a space
+    that stands between characters other than white space, so each space-led word
+    can be encoded alone; texts where a space touches other white space (`_RUNS`)
+    are encoded whole, as are all texts with other kinds of tokenizer.
     """
 
     def __init__(self, path: str) -> None:
@@ -199,7 +202,7 @@ class _Encoder:
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text; a null one has none."""
         texts = pc.fill_null(texts, "")
-        runs = pc.match_substring(texts, "  ").to_numpy(zero_copy_only=False) if self.by_word else np.ones(len(texts), bool)
+        runs = pc.match_substring_regex(texts, _RUNS).to_numpy(zero_copy_only=False) if self.by_word else np.ones(len(texts), bool)
         out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
         for i in np.flatnonzero(runs).tolist():
             out[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)

@@ -302,6 +302,19 @@ def test_token_blocks(docs, texts, empty):
     assert token_blocks.token_blocks(empty, path).count() == 0
 
 
+def test_token_encoder_white_space():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    import pyarrow as pa
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encode, rng = token_blocks._Encoder(path), np.random.default_rng(11)
+    parts = ["a", "the", "\u4e2d", "1", ".", "'s", *" " * 6, *"\xa0" * 4, *"\t\n\r\x0b\x1c\x85\u2003\u2028\u3000\u200b\ufeff"]
+    texts = ["x \xa0 \xa0 y", "a\xa0 b \xa0c", "\xa0 \xa0", " \xa0 \xa0 \xa0 \xa0 ", "x \xa0 y z \xa0\xa0 w", "a \n b\n c \n", *("".join(rng.choice(parts, rng.integers(1, 24))) for _ in range(4000))]
+    want = [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for at in range(0, len(texts), 500):
+        assert [x.tolist() for x in encode(pa.array(texts[at : at + 500]))] == want[at : at + 500]
+
+
 @pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 3000])
 def test_block_round_trip(n):
     ids = np.random.default_rng(n).choice([3, 50_000, 4_000_000_000, 17, 18], n, p=[0.6, 0.1, 0.02, 0.2, 0.08]).astype(np.uint32)
