@@ -159,7 +159,7 @@ def jsonld_nodes(spark, sf_dir):
 
 @query()
 def entity_notes(spark, sf_dir):
-    return projections.entity_notes(_named(spark, sf_dir).filter("predicate <> 'makes'"))
+    return projections.entity_notes(_named(spark, sf_dir))
 
 
 @query()

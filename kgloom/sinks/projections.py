@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgloom.functions.text import srt_stamp
+from kgloom.store import checkpointed
+
+#: Lines of a part of a note.
+PART_LINES = 1000
 
 
 def _urn(kind: str, column: str):
@@ -24,12 +28,25 @@ def edge_lines(named: DataFrame) -> DataFrame:
     return named.select("id", F.concat_ws("\t", "subject", "predicate", "object").alias("line"))
 
 
-def entity_notes(named: DataFrame) -> DataFrame:
-    """(name, note): a Markdown list of an entity's relations, outgoing and incoming, by triple id."""
+def entity_notes(named: DataFrame, part_lines: int = PART_LINES) -> DataFrame:
+    """(name, part, note): a Markdown list of an entity's relations, outgoing and incoming, by triple id, in parts of `part_lines` lines.
+
+    Lines are dealt by name and id, so that those of a hot entity lie in many
+    slices; a line's number is its place in its slice and the count of the name's
+    lines in earlier ones. Parts from the second on have their number in the title.
+    """
     out = named.select(F.col("subject").alias("name"), "id", F.concat(F.lit("- "), "predicate", F.lit(" [["), "object", F.lit("]]")).alias("line"))
     back = named.select(F.col("object").alias("name"), "id", F.concat(F.lit("- [["), "subject", F.lit("]] "), "predicate").alias("line"))
+    slices = int(named.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = checkpointed(out.unionByName(back).repartitionByRange(slices, "name", "id", "line").withColumn("slice", F.spark_partition_id()))
+    earlier = F.sum("n").over(Window.partitionBy("name").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+    # Only the first name of a slice has lines in earlier ones, so this has a row for each slice at most.
+    before = dealt.groupBy("name", "slice").agg(F.count("*").alias("n")).select("name", "slice", earlier.alias("before")).filter("before > 0")
+    place = F.row_number().over(Window.partitionBy("name", "slice").orderBy("id", "line")) - 1 + F.coalesce("before", F.lit(0))
+    parts = dealt.join(F.broadcast(before), ["name", "slice"], "left").select("name", "id", "line", (F.floor(place / part_lines) + 1).alias("part"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("id", "line"))), lambda x: x["line"])
-    return out.unionByName(back).groupBy("name").agg(F.concat(F.lit("# "), F.first("name"), F.lit("\n\n"), F.array_join(lines, "\n")).alias("note"))
+    title = F.concat(F.lit("# "), "name", F.when(F.col("part") > 1, F.concat(F.lit(" ("), F.col("part").cast("string"), F.lit(")"))).otherwise(""), F.lit("\n\n"))
+    return parts.groupBy("name", "part").agg(F.array_join(lines, "\n").alias("lines")).select("name", "part", F.concat(title, "lines").alias("note"))
 
 
 def srt(cues: DataFrame) -> DataFrame:

@@ -78,6 +78,25 @@ def test_judgments(spark):  # noqa: F811
     assert sorted((r["memory_key"], r["after_state"]) for r in judgments.latest(history).collect()) == [("k", "new"), ("m", "one")]
 
 
+def _notes(named, size):
+    lines = {}
+    for r in named:
+        lines.setdefault(r["subject"], []).append((r["id"], f"- {r['predicate']} [[{r['object']}]]"))
+        lines.setdefault(r["object"], []).append((r["id"], f"- [[{r['subject']}]] {r['predicate']}"))
+    return {(name, k // size + 1): f"# {name}{f' ({k // size + 1})' if k else ''}\n\n" + "\n".join(x for _, x in sorted(all_)[k : k + size]) for name, all_ in lines.items() for k in range(0, len(all_), size)}
+
+
+def test_entity_notes(spark):  # noqa: F811
+    named = spark.createDataFrame([(i * 37 % 500, "Hot" if i % 50 else "Cold", "makes" if i % 3 else "relatedTo", f"P{i % 9}") for i in range(500)], "id bigint, subject string, predicate string, object string")
+    for size in (1, 7, 1000):
+        got = projections.entity_notes(named, size).collect()
+        assert len(got) == len({(r["name"], r["part"]) for r in got})
+        assert {(r["name"], r["part"]): r["note"] for r in got} == _notes(named.collect(), size)
+    whole = curation._named(spark, "/root/testdata/sf0.001")
+    got = {(r["name"], r["part"]): r["note"] for r in curation.entity_notes(spark, "/root/testdata/sf0.001").collect()}
+    assert got == _notes(whole.collect(), projections.PART_LINES) and any("] makes" in note for note in got.values())
+
+
 def test_rows_only_queries(spark):  # noqa: F811
     for name in ("reading_walk", "entity_notes", "seg_topk_nonoverlap", "seg_batches", "srt_subtitles", "page_extract_article"):
         assert not curation.query.__globals__["QUERIES"][name](spark, "/root/testdata/sf0.001").isEmpty(), name
