@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 _SKIPPED = {"script", "style", "iframe"}
+_POST_BODY = re.compile(r'class="post_body"[^>]*>(.*?)</div>', re.S)
+_PARAGRAPH = re.compile(r"<p[^>]*>(.*?)</p>", re.S)
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
@@ -53,16 +56,24 @@ class _Paragraphs(HTMLParser):
             self.paragraph.append(data)
 
 
+def _plain_paragraphs(page: str) -> list[str]:
+    """Texts of all <p> of the post_body div, up to its first end tag, or of the whole page where there is no such div; markup is only cut out."""
+    div = _POST_BODY.search(page)
+    scope = div[1] if div else page
+    # Nothing after the last end tag matches; without it, each <p> there would be sought an end for in vain.
+    return [re.sub(r"\s+", " ", re.sub(r"<[^>]+>", "", p)).strip() for p in _PARAGRAPH.findall(scope[: scope.rfind("</p>") + 4] if "</p>" in scope else "")]
+
+
 def _article(page: str | None) -> tuple[str, str]:
     parser = _Paragraphs()
     parser.feed(page or "")
     parser.close()
     body = parser.found[min(parser.found)] if parser.found else []
-    texts = ["".join(p).strip() for p in body]
-    return "".join(parser.title).strip().split("_")[0], "\n".join(t for t in texts if t)
+    texts = [t for p in body if (t := "".join(p).strip())] or [t for t in _plain_paragraphs(page or "") if t]
+    return "".join(parser.title).strip().split("_")[0], "\n".join(texts)
 
 
 @F.pandas_udf(StructType().add("title", StringType()).add("body", StringType()))
 def extract_article(pages: pd.Series) -> pd.DataFrame:
-    """Title, up to its first underscore, and the paragraphs of the page's main container: class post_body, else id content, else <article>."""
+    """Title, up to its first underscore, and the paragraphs of the page's main container: class post_body, else id content, else <article>. Without a container, or if it has no text in paragraphs, see _plain_paragraphs."""
     return pd.DataFrame([_article(p) for p in pages], columns=["title", "body"])

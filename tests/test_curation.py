@@ -70,6 +70,20 @@ def test_articles_and_takeout(spark):  # noqa: F811
     assert sorted((r["id"], r["ord"]) for r in takeout.takeout_ids(lines).collect()) == [("yt:abcdefghij1", 1), ("yt:abcdefghij2", 2)]
 
 
+def test_articles_without_container_text(spark):  # noqa: F811
+    pages = {
+        '<title>T_s</title><body><p>one\n <b>two</b></p><div><p class="x"> three </p></div><p> </p></body>': "one two\nthree",
+        '<p>before</p><div id="content"><span>no paragraph</span></div><article><p>after</p></article>': "before\nafter",
+        '<div class="a post_body"><p> </p></div><p>outside</p>': "outside",
+        '<article></article><p>outside</p>': "outside",
+        '<p>outside</p><div class="post_body"><span>x</span></div>': "",
+        '<p>outside</p><div id="content"><p>inside</p></div>': "inside",
+        "<span>none</span>": "",
+    }
+    rows = spark.createDataFrame([(p,) for p in pages], "html string").select("html", articles.extract_article("html").alias("a")).collect()
+    assert {r["html"]: r["a"]["body"] for r in rows} == pages
+
+
 def test_judgments(spark):  # noqa: F811
     rows = spark.createDataFrame([("a", "triple", "t1", ["x"], True, True, "agree"), ("b", "triple", "t2", ["y"], True, True, "agree"), ("c", "entity", "t3", ["y"], True, True, "agree"), ("d", "claim", "t4", ["y"], True, False, "agree"), ("e", "claim", "t5", ["y"], True, True, "unset"), ("f", "claim", "long", ["y"], True, True, "agree")], "key string, kind string, title string, sources array<string>, reviewed boolean, included boolean, stance string")
     assert [r["key"] for r in judgments.baseline(rows, "x").collect()] == ["b", "f"]
