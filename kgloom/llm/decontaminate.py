@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgloom.llm.common import materialize
 from kgloom.llm.words import BY_ALNUM, Words, utf8, word_slices
 
 BLOCK_BYTES = 16 << 20
@@ -241,22 +242,24 @@ _SPANS = "array<struct<first:bigint,end:bigint>>"
 _ARROW_SPANS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 
 
-def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str]]]:
-    """(item id, text) of each block; one block is on the driver at a time."""
-    rows = benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), "text")
+def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[list[tuple[str, str]], bool]]:
+    """(item id, text) of each block, and whether it is the last; cut by row, so that an item's rows may be in several. Each block is collected when it is asked for."""
+    rows = benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     for k in range(n):
-        yield [(r["item_id"], r["text"]) for r in rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()]
+        yield [(r["item_id"], r["text"]) for r in rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()], k == n - 1
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, keep: tuple[str, ...] = ("doc_id",), block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """`keep`, n_words, spans (hit words, merged, [first, end)) and items (sorted) of each row."""
+    """`keep`, n_words, spans (hit words, merged, [first, end)) and items (sorted) of each row.
+
+    The result of each block but the last is written before the next is collected.
+    """
     rows = docs.select(*dict.fromkeys((*keep, "text")))
-    blocks = list(benchmark_blocks(benchmark, block_bytes))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    for k, block in enumerate(blocks):
-        carry = k < len(blocks) - 1 and "text" not in keep
+    for k, (block, last) in enumerate(benchmark_blocks(benchmark, block_bytes)):
+        carry = not last and "text" not in keep
 
         def scan(batches: Iterator[pa.RecordBatch], block=block, k=k, carry=carry) -> Iterator[pa.RecordBatch]:
             p = phrases(block, width)
@@ -273,6 +276,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, keep:
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
         rows = rows.mapInArrow(scan, f"{fields}{', text string' if carry else ''}, n_words bigint, spans {_SPANS}, items array<string>")
+        if not last:
+            rows = materialize(rows, "decontaminated")
     return rows
 
 

@@ -119,6 +119,24 @@ def test_decontaminate(docs, texts, empty, spark, block_bytes):
     assert not any(r["spans"] for r in decontaminate.decontaminate(docs, benchmark.limit(0)).collect())
 
 
+def test_decontaminate_writes_between_blocks(spark, monkeypatch):
+    done, blocks, write = [], decontaminate.benchmark_blocks, getattr(decontaminate, "materialize", None)
+
+    def noted(*args):
+        for block in blocks(*args):
+            done.append("block")
+            yield block
+
+    monkeypatch.setattr(decontaminate, "benchmark_blocks", noted)
+    monkeypatch.setattr(decontaminate, "materialize", lambda *args: (done.append("written"), write(*args))[1], raising=False)
+    texts = [f"alpha{i} beta{i} gamma{i}" for i in range(40)]
+    benchmark = spark.createDataFrame([("one", t) for t in texts], "item_id string, text string")
+    docs = spark.createDataFrame(list(enumerate(f"x {t} y" for t in texts)), "doc_id bigint, text string")
+    got = decontaminate.decontaminate(docs, benchmark, block_bytes=300).collect()
+    assert sorted((r["doc_id"], [tuple(s) for s in r["spans"]], r["items"]) for r in got) == [(i, [(1, 4)], ["one"]) for i in range(40)]
+    assert len(done) > 2 and done == ["block", "written"] * (len(done) // 2) + ["block"]
+
+
 def test_cut_spans(spark):
     rows = spark.createDataFrame([(1, "Aé, b c. D", 10, [(1, 3)]), (2, None, None, []), (3, "x", 1, [(0, 1)])], "doc_id bigint, text string, n_chars bigint, spans array<struct<first:bigint,end:bigint>>")
     assert [(r["text"], r["n_chars"]) for r in decontaminate.cut_spans(rows).orderBy("doc_id").collect()] == [("Aé, . D", 7), (None, None), ("", 0)]
