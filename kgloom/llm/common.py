@@ -40,17 +40,42 @@ def id_splits(docs: DataFrame, n: int, column: str = "doc_id") -> list[int]:
     steps = [i / n for i in range(1, n)]
     if not steps:
         return []
-    got = docs.select(F.percentile_approx(column, steps, 20 * n).alias("p")).first()["p"]
+    got = docs.select(F.percentile_approx(column, steps, 10 * n).alias("p")).first()["p"]
     return sorted(set(got or []))
 
 
+def _numbers(values: list[int]) -> Column:
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
 def id_range(splits: list[int], column: str = "doc_id") -> Column:
-    """Number of the id's range (0 to len(splits)); a null id goes to range 0."""
+    """Number of the id's range (0 to len(splits)); a null id goes to range 0. Looks among sqrt(n) groups of points, then in one of them."""
     if not splits:
         return F.lit(0)
-    points = F.lit(",".join(map(str, splits)))
-    array = F.split(points, ",").cast("array<bigint>")
-    return F.coalesce(F.size(F.filter(array, lambda s: s < F.col(column))), F.lit(0))
+    size = max(1, round(len(splits) ** 0.5))
+    groups = [splits[k : k + size] for k in range(0, len(splits), size)]
+    below = lambda points: F.size(F.filter(points, lambda s: s < F.col(column)))
+    group = below(_numbers([g[-1] for g in groups]))
+    listed = F.from_json(F.lit(str(groups)), "array<array<bigint>>")  # a constant of the plan, as are _numbers
+    return F.coalesce(F.least(group * size + F.coalesce(below(F.get(listed, group)), F.lit(0)), F.lit(len(splits))), F.lit(0))
+
+
+def byte_shards(docs: DataFrame, limit: int, column: str = "doc_id") -> tuple[Column, int]:
+    """A number of each row's shard, and how many shards: ranges of ids with about `limit` bytes of text, or a part by hash of text of one range that has more."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    total = docs.agg(F.sum(size).alias("n")).first()["n"] or 0
+    splits = id_splits(docs, max(1, -(-2 * total // limit)), column)
+    had = {r["k"]: r["n"] for r in docs.groupBy(id_range(splits, column).alias("k")).agg(F.sum(size).alias("n")).collect()}
+    first, parts, shard, filled = [], [], -1, limit
+    for k in range(len(splits) + 1):
+        n = had.get(k, 0)
+        if n > limit or filled + n > limit:
+            shard, filled = shard + 1, 0
+        first.append(shard)
+        parts.append(max(1, -(-n // limit)))
+        shard, filled = shard + parts[-1] - 1, limit if n > limit else filled + n
+    at = id_range(splits, column)
+    return (F.get(_numbers(first), at) + F.pmod(F.xxhash64("text"), F.get(_numbers(parts), at))).cast("int"), shard + 1
 
 
 def fold(name: str, remainder: int, of: int, column: str = "doc_id") -> Column:

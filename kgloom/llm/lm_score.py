@@ -1,17 +1,20 @@
 """LM scoring (8): a weighted backoff automaton over smoothed n-grams.
 
-States are the root and one for each training word; an arc leads from a state by
-each bigram seen in training, and a failure arc, of weight 1 - LAMBDA, leads from
-a state to the root, whose arcs are the words and one for unknown words:
-    root(w)     = (c(w) - DISCOUNT) / N,  unknown: DISCOUNT * V / N
-    state(h, w) = LAMBDA * c(h w) / c(h) + (1 - LAMBDA) * root(w)
-One traversal of a text from left to right carries the state and adds up log10
-probabilities; a text begins in the root and ends with one end token.
-
-Counts come from every training text. Documents fall into shards, ranges of
-doc_id; a task asks for each n-gram of a shard once, with its own count; buckets of
-n-gram hashes add the counts up and answer the shards where the sum is not their
-own. No n-gram is capped or pruned, and no table is whole on one machine.
+States are the root and one for each training word. An arc leads from a state by
+each bigram seen in training; where a state has no arc for a word, its failure arc
+is taken to the root, whose arcs are the words and one for unknown words:
+    root(w)    = (c(w) - DISCOUNT) / N,  unknown: DISCOUNT * V / N
+    arc(h, w)  = (c(h w) + MASS * root(w)) / (c(h) + MASS)
+    failure(h) = MASS / (c(h) + MASS)
+so that each state's arcs, and its failure arc times the rest of the root, add up
+to 1 (a Dirichlet prior of weight MASS about the root). One traversal of a text
+from left to right carries the state and adds up log10 probabilities; a text begins
+in the root and ends with one end token.
+
+Counts come from every training text. Documents fall into shards of about
+SHARD_BYTES; a task asks for each n-gram of a shard once, with its own count;
+buckets of n-gram hashes add the counts up and answer the shards where the sum is
+not their own. No n-gram is capped or pruned, and no table is whole on one machine.
 
 Defined cases: a null text is empty, its only token is the end; without training
 texts N and V are 0 and every probability is 1; a null doc_id trains and is not
@@ -27,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import id_range, id_splits, materialize, shuffle_partitions
+from kgloom.llm.common import byte_shards, materialize, shuffle_partitions
 from kgloom.llm.words import BY_SPACE, Words, mix, word_slices
 
-DISCOUNT, LAMBDA = 0.75, 0.1
+DISCOUNT, MASS = 0.75, 1000.0
+#: Text of a shard; a task gathers twice as much before it asks.
+SHARD_BYTES = 6 << 20
 _U = np.uint64
 #: The end token's hash, and what tells the hashes of bigrams from those of words.
 _END, _PAIR = _U(0x51ED270B8A2C3F15), _U(0xC2B2AE3D27D4EB4F)
@@ -62,7 +67,7 @@ def _pairs(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _counted(keys: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, ascending, and how many of each are of training texts."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, trained = keys[order], trained[order]
     begins = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
     return keys[begins], np.add.reduceat(trained.astype(np.int64), begins) if len(begins) else begins
@@ -95,11 +100,29 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), _ARROW.types, strict=True)], schema=_ARROW)
 
 
+def _asked(got: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]], buckets: int) -> pa.RecordBatch:
+    """One row a bucket: what each shard has of its n-grams, by kind."""
+    sent: dict[int, list[tuple[int, int, bytes]]] = {}
+    for (kind, shard), parts in got.items():
+        keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
+        if len(parts) > 1:
+            keys, counts = _counted(keys, counts)
+        bucket = (mix(keys) % _U(buckets)).astype(np.int32 if buckets >> 15 else np.int16)
+        order = np.argsort(bucket, kind="stable")
+        keys, counts, bucket = keys[order], counts[order], bucket[order]
+        cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(keys) else np.zeros(1, np.int64)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            sent.setdefault(int(bucket[a]), []).append((kind, shard, _pack(kind, keys[a:b], counts[a:b])))
+    columns = [list(sent), *([[row[i] for row in rows] for rows in sent.values()] for i in range(3))]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.binary())), strict=True)], names=["bucket", "kinds", "shards", "blobs"])
+
+
 def _ask(buckets: int):
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
         for batch in batches:
             shards, train = batch.column("shard").to_numpy(), batch.column("train").to_numpy(zero_copy_only=False)
-            got: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
             for i, j, words in word_slices(batch, BY_SPACE, lower=True):
                 tokens, first = _tokens(words)
                 doc = np.repeat(np.arange(i, j), np.diff(first))
@@ -108,19 +131,12 @@ def _ask(buckets: int):
                     for kind, keys, at in ((_WORDS, tokens, doc), (_PAIRS, pairs, doc[second])):
                         own = shards[at] == shard
                         got.setdefault((kind, shard), []).append(_counted(keys[own], train[at[own]]))
-            sent: dict[int, list[tuple[int, int, bytes]]] = {}
-            for (kind, shard), parts in got.items():
-                keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
-                if len(parts) > 1:
-                    keys, counts = _counted(keys, counts)
-                bucket = (mix(keys) % _U(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                keys, counts, bucket = keys[order], counts[order], bucket[order]
-                cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(keys) else np.zeros(1, np.int64)
-                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    sent.setdefault(int(bucket[a]), []).append((kind, shard, _pack(kind, keys[a:b], counts[a:b])))
-            columns = [list(sent), *([[row[i] for row in rows] for rows in sent.values()] for i in range(3))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.binary())), strict=True)], names=["bucket", "kinds", "shards", "blobs"])
+                size += len(words.data)
+                if size >= 2 * SHARD_BYTES:
+                    yield _asked(got, buckets)
+                    got, size = {}, 0
+        if got:
+            yield _asked(got, buckets)
 
     return asked
 
@@ -138,7 +154,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [_unpack(kind, blob) for _, blob in rows]
         keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
         shard = np.repeat([s for s, _ in rows], [len(k) for k, _ in parts])
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         fresh = np.concatenate(([True], keys[order][1:] != keys[order][:-1]))
         sums = np.add.reduceat(counts[order], np.flatnonzero(fresh))
         if kind == _WORDS:
@@ -174,9 +190,10 @@ def _lookup(kind: int, asked: np.ndarray, trained: np.ndarray, answers: list[byt
 def score_texts(docs: DataFrame, train: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep`, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score of each row; rows with the SQL condition `train` teach."""
     spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
-    splits = id_splits(docs, 2 * parts)
-    rows = docs.select(*dict.fromkeys((*keep, "text")), id_range(splits).cast("int").alias("shard"), F.coalesce(F.expr(train), F.lit(True)).alias("train"))
+    shard, shards = byte_shards(docs, SHARD_BYTES)
+    shards = max(1, shards)
+    parts = max(shuffle_partitions(spark), shards // 2)
+    rows = docs.select(*dict.fromkeys((*keep, "text")), shard.alias("shard"), F.coalesce(F.expr(train), F.lit(True)).alias("train"))
     asked = rows.select("shard", "train", "text").mapInArrow(_ask(3 * parts), _ASKED)
     answers = materialize(asked.repartition(parts, "bucket").mapInArrow(_answer, _ROWS), "lm-counts")
     stats = answers.filter(F.col("kind") == _STATS).agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
@@ -201,12 +218,13 @@ def score_texts(docs: DataFrame, train: str, keep: tuple[str, ...] = ("doc_id",)
         second, pairs = _pairs(token, first)
         state = count[second - 1]  # 0: a word without a state leads back to the root
         arc = _lookup(_PAIRS, pairs, trained[second], blobs[_PAIRS])
-        known = state > 0
-        p[second] = np.where(known, LAMBDA * arc / np.maximum(state, 1) + (1 - LAMBDA) * root[second], root[second])
+        failed = MASS / (state + MASS) * root[second]  # of weight 1 from the root itself
+        p[second] = np.where(arc > 0, (arc + MASS * root[second]) / (state + MASS), failed)
         total = lambda x: np.add.reduceat(x, first[:-1]) if len(x) else np.empty(0)
         columns = {c: left.column(c) for c in keep} | {"n_tokens": pa.array(np.diff(first), pa.int64()), "n_known": pa.array(total((count > 0).astype(np.int64)), pa.int64()), "train_tokens": pa.array(np.full(left.num_rows, n), pa.int64()), "base_score": pa.array(total(np.log10((count + 1) / (n + v + 1))), pa.float64()), "score": pa.array(total(np.log10(p)), pa.float64())}
         return pa.table(columns)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    table = rows.groupBy("shard").cogroup(answers.filter(F.col("kind") != _STATS).select("shard", "kind", "blob").groupBy("shard"))
+    replies = answers.filter(F.col("kind") != _STATS).select("shard", "kind", "blob")
+    table = rows.repartition(shards, "shard").groupBy("shard").cogroup(replies.repartition(shards, "shard").groupBy("shard"))
     return table.applyInArrow(traverse, f"{fields}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

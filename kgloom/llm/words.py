@@ -46,11 +46,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+#: Bytes whose words are hashed at once.
+_CHUNK = 1 << 17
+
+
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, for the bytes of two chunks."""
+    n = 2 * _CHUNK
     up, down = np.empty(n, _U), np.empty(n, _U)
-    inverse = pow(_BASE, -1, 1 << 64)
-    for out, b in ((up, _BASE), (down, inverse)):
+    for out, b in ((up, _BASE), (down, pow(_BASE, -1, 1 << 64))):
         out[0], k = 1, 1
         while k < n:  # doubling: the second half is the first times b^k
             m = min(k, n - k)
@@ -92,13 +97,30 @@ class Words:
         return np.repeat(self.first[1:], self.counts) - np.arange(len(self.start))
 
     def hashes(self) -> np.ndarray:
-        if not len(self.start):
-            return np.empty(0, _U)
-        size = 1 << max(16, int(len(self.data)).bit_length())
-        up, down = _powers(size)
-        sums = np.zeros(len(self.data) + 1, _U)
-        np.cumsum((self.data.astype(_U) + _U(1)) * up[: len(self.data)], out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * down[self.start])
+        up, down = _powers()
+        out, i, n = np.empty(len(self.start), _U), 0, len(self.start)
+        while i < n:
+            begin = int(self.start[i])
+            j = int(np.searchsorted(self.start, begin + _CHUNK))
+            stop = int(self.end[j - 1])
+            if stop - begin > len(up):  # the last word is longer than a chunk
+                j, stop = j - 1, int(self.end[j - 2]) if j - 1 > i else begin
+            if j > i:
+                sums = np.zeros(stop - begin + 1, _U)
+                np.cumsum((self.data[begin:stop].astype(_U) + _U(1)) * up[: stop - begin], out=sums[1:])
+                out[i:j] = (sums[self.end[i:j] - begin] - sums[self.start[i:j] - begin]) * down[self.start[i:j] - begin]
+            else:
+                out[i], j = self._long(i), i + 1
+            i = j
+        return mix(out)
+
+    def _long(self, i: int) -> np.uint64:
+        """The sum of a word that is longer than a chunk."""
+        up, total = _powers()[0], 0
+        for at in range(int(self.start[i]), int(self.end[i]), _CHUNK):
+            part = self.data[at : min(at + _CHUNK, int(self.end[i]))].astype(_U) + _U(1)
+            total += int((part * up[: len(part)]).sum()) * pow(_BASE, at - int(self.start[i]), 1 << 64)
+        return _U(total % (1 << 64))
 
     def word(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()

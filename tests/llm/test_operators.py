@@ -9,11 +9,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 from kgloom.llm import decontaminate, jaccard_join, language_id, license_scan, lm_score, mixing, quality, queries, simhash, substring_dedup, token_blocks
-from kgloom.llm.common import connected_components
+from kgloom.llm.common import byte_shards, connected_components, id_range
+from kgloom.llm.words import BY_SPACE, Words, utf8
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, spans string, score double"
 
@@ -224,6 +226,28 @@ def test_jaccard_join(docs, texts, empty, spark, monkeypatch, least):
     assert len({r["component_id"] for r in got.values() if texts[r["doc_id"] // 3] is None or not spaced(texts[r["doc_id"] // 3])}) == 3
 
 
+def test_byte_shards(spark):
+    rows = [(i, "x" * (i % 7)) for i in range(400)] + [(77, f"{i:03}" * 30) for i in range(100)] + [(None, "y" * 50), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for limit in (50, 700, 10**6):
+        shard, n = byte_shards(docs, limit)
+        had = docs.groupBy(shard.alias("s")).agg({"*": "count"}).collect()
+        assert all(0 <= r["s"] < n for r in had) and sum(r["count(1)"] for r in had) == len(rows)
+    shard, n = byte_shards(docs, 700)
+    assert docs.filter("doc_id = 77").select(shard.alias("s")).distinct().count() > 5
+    assert byte_shards(docs.limit(0), 700)[1] <= 1
+    ids = spark.createDataFrame([(i,) for i in (*range(-5, 300), None)], "doc_id bigint")
+    for splits in ([], [3], [0, 10, 11], list(range(0, 250, 3))):
+        assert {r[0]: r[1] for r in ids.select("doc_id", id_range(splits)).collect()} == {i: sum(s < i for s in splits) for i in range(-5, 300)} | {None: 0}
+
+
+def test_long_words():
+    text = ["a" * 400_000, "b c", "x" * 700_000 + " " + "x" * 700_000 + " y", "c"]
+    data, offsets = utf8(pa.array(text))
+    h = Words(data, offsets, BY_SPACE, lower=False).hashes()
+    assert len(h) == 7 and h[3] == h[4] and h[2] == h[6] and len(set(h.tolist())) == 5
+
+
 def test_connected_components(spark):
     links = [(i, i + 1) for i in range(30)] + [(40, 41), (41, 42), (40, 42), (7, 7)]
     got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
@@ -275,13 +299,16 @@ def test_mixing(spark):
     assert len(mixing.mixing_rates(docs, mixing.quality_domains(labels.limit(0)), shares).collect()) == 102
 
 
-def test_lm_score(docs, texts, empty):
+@pytest.mark.parametrize("shard_bytes", [4 << 20, 30_000])
+def test_lm_score(docs, texts, empty, monkeypatch, shard_bytes):
+    monkeypatch.setattr(lm_score, "SHARD_BYTES", shard_bytes)
     train = [i for i in range(len(texts)) if zlib.crc32(str(3 * i).encode()) % 7 != 2]
     tokens = [[*spaced(lowered(t)), None] for t in texts]
     one, two = Counter(w for i in train for w in tokens[i]), Counter(p for i in train for p in itertools.pairwise(tokens[i]))
     n, v = sum(one.values()), len(one)
     root = lambda w: (one[w] - lm_score.DISCOUNT) / n if one[w] else lm_score.DISCOUNT * v / n
-    arc = lambda h, w: lm_score.LAMBDA * two[h, w] / one[h] + (1 - lm_score.LAMBDA) * root(w) if one[h] else root(w)
+    mass = lm_score.MASS
+    arc = lambda h, w: (two[h, w] + mass * root(w)) / (one[h] + mass) if two[h, w] else mass / (one[h] + mass) * root(w)
     got = by_id(lm_score.score_texts(docs, "crc32(cast(cast(doc_id AS string) AS binary)) % 7 <> 2"))
     for i, t in enumerate(tokens):
         row = got[3 * i]
@@ -289,6 +316,8 @@ def test_lm_score(docs, texts, empty):
         assert math.isclose(row["base_score"], sum(math.log10((one[w] + 1) / (n + v + 1)) for w in t), rel_tol=1e-9, abs_tol=1e-9)
         assert math.isclose(row["score"], math.log10(root(t[0])) + sum(math.log10(arc(*p)) for p in itertools.pairwise(t)), rel_tol=1e-9, abs_tol=1e-9)
     assert math.isclose(sum(map(root, one)) + lm_score.DISCOUNT * v / n, 1)
+    often = max((w for w in one if w), key=one.get)
+    assert math.isclose(sum(arc(often, w) for w in one) + mass / (one[often] + mass) * lm_score.DISCOUNT * v / n, 1)
     assert lm_score.score_texts(empty, "true").count() == 0
 
 
