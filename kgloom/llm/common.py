@@ -83,6 +83,11 @@ def fold(name: str, remainder: int, of: int, column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % of == remainder, F.lit(False)).alias(name)
 
 
+def others(keep: tuple[str, ...], *results: str) -> tuple[str, ...]:
+    """`keep` without the names of result columns: those replace what the input calls so."""
+    return tuple(c for c in dict.fromkeys(keep) if c not in results)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,6 +5,7 @@ import itertools
 import math
 import re
 import struct
+import warnings
 import zlib
 from collections import Counter
 
@@ -287,16 +288,42 @@ def test_substring_dedup(docs, texts, empty):
 def test_mixing(spark):
     rng = np.random.default_rng(3)
     words = {"good": list("abc"), "low": list("def"), "toxic": list("ghi")}
-    rows = [(i, " ".join(rng.choice(words[d], 30))) for i, d in enumerate(["good"] * 60 + ["low"] * 30 + ["toxic"] * 10)] + [(200, None), (201, "")]
-    docs = spark.createDataFrame([(i, t, 1.0) for i, t in rows], "doc_id bigint, text string, rate double")
+    rows = [(i, " ".join(rng.choice(words[d], 30))) for i, d in enumerate(["good"] * 60 + ["low"] * 30 + ["toxic"] * 10)] + [(200, None), (201, ""), (None, "a b"), (3, "a b c"), (202, "a " * 40_000)]
+    docs = spark.createDataFrame([(i, t, 1.0, 7) for i, t in rows], "doc_id bigint, text string, rate double, n_tokens bigint")
     labels = spark.createDataFrame([(i, int(i < 60 or i > 89), int(i > 89)) for i in range(0, 100, 2)], "doc_id bigint, quality int, toxic int")
     shares = {"good": 0.8, "low": 0.15, "toxic": 0.05}
-    got = mixing.mixing_rates(docs, mixing.quality_domains(labels), shares).collect()
+    domains = mixing.quality_domains(labels)
+    got = mixing.mixing_rates(docs, domains, shares, keep=("doc_id", "rate", "n_tokens")).collect()
+    n = [r["n_tokens"] for r in got]
     total = [sum(r["n_tokens"] * r["rate"] * r["posteriors"][k] for r in got) for k in range(3)]
-    assert len(got) == 102 and min(r["rate"] for r in got) >= 0
-    assert np.allclose(np.array(total) / 3000, [0.8, 0.15, 0.05], atol=0.01)
-    assert mixing.mixing_rates(docs.limit(0), mixing.quality_domains(labels), shares).count() == 0
-    assert len(mixing.mixing_rates(docs, mixing.quality_domains(labels.limit(0)), shares).collect()) == 102
+    assert len(got) == 105 and min(r["rate"] for r in got) >= 0
+    assert sorted(n) == sorted(len(spaced(t)) for _, t in rows)
+    assert np.allclose(np.array(total) / sum(n), [0.8, 0.15, 0.05], atol=0.003)
+    assert all(r["posteriors"][(0 if r["doc_id"] < 60 else 1 if r["doc_id"] < 90 else 2)] > 0.8 for r in got if r["n_tokens"] == 30)
+    assert mixing.mixing_rates(docs.limit(0), domains, shares).count() == 0
+    none = mixing.mixing_rates(docs, mixing.quality_domains(labels.limit(0)), shares).collect()
+    assert len(none) == 105 and all(np.allclose(r["posteriors"], 1 / 3) for r in none)
+
+
+def test_mixing_rates_are_least_squares(spark):
+    """Against a dense solver, within reach and out of it."""
+    rng = np.random.default_rng(8)
+    p = rng.dirichlet([0.4, 0.2, 0.1], 300)
+    n = rng.integers(0, 200, 300)
+    rows = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "n_tokens bigint, posteriors array<double>")
+    for targets, near in (([0.7, 0.25, 0.05], 0.002), ([0.3, 0.3, 0.4], 0.002), ([1.0, 0.0, 0.0], 0.2)):
+        goal = np.array(targets) * n.sum()
+        with warnings.catch_warnings(record=True) as said:
+            warnings.simplefilter("always")
+            column, totals = mixing.fit_rates(rows, goal.tolist())
+        rates = np.array([r["r"] for r in rows.select(column.alias("r")).collect()])
+        assert rates.min() >= 0 and np.allclose((rates * n) @ p, totals, rtol=1e-6)
+        r = np.ones(300)
+        for _ in range(20_000):  # plain projected gradient
+            r = np.maximum(0, r - 0.2 * p @ (((r * n) @ p - goal) / n.sum()))
+        best = np.abs((r * n) @ p - goal).sum() / n.sum()
+        assert np.abs(np.array(totals) - goal).sum() / n.sum() <= max(near, 1.2 * best)
+        assert any("out of reach" in str(w.message) for w in said) == (np.abs(np.array(totals) - goal).sum() / n.sum() > mixing.TOLERANCE)
 
 
 @pytest.mark.parametrize("shard_bytes", [4 << 20, 30_000])
