@@ -12,10 +12,15 @@ not each other.
 
 Documents with equal sets are one class. In a bucket each document is compared
 with its leader first; what links is one component, and only pairs of different
-components that still share a bucket are looked at after that, so that a large
-group of near copies does not give all its pairs. Their number c of shared prefix
-tokens bounds the overlap by c + max(n_a - prefix_a, n_b - prefix_b); those that can
-still reach the similarity are verified. No candidate is dropped.
+components are looked at after that, so that a large group of near copies does not
+give all its pairs. Two documents must share m tokens of their prefixes, as many as
+    ceil(PERCENT (n_a + n_b) / (100 + PERCENT)) - max(n_a - prefix_a, n_b - prefix_b).
+A document's tokens are put in order of how many documents meet at them, the most
+crowded last: the first that two share has m - 1 more behind it in both, so
+they are a candidate only where that many are left. Thus crowded tokens, which come
+last, hardly make any; each document's last one makes none. Candidates are verified
+on their whole sets; none is dropped. Within a bucket the test of two counts and
+two sizes is still made for each pair of different components.
 
 A task sends each bucket one document, the leader of those it has itself. The
 leader is the document with the fewest rare tokens: of edited copies, the least edited.
@@ -36,13 +41,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgloom.llm.common import connected_components, hinted, materialize, shuffle_partitions
 from kgloom.llm.words import BY_SPACE, Words, grams, mix, word_slices
 
 SHINGLE, PERCENT = 5, 75
+#: Which tokens are frequent, and how many of them are combined: these change the index and its size, never the links.
 FREQUENT, LEAST = 200_000, 8
 COMBINED = 12
 _U = np.uint64
@@ -254,12 +260,16 @@ def _alike(n_a: Column, n_b: Column) -> Column:
     return F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * PERCENT
 
 
+def _needed(n_a: Column, n_b: Column) -> Column:
+    """How many tokens of both prefixes sets of these sizes share at least if they reach the similarity."""
+    least = F.ceil((n_a + n_b) * PERCENT / F.lit(100 + PERCENT))
+    return least - F.greatest(n_a - _width(n_a), n_b - _width(n_b))
+
+
 def _able(pairs: DataFrame) -> DataFrame:
     """Pairs (a, b, c, n_a, n_b) whose sizes, and c shared tokens of the prefixes, allow the similarity."""
     n_a, n_b = F.col("n_a"), F.col("n_b")
-    most = F.col("c") + F.greatest(n_a - _width(n_a), n_b - _width(n_b))
-    least = (n_a + n_b) * PERCENT / F.lit(100 + PERCENT)
-    return pairs.filter(_alike(n_a, n_b) & (most >= least)).select("a", "b")
+    return pairs.filter(_alike(n_a, n_b) & (F.col("c") >= _needed(n_a, n_b))).select("a", "b")
 
 
 def _sized(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -296,17 +306,17 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     star = _verified(_able(_sized(first.unionByName(over).dropDuplicates(["a", "b"]), sizes)), docs, "star")
 
     found = connected_components(star)
-    placed = met.select("slot", "kind", "doc_id").distinct().join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    placed = placed.join(sizes, "doc_id")  # sizes go with the slots, so that pairs need no join to be judged
+    single = met.filter(F.col("kind") != _PAIR).select("slot", "doc_id").distinct()
+    placed = single.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").join(sizes, "doc_id").withColumn("component", F.coalesce("component", "doc_id"))
     placed = materialize(placed, "placed")
-    open_slots = placed.groupBy("slot").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count_if(F.col("kind") != _LIGHT).alias("k")).filter("x < y AND k > 0").select("slot")
-    still = materialize(placed.join(open_slots, "slot", "left_semi"), "open")
-    left, right = (still.select("slot", F.col("doc_id").alias(c), F.col("kind").alias(f"k_{c}"), F.col("component").alias(f"c_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
-    # light ones do not meet at a single frequent token; their combinations stand for up to COMBINED of them
-    both = left.join(right, "slot").filter(F.expr(f"c_a < c_b AND NOT (k_a = {_LIGHT} AND k_b = {_LIGHT})") & _alike(F.col("n_a"), F.col("n_b")))
-    shared = both.groupBy("a", "b").agg((F.count_if((F.col("k_a") != _PAIR) | (F.col("k_b") != _PAIR)) + F.lit(COMBINED) * F.max(((F.col("k_a") == _PAIR) & (F.col("k_b") == _PAIR)).cast("int"))).alias("c"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
-    lone = F.col("c") + 2  # a light pair may share one frequent token without a combination; two tokens may share a slot
-    rest = _verified(_able(shared.withColumn("c", lone)), docs, "rest")
+    open_slots = placed.groupBy("slot").agg(F.count("*").alias("members"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("slot", "members")
+    # tail: how many of the document's slots are left from this one on, the most crowded last
+    last = Window.partitionBy("doc_id").orderBy(F.desc("members"), F.desc("slot"))
+    still = placed.join(open_slots, "slot").withColumn("tail", F.row_number().over(last)).filter("tail > 1").select("slot", "doc_id", "component", "n", "tail")
+    still = materialize(still, "open")
+    left, right = (still.select("slot", F.col("doc_id").alias(c), F.col("component").alias(f"c_{c}"), F.col("n").alias(f"n_{c}"), F.col("tail").alias(f"t_{c}")) for c in "ab")
+    able = (F.col("c_a") < F.col("c_b")) & _alike(F.col("n_a"), F.col("n_b")) & (F.least("t_a", "t_b") >= _needed(F.col("n_a"), F.col("n_b")))
+    rest = _verified(left.join(right, "slot").filter(able).select("a", "b").distinct(), docs, "rest")
 
     found = connected_components(star.unionByName(rest)).withColumnRenamed("component", "of")
     rows = index.select("doc_id", "n").join(copies, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
