@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,6 +91,34 @@ def others(keep: tuple[str, ...], *results: str) -> tuple[str, ...]:
     return tuple(c for c in dict.fromkeys(keep) if c not in results)
 
 
+#: What tasks of one kind keep in a Python worker from one task to the next; a task of another kind drops it.
+CACHE: dict[str, object] = {}
+
+
+def _give_back() -> None:
+    """Free memory goes back to the system, as workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], cache: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`f` for mapInArrow, in a worker that keeps no cache but `cache` and no free memory."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name in [k for k in CACHE if k != cache]:
+            del CACHE[name]
+        _give_back()
+        try:
+            yield from f(batches)
+        finally:
+            _give_back()
+
+    return task
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

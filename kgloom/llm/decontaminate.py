@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import materialize
-from kgloom.llm.words import BY_ALNUM, Words, utf8, word_slices
+from kgloom.llm.common import lean, materialize
+from kgloom.llm.words import BY_ALNUM, Words, slices, utf8, word_slices
 
 BLOCK_BYTES = 16 << 20
+#: Text of a training shard, which has an index of its own.
+PIECE_BYTES = 8 << 20
 #: One suffix in so many has its position stored.
 SAMPLE_RATE = 8
 
@@ -238,6 +240,13 @@ def _extend(spans: list[tuple[int, int]], a: int, b: int) -> None:
         spans.append((a, b))
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most PIECE_BYTES of text, or one row."""
+    for batch in batches:
+        for i, j in slices(utf8(batch.column("text"))[1], PIECE_BYTES):
+            yield batch.slice(i, j - i)
+
+
 _SPANS = "array<struct<first:bigint,end:bigint>>"
 _ARROW_SPANS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 
@@ -251,8 +260,8 @@ def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> It
         yield [(r["item_id"], r["text"]) for r in rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()], k == n - 1
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, keep: tuple[str, ...] = ("doc_id",), block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """`keep`, n_words, spans (hit words, merged, [first, end)) and items (sorted) of each row.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, keep: tuple[str, ...] = ("doc_id",), block_bytes: int = BLOCK_BYTES, cut: bool = False) -> DataFrame:
+    """`keep` (with the spans taken out of text if `cut`), n_words, spans (hit words, merged, [first, end)) and items (sorted) of each row.
 
     The result of each block but the last is written before the next is collected.
     """
@@ -261,9 +270,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, keep:
     for k, (block, last) in enumerate(benchmark_blocks(benchmark, block_bytes)):
         carry = not last and "text" not in keep
 
-        def scan(batches: Iterator[pa.RecordBatch], block=block, k=k, carry=carry) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch], block=block, k=k, carry=carry, last=last) -> Iterator[pa.RecordBatch]:
             p = phrases(block, width)
-            for batch in batches:
+            for batch in _pieces(batches):
                 n_words, spans, items = _scan(batch, p)
                 if k:
                     for d, (old, named) in enumerate(zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True)):
@@ -271,16 +280,29 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, keep:
                         for a, b in sorted([*((s["first"], s["end"]) for s in old), *spans[d]]):
                             _extend(merged, a, b)
                         spans[d], items[d] = merged, items[d] + named
+                if cut and last and any(spans):
+                    batch = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array([_without(t, [{"first": a, "end": b} for a, b in s]) if s else t for t, s in zip(batch.column("text").to_pylist(), spans, strict=True)], pa.string()))
                 columns = {c: batch.column(c) for c in keep} | ({"text": batch.column("text")} if carry else {})
                 columns |= {"n_words": pa.array(n_words, pa.int64()), "spans": pa.array([[{"first": a, "end": b} for a, b in s] for s in spans], _ARROW_SPANS), "items": pa.array([sorted(set(x)) for x in items], pa.list_(pa.string()))}
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-        rows = rows.mapInArrow(scan, f"{fields}{', text string' if carry else ''}, n_words bigint, spans {_SPANS}, items array<string>")
+        rows = rows.mapInArrow(lean(scan), f"{fields}{', text string' if carry else ''}, n_words bigint, spans {_SPANS}, items array<string>")
         if not last:
             rows = materialize(rows, "decontaminated")
     return rows
 
 
+def _without(text: str, spans: list[dict[str, int]]) -> str:
+    """`text` without the spans' words, each from its first word's first byte to its last word's last."""
+    raw = text.encode()
+    words = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), BY_ALNUM, lower=True)
+    keep, at = [], 0
+    for s in spans:
+        keep.append(raw[at : int(words.start[s["first"]])])
+        at = int(words.end[s["end"] - 1])
+    return b"".join([*keep, raw[at:]]).decode()
+
+
 def cut_spans(rows: DataFrame) -> DataFrame:
     """`rows` with the spans' words taken out of text, from the first word's first byte to the last word's last; n_chars, where there is one, counts anew."""
 
@@ -289,14 +311,8 @@ def cut_spans(rows: DataFrame) -> DataFrame:
             spans = batch.column("spans").to_pylist()
             texts = batch.column("text").to_pylist()
             for d in (d for d, s in enumerate(spans) if s):
-                raw = texts[d].encode()
-                words = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), BY_ALNUM, lower=True)
-                keep, at = [], 0
-                for s in spans[d]:
-                    keep.append(raw[at : int(words.start[s["first"]])])
-                    at = int(words.end[s["end"] - 1])
-                texts[d] = b"".join([*keep, raw[at:]]).decode()
+                texts[d] = _without(texts[d], spans[d])
             yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
 
-    out = rows.mapInArrow(cut, rows.schema)
+    out = rows.mapInArrow(lean(cut), rows.schema)
     return out.withColumn("n_chars", F.when(F.size("spans") > 0, F.char_length("text").cast(rows.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))) if "n_chars" in rows.columns else out

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import connected_components, hinted, materialize, shuffle_partitions
+from kgloom.llm.common import connected_components, hinted, lean, materialize, shuffle_partitions
 from kgloom.llm.words import BY_SPACE, Words, grams, mix, word_slices
 
 SHINGLE, PERCENT = 5, 75
@@ -109,7 +109,7 @@ def frequent_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
             often = n >= LEAST
             yield pa.RecordBatch.from_arrays([pa.array(low[often].astype(np.int64) + (b << 24)), pa.array(n[often])], names=["slot", "n"])
 
-    rows = docs.select("text").mapInArrow(counted, "bucket int, low binary, n binary").repartition(parts, "bucket").mapInArrow(summed, "slot bigint, n bigint")
+    rows = docs.select("text").mapInArrow(lean(counted), "bucket int, low binary, n binary").repartition(parts, "bucket").mapInArrow(lean(summed), "slot bigint, n bigint")
     top = rows.orderBy(F.desc("n"), "slot").limit(FREQUENT).toArrow()
     slot, n = top.column("slot").to_numpy(), top.column("n").to_numpy()
     order = np.argsort(slot)
@@ -127,7 +127,7 @@ def _signatures(docs: DataFrame) -> DataFrame:
                 sums = [np.add.reduceat(np.append(mix(token ^ _U(s)), _U(0)), first[:-1]) * (size > 0).astype(_U) for s in (0x1234567, 0x89ABCDEF01)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(size, pa.int64()), *(pa.array(s.view(np.int64)) for s in sums)], names=["doc_id", "n", "sig_a", "sig_b"])
 
-    return docs.select("doc_id", "text").mapInArrow(signed, "doc_id bigint, n bigint, sig_a bigint, sig_b bigint")
+    return docs.select("doc_id", "text").mapInArrow(lean(signed), "doc_id bigint, n bigint, sig_a bigint, sig_b bigint")
 
 
 def _prefix(own: np.ndarray, df: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -227,7 +227,7 @@ def _meetings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray, int]) ->
         some = size > 1
         yield from _met(slot[order][some], kind[order][some], doc[order][some], doc[leader[some]])
 
-    rows = docs.select("doc_id", "text").mapInArrow(indexed, _MET).repartition(parts, "bucket").mapInArrow(led, _MET)
+    rows = docs.select("doc_id", "text").mapInArrow(lean(indexed), _MET).repartition(parts, "bucket").mapInArrow(lean(led), _MET)
     return rows.select("slot", "kind", "doc_id", "leader")
 
 
@@ -240,7 +240,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 token, first = shingle_sets(words)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(token.view(np.int64)))], names=["doc_id", "tokens"])
 
-    return docs.select("doc_id", "text").join(hinted(ids), "doc_id", "left_semi").mapInArrow(sets, "doc_id bigint, tokens array<bigint>")
+    return docs.select("doc_id", "text").join(hinted(ids), "doc_id", "left_semi").mapInArrow(lean(sets), "doc_id bigint, tokens array<bigint>")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgloom.llm.common import lean
 from kgloom.llm.words import slices
 
 DIMENSIONS = 1024
@@ -107,7 +108,7 @@ def train_language_profiles(docs: DataFrame) -> tuple[list[str], np.ndarray]:
         for name, sums in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([sums.tolist()], pa.list_(pa.float64()))], names=["lang", "bundle"])
 
-    rows = docs.filter("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text").mapInArrow(bundles, "lang string, bundle array<double>")
+    rows = docs.filter("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text").mapInArrow(lean(bundles), "lang string, bundle array<double>")
     sums = rows.select("lang", F.posexplode("bundle").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     found = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
     if len(found) > MAX_LANGUAGES:
@@ -132,4 +133,4 @@ def predict_language(docs: DataFrame, languages: list[str], prototypes: np.ndarr
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores)], names=[*keep, "lang_pred", "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, "text").mapInArrow(predict, f"{fields}, lang_pred string, score double")
+    return docs.select(*keep, "text").mapInArrow(lean(predict), f"{fields}, lang_pred string, score double")

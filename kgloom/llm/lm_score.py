@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import byte_shards, materialize, shuffle_partitions
+from kgloom.llm.common import byte_shards, lean, materialize, shuffle_partitions
 from kgloom.llm.words import BY_SPACE, Words, mix, word_slices
 
 DISCOUNT, MASS = 0.75, 1000.0
@@ -194,8 +194,8 @@ def score_texts(docs: DataFrame, train: str, keep: tuple[str, ...] = ("doc_id",)
     shards = max(1, shards)
     parts = max(shuffle_partitions(spark), shards // 2)
     rows = docs.select(*dict.fromkeys((*keep, "text")), shard.alias("shard"), F.coalesce(F.expr(train), F.lit(True)).alias("train"))
-    asked = rows.select("shard", "train", "text").mapInArrow(_ask(3 * parts), _ASKED)
-    answers = materialize(asked.repartition(parts, "bucket").mapInArrow(_answer, _ROWS), "lm-counts")
+    asked = rows.select("shard", "train", "text").mapInArrow(lean(_ask(3 * parts)), _ASKED)
+    answers = materialize(asked.repartition(parts, "bucket").mapInArrow(lean(_answer), _ROWS), "lm-counts")
     stats = answers.filter(F.col("kind") == _STATS).agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = stats["n"] or 0, stats["v"] or 0
     unknown = DISCOUNT * v / n if n else 1.0

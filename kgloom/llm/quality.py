@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgloom.llm.common import lean
 from kgloom.llm.words import BY_SPACE, word_slices
 
 #: Rows of each kind that the model is fitted on.
@@ -109,7 +110,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, train: str = "true", sampl
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("kind"), pa.array([x.tobytes() for x in text_features(batch)], pa.binary())], names=["doc_id", "kind", "x"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "kind", "text").mapInArrow(features, "doc_id bigint, kind int, x binary")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "kind", "text").mapInArrow(lean(features), "doc_id bigint, kind int, x binary")
     got = sorted(((r["kind"], r["doc_id"], bytes(r["x"])) for r in rows.limit(4 * sample).collect()))
     p, u = (np.array([np.frombuffer(x, np.float32) for k, _, x in got if k == kind], np.float32).reshape(-1, FEATURES) for kind in (1, 0))
     if not len(p) or not len(u):
@@ -125,4 +126,4 @@ def score_quality(docs: DataFrame, model: QualityModel, keep: tuple[str, ...] =
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(model.scores(text_features(batch)).astype(np.float64))], names=[*keep, "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*dict.fromkeys((*keep, "text"))).mapInArrow(scored, f"{fields}, score double")
+    return docs.select(*dict.fromkeys((*keep, "text"))).mapInArrow(lean(scored), f"{fields}, score double")

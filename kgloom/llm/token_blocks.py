@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import shared_dir, shuffle_partitions
+from kgloom.llm.common import CACHE, lean, shared_dir, shuffle_partitions
 
 BLOCK = 256
 #: Residuals up to this share of a block are packed; larger ones become exceptions.
@@ -222,13 +222,12 @@ class _Encoder:
         return out
 
 
-_encoders: dict[str, _Encoder] = {}
-
-
 def _encoder(path: str) -> _Encoder:
-    if path not in _encoders:
-        _encoders[path] = _Encoder(path)
-    return _encoders[path]
+    """The encoder that this worker has kept, if it is for the same tokenizer."""
+    kept = CACHE.get("tokens")
+    if kept is None or kept[0] != path:
+        kept = CACHE["tokens"] = (path, _Encoder(path))
+    return kept[1]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
@@ -266,7 +265,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
         docs.select("doc_id", "text")
         .repartitionByRange(shuffle_partitions(spark), "doc_id", F.xxhash64("text"))
         .sortWithinPartitions("doc_id", "text")
-        .mapInArrow(segments, "part int, place bigint, start bigint, n_ids bigint, segment binary")
+        .mapInArrow(lean(segments, "tokens"), "part int, place bigint, start bigint, n_ids bigint, segment binary")
         .write.option("compression", "none")
         .parquet(path)
     )
@@ -294,7 +293,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 each = [raw[4 * (e - k) : 4 * e] for e, k in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array([part] * len(doc_ids), pa.int32()), pa.array(start + ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array([zlib.crc32(x) for x in each], pa.int64()), pa.array(each, pa.binary())], names=["doc_id", "part", "inner", "n_tokens", "ids_crc32", "ids"])
 
-    rows = spark.read.parquet(path).select("part", "start", "segment").mapInArrow(documents, "doc_id bigint, part int, inner bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
+    rows = spark.read.parquet(path).select("part", "start", "segment").mapInArrow(lean(documents), "doc_id bigint, part int, inner bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
     return rows.join(F.broadcast(part_starts(spark, path)), "part").select("doc_id", (F.col("before") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32", "ids")
 
 
