@@ -41,7 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out of texts; n_chars, where there is one, counts anew."""
     rows, keep, back = _hidden(docs)
-    found = decontaminate.cut_spans(decontaminate.decontaminate(rows, table(spark, sf_dir, "benchmark"), keep=keep))
+    found = decontaminate.decontaminate(rows, table(spark, sf_dir, "benchmark"), keep=keep, cut=True)
     cut = F.size("spans") > 0
     counted = {"n_chars": lambda c: F.when(cut, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(c)}
     return found.select(*(counted.get(c, lambda x: x)(b).alias(c) for c, b in zip(docs.columns, back, strict=True)))
