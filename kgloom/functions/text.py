@@ -10,6 +10,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
+# White space as Unicode text trimming takes it, and the patterns of sentences, tokens and slugs, which decide results.
+BLANK = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+LINE_END = r"[\x0A-\x0D\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+SENTENCE_END = rf"(?<=[。！？!?]){BLANK}*|\n+"
+TOKEN = r"[a-z0-9]{3,}|[㐀-鿿]{2}"
+SLUG_DROPS = r'[\\/:*?"<>|#^\[\]]'
+
+
+def stripped(text: Column) -> Column:
+    """`text` without white space at its ends."""
+    return F.regexp_replace(text, rf"^{BLANK}+|{BLANK}+\z", "")
+
+
 @F.pandas_udf(StringType())
 def normalize(names: pd.Series) -> pd.Series:
     """NFKC, case folding, trimmed, single spaces; apply it to distinct names."""
@@ -18,23 +31,23 @@ def normalize(names: pd.Series) -> pd.Series:
 
 def tokens(text: Column) -> Column:
     """Distinct latin or digit runs of three or more, and pairs of Han characters."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]{3,}|[㐀-鿿]{2}"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)))
 
 
 def sentences(text: Column) -> Column:
     """Trimmed sentences, cut after a full stop, exclamation or question mark (ASCII full stops do not cut) and at line ends."""
-    parts = F.split(text, r"(?<=[。！？!?])\s*|\n+")
-    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, SENTENCE_END), stripped), lambda s: s != "")
 
 
 def mentioned(text: Column, name: Column) -> Column:
     """Whether `name` occurs: an ASCII name as a whole word in any case, another as a folded substring; a blank one never."""
-    quoted = F.concat(F.lit(r"(?i)(?<![A-Za-z0-9_])\Q"), name, F.lit(r"\E(?![A-Za-z0-9_])"))
+    literal = F.replace(name, F.lit(r"\E"), F.lit(r"\E\\E\Q"))  # a name may hold the end of a quotation
+    quoted = F.concat(F.lit(r"(?i)(?<![A-Za-z0-9_])\Q"), literal, F.lit(r"\E(?![A-Za-z0-9_])"))
     return F.coalesce(F.when(F.trim(name) == "", False).when(name.rlike(r"^[\x00-\x7f]+$"), F.rlike(text, quoted)).otherwise(F.contains(F.lower(text), F.lower(name))), F.lit(False))
 
 
 def slug(name: Column) -> Column:
-    return F.coalesce(F.nullif(F.trim(F.regexp_replace(name, r'[\\/:*?"<>|#^\[\]]', "")), F.lit("")), F.lit("untitled"))
+    return F.coalesce(F.nullif(F.trim(F.regexp_replace(name, SLUG_DROPS, "")), F.lit("")), F.lit("untitled"))
 
 
 def timestamp_seconds(stamp: Column) -> Column:

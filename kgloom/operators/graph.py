@@ -55,10 +55,10 @@ def resolve(norms: DataFrame, entities: DataFrame, former: DataFrame, aliases: D
         .unionByName(former.select("norm", "entity_id", F.lit(1).alias("rank")))
         .unionByName(aliases.select(F.col("norm_alias").alias("norm"), "entity_id", F.lit(2).alias("rank")))
     )
-    best = candidates.groupBy("norm").agg(F.min("rank").alias("rank"))
-    owners = candidates.join(best, ["norm", "rank"]).groupBy("norm").agg(F.countDistinct("entity_id").alias("n"), F.min("entity_id").alias("entity_id"))
-    status = F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "ambiguous").otherwise("found")
-    return norms.join(owners, "norm", "left").select("norm", F.when(F.col("n") == 1, F.col("entity_id")).alias("entity_id"), status.alias("status"))
+    ends = lambda f: [f(F.when(F.col("rank") == k, F.col("entity_id"))) for k in range(3)]
+    owners = candidates.groupBy("norm").agg(F.coalesce(*ends(F.min)).alias("least"), F.coalesce(*ends(F.max)).alias("most"))
+    status = F.when(F.col("least").isNull(), "missing").when(F.col("least") < F.col("most"), "ambiguous").otherwise("found")
+    return norms.join(owners, "norm", "left").select("norm", F.when(F.col("least") == F.col("most"), F.col("least")).alias("entity_id"), status.alias("status"))
 
 
 def closure(classes: DataFrame, depth: int = 16) -> DataFrame:
@@ -73,12 +73,14 @@ def closure(classes: DataFrame, depth: int = 16) -> DataFrame:
 
 
 def validated(triples: DataFrame, entities: DataFrame, classes: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Named triples with `error`: unknown relation, then domain, then range; null where the triple holds. The ontology tables are small."""
+    """Named triples with `error`: unknown relation, then unknown class of either end, then domain, then range; null where the triple holds."""
     up = closure(classes)
-    known = F.broadcast(signatures.select("predicate").distinct().withColumn("known", F.lit(True)))
-    side = lambda kind, end: F.broadcast(signatures.select("predicate", F.col(kind).alias("ancestor")).distinct().join(up, "ancestor").select("predicate", F.col("class").alias(f"{end}_type"), F.lit(True).alias(f"{kind}_ok")).distinct())
+    known = signatures.select("predicate").distinct().withColumn("known", F.lit(True))
+    listed = lambda end: classes.select(F.col("class").alias(f"{end}_type"), F.lit(True).alias(f"{end}_listed")).distinct()
+    side = lambda kind, end: signatures.select("predicate", F.col(kind).alias("ancestor")).distinct().join(up, "ancestor").select("predicate", F.col("class").alias(f"{end}_type"), F.lit(True).alias(f"{kind}_ok")).distinct()
     named = with_names(triples, entities).join(known, "predicate", "left").join(side("domain", "subject"), ["predicate", "subject_type"], "left").join(side("range", "object"), ["predicate", "object_type"], "left")
-    return named.withColumn("error", F.when(F.col("known").isNull(), "relation").when(F.col("domain_ok").isNull(), "domain").when(F.col("range_ok").isNull(), "range"))
+    named = named.join(listed("subject"), "subject_type", "left").join(listed("object"), "object_type", "left")
+    return named.withColumn("error", F.when(F.col("known").isNull(), "relation").when(F.col("subject_listed").isNull() | F.col("object_listed").isNull(), "class").when(F.col("domain_ok").isNull(), "domain").when(F.col("range_ok").isNull(), "range"))
 
 
 def first_wins(triples: DataFrame) -> DataFrame:

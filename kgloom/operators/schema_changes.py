@@ -11,7 +11,7 @@ from kgloom.operators.graph import KEY, closure, validated
 def type_meet(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """`pairs` (id, type, incoming) with `met` and `outcome`: keep the narrower type, refine to a narrower incoming one, or conflict."""
     up = closure(classes)
-    of = lambda a, b, c: F.broadcast(up.select(F.col("class").alias(a), F.col("ancestor").alias(b), F.lit(True).alias(c)))
+    of = lambda a, b, c: up.select(F.col("class").alias(a), F.col("ancestor").alias(b), F.lit(True).alias(c))
     both = pairs.join(of("type", "incoming", "_keep"), ["type", "incoming"], "left").join(of("incoming", "type", "_refine"), ["incoming", "type"], "left")
     keep = F.col("_keep").isNotNull() | (F.col("type") == F.col("incoming"))
     outcome = F.when(keep, "keep").when(F.col("_refine").isNotNull(), "refine").otherwise("conflict")

@@ -118,8 +118,8 @@ def _targets(spark, sf_dir):
     return judgments.triple_targets(_named(spark, sf_dir))
 
 
-_TARGETS = r""", t AS (SELECT DISTINCT s.name || ' ' || predicate || ' ' || o.name AS title, source, sha256(concat_ws(chr(31), 'triple', s.name, predicate, o.name, source)) AS key FROM triples JOIN entities s ON s.id = subject_id JOIN entities o ON o.id = object_id),
-saved AS (SELECT key, key < '8' AS reviewed, key < 'c' AS included, CASE WHEN key < '4' THEN 'agree' ELSE 'unset' END AS stance FROM t WHERE right(key, 1) < '8' UNION ALL SELECT 'gone', true, true, 'agree')"""
+_TARGETS = r""", t AS MATERIALIZED (SELECT DISTINCT s.name || ' ' || predicate || ' ' || o.name AS title, source, sha256(concat_ws(chr(31), 'triple', s.name, predicate, o.name, source)) AS key FROM triples JOIN entities s ON s.id = subject_id JOIN entities o ON o.id = object_id),
+saved AS MATERIALIZED (SELECT key, key < '8' AS reviewed, key < 'c' AS included, CASE WHEN key < '4' THEN 'agree' ELSE 'unset' END AS stance FROM t WHERE right(key, 1) < '8' UNION ALL SELECT 'gone', true, true, 'agree')"""
 
 
 def _saved(spark, targets):
@@ -195,21 +195,43 @@ def takeout_ids(spark, sf_dir):
     return takeout.takeout_ids(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), line.alias("line")))
 
 
-@query("WITH e AS (SELECT event_id, (epoch_us(ts) // 1000) % 86400000 AS a, event_type FROM events) SELECT event_id, a / 1000.0::DOUBLE AS \"start\", (a + 1500) / 1000.0::DOUBLE AS \"end\", event_type AS text FROM e")
+@query("WITH e AS (SELECT event_id, (epoch_us(ts) // 1000) % 86400000 AS a, event_type FROM events) SELECT event_id, a / 1000.0::DOUBLE AS \"start\", (a + 1500) / 1000.0::DOUBLE AS \"end\", event_type || ' <&' AS text FROM e")
 def json3_captions(spark, sf_dir):
     ms = F.unix_millis(F.col("ts").cast("timestamp")) % 86400000
-    doc = F.to_json(F.struct(F.array(F.struct(ms.alias("tStartMs"), F.lit(1500).alias("dDurationMs"), F.array(F.struct(F.col("event_type").alias("utf8"))).alias("segs"))).alias("events")))
+    doc = F.to_json(F.struct(F.array(F.struct(ms.alias("tStartMs"), F.lit(1500).alias("dDurationMs"), F.array(F.struct(F.concat("event_type", F.lit(" &lt;")).alias("utf8")), F.struct(F.lit("&amp; ").alias("utf8"))).alias("segs"))).alias("events")))
     return _table(spark, sf_dir, "events").select("event_id", F.inline(captions.json3_segments(doc)))
 
 
-@query("SELECT doc_id, length(trim(coalesce(text, ''))) > 0 AS valid FROM documents")
+#: What transcript_valid puts before texts, by doc_id, so that payloads of every kind occur.
+HEADS = ["", "\ufeff \n", "[Music] ", "#EXT-X-STREAM ", "<error>", "<Header> ", "https://a.b/c see ", "\t{", " <?xml ", "<!DOCTYPE x>", "http:/ "]
+
+
+@query(rf"""WITH h AS (SELECT doc_id, [{", ".join("'" + h.replace(chr(10), "' || chr(10) || '") + "'" for h in HEADS)}][doc_id % {len(HEADS)} + 1] || coalesce(text, '') AS t FROM documents), b AS (SELECT doc_id, regexp_replace(t, '{captions.BEFORE}', '') AS t FROM h)
+SELECT doc_id, t <> '' AND NOT regexp_matches(t, '{captions.PAYLOAD}') AND len(list_filter(regexp_split_to_array(t, '{T.LINE_END}'), lambda l: NOT regexp_matches(l, '^{T.BLANK}*(https?://|\z)'))) > 0 AS valid FROM b""")
 def transcript_valid(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", captions.valid_transcript(F.col("text")).alias("valid"))
+    head = F.get(F.array(*map(F.lit, HEADS)), (F.col("doc_id") % len(HEADS)).cast("int"))
+    text = F.concat(head, F.coalesce("text", F.lit("")))
+    return _table(spark, sf_dir, "documents").select("doc_id", captions.valid_transcript(text).alias("valid"))
+
+
+@query("""WITH e AS (SELECT event_id, event_id % 7 AS k, (epoch_us(ts) // 1000) % 60000 AS a, event_type FROM events)
+SELECT event_id, a / 1000.0::DOUBLE AS "start", 60 + a / 1000.0::DOUBLE AS "end", event_type || ' &' || CASE WHEN k <> 3 THEN chr(10) || 'more' ELSE '' END AS text FROM e WHERE k <> 1 UNION ALL SELECT event_id, 1.5, 2.0, 'next' FROM e WHERE k = 3""")
+def vtt_captions(spark, sf_dir):
+    """Cues of a WebVTT text an event: some with a clock that starts later, some with an arrow within the text, some with a stamp that is none."""
+    k = F.col("event_id") % 7
+    ms = F.unix_millis(F.col("ts").cast("timestamp")) % 60000
+    stamp = lambda minute: F.format_string(f"00:{minute}:%02d.%03d", F.floor(ms / 1000), ms % 1000)
+    head = F.when(k == 1, "WEBVTT\nX-TIMESTAMP-MAP=LOCAL:00:00:00.000,MPEGTS:900000\n\n").when(k == 2, "WEBVTT\nX-TIMESTAMP-MAP=LOCAL:00:00:00.000,MPEGTS:0\n\n").otherwise("WEBVTT\n\n1\n")
+    tail = F.when(k == 3, "\n00:01,5 --> 00:02.0\nnext\n").otherwise("\n more \n\n1:2:3:4 --> 00:09.0\nlost\n")
+    text = F.concat(head, stamp("00"), F.lit(" --> "), stamp("01"), F.lit(" align:start\n<c>"), "event_type", F.lit("</c> &amp;"), tail)
+    return _table(spark, sf_dir, "events").select("event_id", F.inline(captions.vtt_segments(text)))
+
+
+_NAMED = "coalesce(text, '') || ' Nation_' || doc_id % 25 || 'x, nation_' || doc_id % 24 || ': supplier#' || lpad(CAST(doc_id % 90 AS {0}), 9, '0') || ' ships Red Rods and blue anvil'"
 
 
-@query(", d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), n AS (SELECT id, name FROM entities WHERE type = 'DefinedTerm') SELECT doc_id, id FROM d JOIN n ON regexp_matches(t, '(?i)(^|[^a-z0-9_])' || name || '([^a-z0-9_]|$)')")
+@query(f", d AS (SELECT doc_id, {_NAMED.format('VARCHAR')} AS t FROM documents) SELECT doc_id, id FROM d JOIN entities ON CASE WHEN contains(lower(t), lower(name)) THEN regexp_matches(t, '(?i)(^|[^a-z0-9_])' || name || '([^a-z0-9_]|$)') ELSE false END")
 def doc_mentions(spark, sf_dir):
-    """Mentions of the few defined terms (nations and regions: a fixed vocabulary)."""
-    terms = G.entities(spark, sf_dir).filter("type = 'DefinedTerm'").agg(F.collect_list(F.struct("id", "name")).alias("l")).first()["l"]
-    listed = F.array(*(F.when(T.mentioned(F.col("text"), F.lit(t["name"])), F.lit(t["id"])) for t in terms))
-    return _table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_compact(listed)).alias("id"))
+    """Mentions of all entities in texts that end with some of their names and with words that only begin so."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.expr(_NAMED.format("STRING")).alias("text"))
+    return documents.mentions(docs, G.entities(spark, sf_dir))

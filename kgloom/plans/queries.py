@@ -87,10 +87,10 @@ def kg_resolve(spark, sf_dir):
 _VALID = ", classes(class, parent) AS (VALUES " + ", ".join(f"('{c}', {repr(p) if p else 'NULL'})" for c, p in G.CLASSES) + "), sig(predicate, domain, range) AS (VALUES " + ", ".join(map(str, G.SIGNATURES)) + "), up AS (SELECT class, class AS ancestor FROM classes UNION ALL SELECT up.class, parent FROM up JOIN classes ON classes.class = up.ancestor WHERE parent IS NOT NULL), named AS (SELECT t.id, predicate, s.type AS st, o.type AS ot FROM triples t JOIN entities s ON s.id = subject_id JOIN entities o ON o.id = object_id), checked AS (SELECT id, CASE WHEN NOT EXISTS (SELECT 1 FROM sig WHERE sig.predicate = named.predicate) THEN 'relation' WHEN NOT EXISTS (SELECT 1 FROM sig JOIN up ON up.ancestor = domain WHERE sig.predicate = named.predicate AND up.class = st) THEN 'domain' WHEN NOT EXISTS (SELECT 1 FROM sig JOIN up ON up.ancestor = range WHERE sig.predicate = named.predicate AND up.class = ot) THEN 'range' END AS error FROM named)"
 
 
-def _validated(spark, sf_dir):
+def _validated(spark, sf_dir, entities=None):
     classes = spark.createDataFrame(G.CLASSES, "class string, parent string")
     signatures = spark.createDataFrame(G.SIGNATURES, "predicate string, domain string, range string")
-    return graph.validated(G.triples(spark, sf_dir), G.entities(spark, sf_dir), classes, signatures)
+    return graph.validated(G.triples(spark, sf_dir), entities or G.entities(spark, sf_dir), classes, signatures)
 
 
 @query(_VALID + " SELECT id FROM checked WHERE error IS NULL")
@@ -103,6 +103,13 @@ def kg_validate_reject(spark, sf_dir):
     return _validated(spark, sf_dir).filter("error IS NOT NULL").select("id", "error")
 
 
+@query(_VALID.replace("s.type AS st", "CASE WHEN s.id % 3 = 0 THEN 'Gadget' ELSE s.type END AS st").replace("o.type AS ot", "CASE WHEN o.id % 3 = 0 THEN 'Gadget' ELSE o.type END AS ot") + " SELECT id, CASE WHEN error <> 'relation' AND 'Gadget' IN (st, ot) THEN 'class' ELSE error END AS error FROM checked JOIN named USING (id) WHERE error IS NOT NULL OR 'Gadget' IN (st, ot)")
+def kg_validate_classes(spark, sf_dir):
+    """Errors where a third of the entities is of a class that the ontology lacks."""
+    odd = G.entities(spark, sf_dir).withColumn("type", F.when(F.col("id") % 3 == 0, "Gadget").otherwise(F.col("type")))
+    return _validated(spark, sf_dir, odd).filter("error IS NOT NULL").select("id", "error")
+
+
 @query(" , r AS (SELECT *, row_number() OVER (PARTITION BY subject_id, predicate, object_id, source ORDER BY id, confidence) AS k FROM triples) SELECT id, subject_id, predicate, object_id, confidence, source FROM r WHERE k = 1".strip())
 def kg_triple_dedupe_first_wins(spark, sf_dir):
     return graph.first_wins(G.triples(spark, sf_dir)).select("id", "subject_id", "predicate", "object_id", "confidence", "source")
@@ -165,9 +172,11 @@ def category_counts(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(T.categories(F.col("text"), RULES, "other")).alias("category")).groupBy("category").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, CAST(len(l) AS BIGINT) AS n, array_to_string(l, '|') AS sentences FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([。！？!?])[ \\t\\n\\f\\r]*', '\\1\n', 'g'), '\n+'), lambda s: trim(s, ' ')), lambda s: s <> '') AS l FROM documents)")
+@query("SELECT doc_id, CAST(len(l) AS BIGINT) AS n, array_to_string(l, '|') AS sentences FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([。！？!?])" + T.BLANK + r"*', '\1' || chr(10), 'g'), '\n+'), lambda s: regexp_replace(s, '^" + T.BLANK + "+|" + T.BLANK + r"+\z', '', 'g')), lambda s: s <> '') AS l FROM (SELECT doc_id, replace(replace(text, ' the ', '!' || chr(10) || chr(9) || ' ' || chr(10)), ' of ', chr(12288) || '。') AS text FROM documents))")
 def doc_sentences(spark, sf_dir):
-    found = T.sentences(F.col("text"))
+    """Sentences of texts in which two words became marks between white space of several kinds."""
+    marked = F.replace(F.replace("text", F.lit(" the "), F.lit("!\n\t \n")), F.lit(" of "), F.lit("\u3000。"))
+    found = T.sentences(marked)
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.size(found).cast("long").alias("n"), F.array_join(found, "|").alias("sentences"))
 
 

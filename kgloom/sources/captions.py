@@ -10,30 +10,49 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructType
 
+from kgloom.functions.text import LINE_END, stripped
+
 _SEGMENTS = ArrayType(StructType().add("start", DoubleType()).add("end", DoubleType()).add("text", StringType()))
-_STAMP = r"((?:\d+:)?\d+:\d+[.,]\d+)"
-_CUE = re.compile(rf"^\s*{_STAMP}\s+-->\s+{_STAMP}")
+# What counts as a cue, a clock origin, a tag and a payload that is no speech.
+_CUE = re.compile(r"\s*([\d:.,]+)\s+-->\s+([\d:.,]+)")
+_ORIGIN = re.compile(r"X-TIMESTAMP-MAP=LOCAL:([^,\s]+),MPEGTS:(\d+)")
+_TAG = re.compile(r"<[^>]+>")
+PAYLOAD = r"^(#EXTM3U|#EXT-X-|\{|\[|<\?xml)|^(?i:<(!doctype|html|head|body|error)([^\p{L}\p{N}_]|\z))"
+BEFORE = r"^[\x{FEFF} \r\n\t]+"
 _JSON3 = "struct<events:array<struct<tStartMs:double,dDurationMs:double,segs:array<struct<utf8:string>>>>>"
 
 
-def _seconds(stamp: str) -> float:
+def _seconds(stamp: str) -> float | None:
+    """Seconds of [hh:]mm:ss; None where it is none."""
     total = 0.0
-    for part in stamp.replace(",", ".").split(":"):
-        total = total * 60 + float(part)
-    return total
+    parts = stamp.replace(",", ".").split(":")
+    try:
+        for part in parts:
+            total = total * 60 + float(part)
+    except ValueError:
+        return None
+    return total if len(parts) in (2, 3) else None
 
 
 def _cues(text: str | None) -> list[tuple[float, float, str]]:
-    found: list[tuple[float, float, list[str]]] = []
-    inside = False
-    for line in (text or "").splitlines():
-        cue = _CUE.match(line)
-        if cue:
-            found.append((_seconds(cue[1]), _seconds(cue[2]), []))
-        elif inside and line.strip():
-            found[-1][2].append(html.unescape(re.sub(r"<[^>]*>", "", line)).strip())
-        inside = bool(cue) or (inside and bool(line.strip()))
-    return [(a, b, " ".join(x for x in body if x)) for a, b, body in found]
+    """A cue's text ends at a blank line or at the next arrow; a text whose clock does not start at zero has no cues."""
+    text = text or ""
+    if "X-TIMESTAMP-MAP" in text:
+        origin = _ORIGIN.search(text)
+        if not origin or int(origin[2]) or _seconds(origin[1]) != 0:
+            return []
+    found: list[tuple[str, str, list[str]]] = []
+    body: list[str] | None = None
+    for line in text.splitlines():
+        if "-->" in line or not line.strip():
+            cue, body = _CUE.match(line), None
+            if cue:
+                body = []
+                found.append((cue[1], cue[2], body))
+        elif body is not None:
+            body.append(line.strip())
+    timed = ((_seconds(a), _seconds(b), lines) for a, b, lines in found)
+    return [(a, b, html.unescape(_TAG.sub("", "\n".join(lines))).strip()) for a, b, lines in timed if a is not None and b is not None]
 
 
 @F.pandas_udf(_SEGMENTS)
@@ -54,15 +73,21 @@ def vtt_text(text: Column) -> Column:
     return F.array_join(F.array_distinct(spoken), "\n")
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _each_unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda all_: None if all_ is None else [html.unescape(s) for s in all_])
+
+
 def json3_segments(text: Column) -> Column:
-    """Cues of a JSON3 text; events without times are left out, and a text that is no JSON gives null."""
+    """Cues of a JSON3 text, with entities decoded; events without times are left out, and a text that is no JSON gives null (an error of that row alone)."""
     events = F.filter(F.from_json(text, _JSON3)["events"], lambda e: e["tStartMs"].isNotNull() & e["dDurationMs"].isNotNull() & e["segs"].isNotNull())
-    cue = lambda e: F.struct((e["tStartMs"] / 1000).alias("start"), ((e["tStartMs"] + e["dDurationMs"]) / 1000).alias("end"), F.trim(F.array_join(F.transform(e["segs"], lambda s: s["utf8"]), "")).alias("text"))
-    return F.transform(events, cue)
+    said = _each_unescaped(F.transform(events, lambda e: F.array_join(F.transform(e["segs"], lambda s: s["utf8"]), "")))
+    cue = lambda e, t: F.struct((e["tStartMs"] / 1000).alias("start"), ((e["tStartMs"] + e["dDurationMs"]) / 1000).alias("end"), stripped(t).alias("text"))
+    return F.zip_with(events, said, cue)
 
 
 def valid_transcript(text: Column) -> Column:
-    """False for a blank text, a playlist, JSON, XML or HTML payload, or nothing but URLs."""
-    lines = F.filter(F.transform(F.split(text, r"\r?\n"), lambda s: F.trim(s)), lambda s: s != "")
-    payload = F.rlike(F.ltrim(text), F.lit(r"^(?i)(#EXTM3U|\{|\[\s*[\{\[\]]|<\?xml|<!doctype|<html)"))
-    return F.coalesce((F.size(lines) > 0) & ~payload & ~F.forall(lines, lambda s: F.rlike(s, F.lit(r"^https?://\S+$"))), F.lit(False))
+    """False for a blank text, a playlist, JSON, XML or HTML payload, or lines that all start as URLs."""
+    body = F.regexp_replace(text, BEFORE, "")
+    lines = F.filter(F.transform(F.split(body, LINE_END), stripped), lambda s: s != "")
+    return F.coalesce((body != "") & ~F.rlike(body, F.lit(PAYLOAD)) & ~F.forall(lines, lambda s: F.rlike(s, F.lit("^https?://"))), F.lit(False))

@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """`df`, written to the folder of spark.checkpoint.dir; one of our own only where it is unset."""
+    """`df`, written to the folder of spark.checkpoint.dir; in local mode one of our own where it is unset."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kgloom-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="kgloom-")
+        context.setCheckpointDir(folder)
     return df.checkpoint()

@@ -62,6 +62,47 @@ def test_captions(spark):  # noqa: F811
     assert [r["k"] for r in texts.filter(captions.valid_transcript(F.col("t"))).collect()] == [0]
 
 
+def test_transcript_payloads(spark):  # noqa: F811
+    bad = ["[Music] hello", "#EXT-X-STREAM a", "<error>x</error>", "<BODY\n>", "https://a.b/c see this\u2028http://x", "\ufeff {", "\x0b", ""]
+    good = ["<errors>", "http:/x", "say [Music]", "https://a.b\x85then speech", "\x0b{"]
+    rows = spark.createDataFrame([(t,) for t in bad + good], "t string").withColumn("v", captions.valid_transcript(F.col("t"))).collect()
+    assert [r["t"] for r in rows if r["v"]] == good
+
+
+def test_caption_edges(spark):  # noqa: F811
+    vtt = {
+        "X-TIMESTAMP-MAP=LOCAL:00:00:01.000,MPEGTS:0\n00:01 --> 00:02\na": [],
+        "X-TIMESTAMP-MAP=MPEGTS:0\n00:01 --> 00:02\na": [],
+        "X-TIMESTAMP-MAP=LOCAL:00:00,MPEGTS:0\n00:01 --> 00:02\na\n b <i\n>c\n\nd": [(1.0, 2.0, "a\nb c")],
+        "00:01 --> 00:02\na\nb --> c\nd\n00:03 --> 00:04\ne\n1.2.3:0 --> 00:05\nf": [(1.0, 2.0, "a"), (3.0, 4.0, "e")],
+        "": [],
+    }
+    for text, cues in vtt.items():
+        row = spark.createDataFrame([(text,)], "t string").select(captions.vtt_segments("t").alias("v")).first()
+        assert [tuple(c) for c in row["v"]] == cues
+    json = '{"events":[{"tStartMs":0,"dDurationMs":500,"segs":[{"utf8":"&lt;a"},{},{"utf8":" &amp;amp; "}]}]}'
+    got = spark.createDataFrame([(json,), ("{",), (None,)], "t string").select(captions.json3_segments(F.col("t")).alias("v")).collect()
+    assert [r["v"] and [tuple(c) for c in r["v"]] for r in got] == [[(0.0, 0.5, "<a &amp;")], None, None]
+
+
+def test_sentences_and_mentions(spark):  # noqa: F811
+    import re
+
+    from kgloom.functions import text
+
+    texts = ["a!\n\tb\n\t\nc", "\u3000one。\u3000 two. three?!", "", "x\x1c\n\x85y ", "。。a"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("s", text.sentences(F.col("t"))).collect()
+    for r in rows:
+        assert r["s"] == [s.strip() for s in re.split(r"(?<=[。！？!?])\s*|\n+", r["t"]) if s.strip()], repr(r["t"])
+    names = ["Open AI", "C++", "++", "a\\Ed", "東京", "Zoë", "é", "open", " ", "b"]
+    docs = ["we like OPEN ai, c++ and a\\ed", "opened zoë東京都", "É ++", "c++x b_ _b", "", None]
+    entities = spark.createDataFrame(list(enumerate(names)), "id bigint, name string")
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    got = sorted(tuple(r) for r in documents.mentions(frame, entities).collect())
+    word = lambda n, t: re.search(r"(?<![A-Za-z0-9_])" + re.escape(n) + r"(?![A-Za-z0-9_])", t, re.I | re.A) if n.isascii() else n.casefold() in t.casefold()
+    assert got == sorted((d, e) for d, t in enumerate(docs) for e, n in enumerate(names) if t and n.strip() and word(n, t))
+
+
 def test_articles_and_takeout(spark):  # noqa: F811
     page = '<html><head><title> News_site </title></head><body><article><p>no</p></article><div class="a post_body"><p>One <b>two</b></p><script>var t="</p>"</script><p> </p><p>three</p></div></body></html>'
     rows = spark.createDataFrame([(page,), (None,), ("<article><p>x</p></article>",)], "html string")
