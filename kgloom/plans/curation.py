@@ -230,7 +230,7 @@ def vtt_captions(spark, sf_dir):
 _NAMED = "coalesce(text, '') || ' Nation_' || doc_id % 25 || 'x, nation_' || doc_id % 24 || ': supplier#' || lpad(CAST(doc_id % 90 AS {0}), 9, '0') || ' ships Red Rods and blue anvil'"
 
 
-@query(f", d AS (SELECT doc_id, {_NAMED.format('VARCHAR')} AS t FROM documents) SELECT doc_id, id FROM d JOIN entities ON CASE WHEN contains(lower(t), lower(name)) THEN regexp_matches(t, '(?i)(^|[^a-z0-9_])' || name || '([^a-z0-9_]|$)') ELSE false END")
+@query(f", d AS (SELECT doc_id, {_NAMED.format('VARCHAR')} AS t FROM documents), l AS MATERIALIZED (SELECT doc_id, t, lower(t) AS low FROM d), n AS MATERIALIZED (SELECT id, name, lower(name) AS low FROM entities) SELECT doc_id, id FROM l JOIN n ON CASE WHEN contains(l.low, n.low) THEN regexp_matches(t, '(?i)(^|[^a-z0-9_])' || name || '([^a-z0-9_]|$)') ELSE false END")
 def doc_mentions(spark, sf_dir):
     """Mentions of all entities in texts that end with some of their names and with words that only begin so."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.expr(_NAMED.format("STRING")).alias("text"))
