@@ -3,13 +3,15 @@
 A logistic model over byte shares and shape statistics of whole texts minimises
 the non-negative unbiased risk
     pi * E_p[l(g)] + max(0, E_u[l(-g)] - pi * E_p[l(-g)]),
-p: trusted positives, u: unlabelled web text, pi: the class prior. It is fitted
-on bounded samples (SAMPLE rows of each kind, those with the lowest hash of their
-doc_id); every row is scored.
+p: trusted positives, u: unlabelled web text, pi: the class prior. No negative
+label is read: the prior is estimated from positives and unlabelled texts, as the
+least share of the unlabelled above a threshold to that of the positives, on rows
+that the ranking did not learn from. The model is fitted on bounded samples (SAMPLE
+rows of each kind, those with the lowest hash of their doc_id); every row is scored.
 
 Defined cases: a null text scores as an empty one; without trusted positives
-every score is the prior, and the prior is 0.5 without labels; a repeated
-doc_id is scored as often as it occurs; in labels, the lowest quality of a doc_id holds.
+or without texts every score is 0.5; a repeated doc_id is scored as often as it
+occurs, and its least text teaches; in labels, the lowest quality of a doc_id holds.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import lean
+from kgloom.llm.common import lean, others
 from kgloom.llm.words import BY_SPACE, word_slices
 
 #: Rows of each kind that the model is fitted on.
@@ -95,12 +97,31 @@ def fit_non_negative(positive: np.ndarray, unlabelled: np.ndarray, prior: float,
     return QualityModel(mean, scale, w[:-1], float(w[-1]), prior)
 
 
+def _least_ratio(positive: np.ndarray, unlabelled: np.ndarray, margin: float = 1.01, delta: float = 0.1) -> float:
+    """The share of unlabelled to positive scores above the threshold where that ratio and its error bound are least."""
+    cuts = np.unique(positive)
+    above = lambda x: 1 - np.searchsorted(np.sort(x), cuts) / len(x)
+    p, u = above(positive), above(unlabelled)
+    error = margin * sum(np.sqrt(np.log(4 / delta) / 2 / len(x)) for x in (positive, unlabelled))
+    best = int(((u + error) / p).argmin())
+    return float(u[best] / p[best])
+
+
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among the unlabelled, each half judged by a ranking that the other half taught."""
+    if min(len(positive), len(unlabelled)) < 4:
+        return 0.5
+    found = []
+    for k in (0, 1):
+        ranking = fit_non_negative(positive[k::2], unlabelled[k::2], 0.5)
+        found.append(_least_ratio(ranking.scores(positive[1 - k :: 2]), ranking.scores(unlabelled[1 - k :: 2])))
+    return min(0.99, max(0.01, float(np.mean(found))))
+
+
 def train_quality(docs: DataFrame, labels: DataFrame, train: str = "true", sample: int = SAMPLE) -> QualityModel:
     """Learn from the rows that the SQL condition `train` (on doc_id) admits."""
     spark = docs.sparkSession
     marked = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").filter(train).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    prior = marked.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
-    prior = 0.5 if prior is None else min(0.99, max(0.01, prior))
     lowest = lambda df, salt: df.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(salt)), "doc_id").limit(sample)
     ids = lowest(marked.filter("quality = 1"), 1).withColumn("kind", F.lit(1)).unionByName(lowest(docs.filter("doc_id IS NOT NULL").filter(train), 2).withColumn("kind", F.lit(0)))
     ids = spark.createDataFrame(ids.collect(), "doc_id bigint, kind int")  # 2 * sample rows at most
@@ -110,16 +131,17 @@ def train_quality(docs: DataFrame, labels: DataFrame, train: str = "true", sampl
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("kind"), pa.array([x.tobytes() for x in text_features(batch)], pa.binary())], names=["doc_id", "kind", "x"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "kind", "text").mapInArrow(lean(features), "doc_id bigint, kind int, x binary")
-    got = sorted(((r["kind"], r["doc_id"], bytes(r["x"])) for r in rows.limit(4 * sample).collect()))
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "kind").agg(F.min("text").alias("text")).mapInArrow(lean(features), "doc_id bigint, kind int, x binary")
+    got = sorted(((r["kind"], r["doc_id"], bytes(r["x"])) for r in rows.collect()))
     p, u = (np.array([np.frombuffer(x, np.float32) for k, _, x in got if k == kind], np.float32).reshape(-1, FEATURES) for kind in (1, 0))
     if not len(p) or not len(u):
-        return QualityModel(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), float(np.log(prior / (1 - prior))), prior)
-    return fit_non_negative(p, u, prior)
+        return QualityModel(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), 0.0, 0.5)
+    return fit_non_negative(p, u, estimated_prior(p, u))
 
 
 def score_quality(docs: DataFrame, model: QualityModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep` and score (0 to 1) of each row."""
+    """`keep` and score (0 to 1) of each row; a result column takes the place of one in `keep` of its name."""
+    keep = others(keep, "score")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
