@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import lean
+from kgloom.llm.common import lean, others
 from kgloom.llm.words import slices
 
 DIMENSIONS = 1024
@@ -29,6 +29,8 @@ DIMENSIONS = 1024
 MAX_LANGUAGES = 4096
 _DOCS = 64
 _CHARS = 1 << 20
+#: Trigrams whose vectors are held at a time; an alphabet of thousands of letters has many.
+_BLOCK = 8192
 
 
 @lru_cache(maxsize=1)
@@ -42,8 +44,8 @@ def _letter_vector(code: int) -> np.ndarray:
     return (np.random.Generator(np.random.PCG64(90_000 + code)).integers(0, 2, DIMENSIONS, dtype=np.int8) * 2 - 1).astype(np.int8)
 
 
-def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document of each trigram, its number, the vectors by number)."""
+def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document of each trigram, its number, the trigrams by number as digits in base n, the vectors of the n letters)."""
     lowered = [t.lower() for t in texts]
     codes = np.frombuffer("\0".join(lowered).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
     ends = np.cumsum([len(t) + 1 for t in lowered])
@@ -67,19 +69,24 @@ def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     else:
         there, number = np.unique(key, return_inverse=True)
     base = np.stack([_letter_vector(int(c)) for c in used]) if n else np.zeros((0, DIMENSIONS), np.int8)
-    vectors = np.roll(base, 2, 1)[there // (n * n)] * np.roll(base, 1, 1)[there // n % n] * base[there % n]
-    return doc[middle], number, vectors
+    return doc[middle], number, there, base
 
 
-def _sums(group: np.ndarray, number: np.ndarray, vectors: np.ndarray, n: int) -> np.ndarray:
-    """Bundles of n groups."""
+def _sums(group: np.ndarray, number: np.ndarray, there: np.ndarray, base: np.ndarray, n: int) -> np.ndarray:
+    """Bundles of n groups (ascending in `group`), over blocks of trigrams."""
     out = np.zeros((n, DIMENSIONS), np.float32)
-    wide = vectors.astype(np.float32)
-    for k in range(0, n, _DOCS):
-        a, b = np.searchsorted(group, (k, k + _DOCS))
-        m = min(_DOCS, n - k)
-        counts = np.bincount((group[a:b] - k) * len(vectors) + number[a:b], minlength=m * len(vectors)) if len(vectors) else np.zeros(0)
-        out[k : k + m] = counts.reshape(m, -1).astype(np.float32) @ wide
+    first, second, letters = np.roll(base, 2, 1), np.roll(base, 1, 1), len(base)
+    for at in range(0, len(there), _BLOCK):
+        part = there[at : at + _BLOCK]
+        wide = (first[part // (letters * letters)] * second[part // letters % letters] * base[part % letters]).astype(np.float32)
+        inside = slice(None) if len(there) <= _BLOCK else np.flatnonzero((number >= at) & (number < at + len(part)))
+        owner, place = group[inside], number[inside] - at
+        for k in range(0, n, _DOCS):
+            a, b = np.searchsorted(owner, (k, k + _DOCS))
+            if a < b:
+                m = min(_DOCS, n - k)
+                counts = np.bincount((owner[a:b] - k) * len(part) + place[a:b], minlength=m * len(part))
+                out[k : k + m] += counts.reshape(m, -1).astype(np.float32) @ wide
     return out
 
 
@@ -100,10 +107,10 @@ def train_language_profiles(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             for i, j, texts in _texts(batch):
                 names = sorted(set(langs[i:j]))
                 place = np.array([names.index(x) for x in langs[i:j]])
-                doc, number, vectors = _trigrams(texts)
+                doc, number, there, base = _trigrams(texts)
                 group = place[doc]
                 order = np.argsort(group, kind="stable")
-                for name, sums in zip(names, _sums(group[order], number[order], vectors, len(names)), strict=True):
+                for name, sums in zip(names, _sums(group[order], number[order], there, base, len(names)), strict=True):
                     total[name] = total.get(name, 0) + sums.astype(np.float64)
         for name, sums in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([sums.tolist()], pa.list_(pa.float64()))], names=["lang", "bundle"])
@@ -117,15 +124,16 @@ def train_language_profiles(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
 
 def predict_language(docs: DataFrame, languages: list[str], prototypes: np.ndarray, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep`, lang_pred and score (the cosine, 0 where it is negative) of each row."""
+    """`keep`, lang_pred and score (the cosine, 0 where it is negative) of each row; result columns take the place of those in `keep` of their names."""
+    keep = others(keep, "lang_pred", "score")
     unit = (prototypes / np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
             for i, j, texts in _texts(batch) if languages else ():
-                doc, number, vectors = _trigrams(texts)
-                sums = _sums(doc, number, vectors, j - i)
+                doc, number, there, base = _trigrams(texts)
+                sums = _sums(doc, number, there, base, j - i)
                 cosines = sums @ unit.T / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
                 best = cosines.argmax(1)
                 for k in np.flatnonzero(np.bincount(doc, minlength=j - i)):
@@ -133,4 +141,4 @@ def predict_language(docs: DataFrame, languages: list[str], prototypes: np.ndarr
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores)], names=[*keep, "lang_pred", "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, "text").mapInArrow(lean(predict), f"{fields}, lang_pred string, score double")
+    return docs.select(*dict.fromkeys((*keep, "text"))).mapInArrow(lean(predict), f"{fields}, lang_pred string, score double")
