@@ -12,11 +12,12 @@ stays; rows are kept one for one; other columns are ignored.
 from __future__ import annotations
 
 import json
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import NON_ALNUM
+from kgloom.llm.common import NON_ALNUM, others
 
 #: (label, keyword, name): a licence's name as a regex over words; every form of it holds the keyword, a word unless it has a * where other characters may follow or precede.
 FAMILIES: list[tuple[str, str, str]] = [
@@ -167,24 +168,25 @@ def _unsuppressed(hits: Column) -> Column:
 def _phrase_places(phrase: str, label: str) -> Column:
     head, _, tail = phrase.partition(" ")
     regex = f"(?<= ){head}(?= {tail} )" if tail else f"(?<= ){head}(?= )"
-    return F.transform(_places(F.col("norm"), F.lit(regex)), lambda p: F.struct(p["first"].cast("long").alias("first"), F.lit(label).alias("label")))
+    return F.transform(_places(F.col("_norm"), F.lit(regex)), lambda p: F.struct(p["first"].cast("long").alias("first"), F.lit(label).alias("label")))
 
 
 def scan_licenses(docs: DataFrame, base: tuple[tuple[str, str], ...] = BASE, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep`, n_words, detections (first, end, priority, rule, label; words from 0), base (first, label) and score of each row."""
+    """`keep`, n_words, detections (first, end, priority, rule, label; words from 0), base (first, label) and score of each row; result columns take the place of those in `keep` of their names."""
+    keep = others(keep, "n_words", "detections", "base", "score")
     text = F.coalesce("text", F.lit(""))
     table = F.from_json(F.lit(json.dumps(rules())), f"array<{_RULE}>")
     gap = NON_ALNUM
     phrases = "|".join(p.replace(" ", gap) for p, _ in base)
     gate = F.rlike(text, F.lit(f"{_GATE}|{phrases}"))
-    lowered = F.lower(F.concat(F.lit(" "), F.regexp_replace(text, f"{gap}|^|$", " "), F.lit(" ")))
-    rows = docs.select(*keep, F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("n_words"), F.when(gate, F.regexp_replace(lowered, " +", " ")).alias("norm"))
-    tried = F.filter(table, lambda r: F.contains(F.col("norm"), r["keyword"]))
-    hits = F.flatten(F.transform(tried, lambda r: F.transform(_places(F.col("norm"), r["regex"]), lambda p: F.struct(p["first"].alias("first"), p["end"].alias("end"), r["priority"].alias("priority"), r["rule"].alias("rule"), r["label"].alias("label")))))
+    lowered = F.translate(F.concat(F.lit(" "), F.regexp_replace(text, f"{gap}|^|$", " "), F.lit(" ")), ascii_uppercase, ascii_lowercase)
+    rows = docs.select(*keep, F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("n_words"), F.when(gate, F.regexp_replace(lowered, " +", " ")).alias("_norm"))
+    tried = F.filter(table, lambda r: F.contains(F.col("_norm"), r["keyword"]))
+    hits = F.flatten(F.transform(tried, lambda r: F.transform(_places(F.col("_norm"), r["regex"]), lambda p: F.struct(p["first"].alias("first"), p["end"].alias("end"), r["priority"].alias("priority"), r["rule"].alias("rule"), r["label"].alias("label")))))
     plain = [_phrase_places(phrase, label) for phrase, label in base]
     none = F.array().cast("array<struct<first:bigint,label:string>>")
-    rows = rows.select(*keep, "n_words", F.when(F.col("norm").isNotNull(), hits).alias("hits"), F.when(F.col("norm").isNotNull(), F.concat(none, *plain)).otherwise(none).alias("base"))
-    rows = rows.withColumn("detections", F.coalesce(_unsuppressed(F.col("hits")), F.array().cast("array<struct<first:int,end:int,priority:int,rule:int,label:string>>")))
+    rows = rows.select(*keep, "n_words", F.when(F.col("_norm").isNotNull(), hits).alias("_hits"), F.when(F.col("_norm").isNotNull(), F.concat(none, *plain)).otherwise(none).alias("base"))
+    rows = rows.withColumn("detections", F.coalesce(_unsuppressed(F.col("_hits")), F.array().cast("array<struct<first:int,end:int,priority:int,rule:int,label:string>>")))
     weights = F.array(*map(F.lit, WEIGHTS))
     score = F.greatest(F.when(F.size("base") > 0, F.lit(1.0)).otherwise(0.0), F.coalesce(F.array_max(F.transform("detections", lambda h: F.element_at(weights, h["priority"]))), F.lit(0.0)))
     return rows.select(*keep, "n_words", "detections", "base", score.alias("score"))
