@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import lean, shuffle_partitions
+from kgloom.llm.common import lean, others, shuffle_partitions
 from kgloom.llm.words import BY_SPACE, Words, grams, mix, word_slices
 
 LENGTH, SEED = 13, 5
@@ -171,21 +171,22 @@ def _extend(buckets: int):
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """doc_id, runs (array of key and mask): the runs of windows of a document of which some occur in an earlier one."""
+    """doc_id, _runs (array of key and mask): the runs of windows of a document of which some occur in an earlier one."""
     parts = shuffle_partitions(docs.sparkSession)
     buckets = 16 * parts
     rows = docs.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(lean(_seeds(buckets)), _ROWS).repartition(parts, "bucket").mapInArrow(lean(_extend(buckets)), _ROWS)
-    return rows.groupBy("doc_id").agg(F.collect_list(F.struct("key", "mask")).alias("runs"))
+    return rows.groupBy("doc_id").agg(F.collect_list(F.struct("key", "mask")).alias("_runs"))
 
 
 def dedup_substrings(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep`, n_words, n_removed, spans (removed words, [first, end)) and kept_text (kept words, joined by one space) of each row."""
+    """`keep`, n_words, n_removed, spans (removed words, [first, end)) and kept_text (kept words, joined by one space) of each row; result columns take the place of those in `keep` of their names."""
+    keep = others(keep, "n_words", "n_removed", "spans", "kept_text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     spans_type = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            listed = batch.column("runs")
+            listed = batch.column("_runs")
             sizes = listed.value_lengths().fill_null(0).to_numpy().astype(np.int64)
             flat = listed.flatten()
             keys, masks = flat.field("key").to_numpy().view(np.uint64), flat.field("mask").to_numpy()
@@ -233,4 +234,4 @@ def dedup_substrings(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Da
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, n) for c in keep), pa.array(words.counts, pa.int64()), pa.array(removed_words, pa.int64()), pa.array(spans, spans_type), pa.array(texts, pa.string())], names=[*keep, "n_words", "n_removed", "spans", "kept_text"])
 
     rows = docs.select(*dict.fromkeys((*keep, "doc_id", "text"))).join(repeated_runs(docs), "doc_id", "left")
-    return rows.select(*dict.fromkeys((*keep, "text")), "runs").mapInArrow(lean(removed), f"{fields}, n_words bigint, n_removed bigint, spans array<struct<first:bigint,end:bigint>>, kept_text string")
+    return rows.select(*dict.fromkeys((*keep, "text")), "_runs").mapInArrow(lean(removed), f"{fields}, n_words bigint, n_removed bigint, spans array<struct<first:bigint,end:bigint>>, kept_text string")
