@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import byte_shards, lean, materialize, shuffle_partitions
+from kgloom.llm.common import byte_shards, lean, materialize, others, shuffle_partitions
 from kgloom.llm.words import BY_SPACE, Words, mix, word_slices
 
 DISCOUNT, MASS = 0.75, 1000.0
@@ -188,13 +188,14 @@ def _lookup(kind: int, asked: np.ndarray, trained: np.ndarray, answers: list[byt
 
 
 def score_texts(docs: DataFrame, train: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep`, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score of each row; rows with the SQL condition `train` teach."""
+    """`keep`, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score of each row; rows with the SQL condition `train` teach. Result columns take the place of those in `keep` of their names."""
+    keep = others(keep, "n_tokens", "n_known", "train_tokens", "base_score", "score")
     spark = docs.sparkSession
     shard, shards = byte_shards(docs, SHARD_BYTES)
     shards = max(1, shards)
     parts = max(shuffle_partitions(spark), shards // 2)
-    rows = docs.select(*dict.fromkeys((*keep, "text")), shard.alias("shard"), F.coalesce(F.expr(train), F.lit(True)).alias("train"))
-    asked = rows.select("shard", "train", "text").mapInArrow(lean(_ask(3 * parts)), _ASKED)
+    rows = docs.select(*dict.fromkeys((*keep, "text")), shard.alias("_shard"), F.coalesce(F.expr(train), F.lit(True)).alias("_train"))
+    asked = rows.select(F.col("_shard").alias("shard"), F.col("_train").alias("train"), "text").mapInArrow(lean(_ask(3 * parts)), _ASKED)
     answers = materialize(asked.repartition(parts, "bucket").mapInArrow(lean(_answer), _ROWS), "lm-counts")
     stats = answers.filter(F.col("kind") == _STATS).agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = stats["n"] or 0, stats["v"] or 0
@@ -211,7 +212,7 @@ def score_texts(docs: DataFrame, train: str, keep: tuple[str, ...] = ("doc_id",)
                 firsts.append(first[1:] + at)
                 at += len(t)
         token, first = np.concatenate([np.empty(0, _U), *tokens]), np.concatenate(firsts)
-        trained = np.repeat(left.column("train").to_numpy(), np.diff(first)).astype(float)
+        trained = np.repeat(left.column("_train").to_numpy(), np.diff(first)).astype(float)
         count = _lookup(_WORDS, token, trained, blobs[_WORDS])
         root = np.where(count > 0, (count - DISCOUNT) / n, unknown) if n else np.ones(len(token))
         p = root.copy()
@@ -226,5 +227,5 @@ def score_texts(docs: DataFrame, train: str, keep: tuple[str, ...] = ("doc_id",)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     replies = answers.filter(F.col("kind") != _STATS).select("shard", "kind", "blob")
-    table = rows.repartition(shards, "shard").groupBy("shard").cogroup(replies.repartition(shards, "shard").groupBy("shard"))
+    table = rows.repartition(shards, "_shard").groupBy("_shard").cogroup(replies.repartition(shards, "shard").groupBy("shard"))
     return table.applyInArrow(traverse, f"{fields}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
