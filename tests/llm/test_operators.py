@@ -270,6 +270,61 @@ def test_quality(spark):
     assert {r["score"] for r in quality.score_quality(docs, none).collect()} == {0.5}
 
 
+def test_quality_prior():
+    rng = np.random.default_rng(3)
+    for share in (0.2, 0.5, 0.9):
+        draw = lambda n, at: rng.normal(at, 1, (n, 6)).astype(np.float32)
+        unlabelled = np.concatenate([draw(int(4000 * share), 2), draw(4000 - int(4000 * share), -2)])
+        got = quality.estimated_prior(draw(4000, 2), unlabelled[rng.permutation(4000)])
+        assert abs(got - share) < 0.05
+
+
+def test_quality_repeats(spark):
+    """Whatever the order of rows, a repeated doc_id gives the same model."""
+    rows = [(i % 40, f"{'word ' * (i % 7 + 1)}{i}", "x") for i in range(200)] + [(None, "null id", "x")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int")
+    frames = [spark.createDataFrame(r, "doc_id bigint, text string, score string") for r in (rows, rows[::-1])]
+    models = [quality.train_quality(f, labels) for f in frames]
+    assert models[0].bias == models[1].bias and (models[0].weights == models[1].weights).all() and models[0].prior == models[1].prior
+    assert quality.score_quality(frames[0], models[0]).count() == 201
+    assert quality.score_quality(frames[0].limit(0), models[0]).count() == 0
+
+
+def test_language_blocks(monkeypatch):
+    """Bundles over blocks of trigrams against letter by letter, on an alphabet of many letters."""
+    rng = np.random.default_rng(4)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x4E00 + 300, 200))), "", "ab Ba, \U00010400x", "".join(map(chr, rng.integers(0x4E00, 0x9000, 100)))]
+    monkeypatch.setattr(language_id, "_BLOCK", 37)
+    got = language_id._sums(*language_id._trigrams(texts), len(texts))
+    for text, bundle in zip(texts, got, strict=True):
+        want = np.zeros(language_id.DIMENSIONS)
+        padded = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+        for i in range(1, len(padded) - 1):
+            if padded[i] != " ":
+                a, b, c = (language_id._letter_vector(0 if x == " " else ord(x)).astype(int) for x in padded[i - 1 : i + 2])
+                want += np.roll(a, 2) * np.roll(b, 1) * c
+        assert (bundle == want).all()
+
+
+def test_kept_columns_with_result_names(docs, texts):
+    """A result column takes the place of a kept one of its name; internal names never clash."""
+    named = docs.withColumns({c: docs["source"] for c in ("n_words", "n_tokens", "shard", "train", "norm", "hits", "runs", "lang_pred", "score", "detections")})
+    keep = tuple(c for c in named.columns if c != "text")
+    model = quality.QualityModel(np.zeros(quality.FEATURES), np.ones(quality.FEATURES), np.zeros(quality.FEATURES), 0.0, 0.5)
+    learned = language_id.train_language_profiles(docs)
+    results = {
+        "score": quality.score_quality(named, model, keep=keep), "n_words": license_scan.scan_licenses(named, keep=keep), "spans": substring_dedup.dedup_substrings(named, keep=keep),
+        "n_tokens": lm_score.score_texts(named, "true", keep=keep), "lang_pred": language_id.predict_language(named, *learned, keep=keep),
+    }
+    for column, found in results.items():
+        assert len(set(found.columns)) == len(found.columns) and set(keep) <= set(found.columns)
+        rows = found.collect()
+        assert len(rows) == len(texts)
+        assert column == "lang_pred" or not any(r[column] in ("s0", "s1", "clash") for r in rows), column
+        if column != "n_words":
+            assert {r["hits"] for r in rows} == {"s0", "s1"}
+
+
 def test_substring_dedup(docs, texts, empty):
     first = {}
     words = [spaced(t) for t in texts]
