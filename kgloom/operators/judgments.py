@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 STANCED = ("claim", "triple")
+# The stances.
+STANCES = ("unset", "agree", "uncertain", "disagree")
 
 
 def triple_targets(named: DataFrame) -> DataFrame:
@@ -36,3 +40,24 @@ def latest(history: DataFrame) -> DataFrame:
     """The newest row (by id) of each memory_key of an append-only history."""
     newest = history.groupBy("memory_key").agg(F.max_by(F.struct(*history.columns), "id").alias("r"))
     return newest.select("r.*")
+
+
+def judged_updates(updates: DataFrame, records: DataFrame) -> DataFrame:
+    """`updates` (key, revision, reviewed, included, stance, note; one a key) against records (key, kind, revision, reviewed, included, stance, note) with outcome.
+
+    Outcomes, in the order they are found: stance, note (over 4,000 characters), missing, stale, entity (which takes no stance), same, changed.
+    """
+    fields = ("reviewed", "included", "stance", "note")
+    now = records.select("key", "kind", F.col("revision").alias("is_now"), *(F.col(c).alias(f"old_{c}") for c in fields), F.lit(True).alias("here"))
+    rows = updates.join(now, "key", "left")
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"old_{c}")) for c in fields))
+    outcome = F.when(F.col("stance").isNull() | ~F.col("stance").isin(*STANCES), "stance").when(F.col("note").isNull() | (F.char_length("note") > 4000), "note").when(F.col("here").isNull(), "missing").when(~F.col("revision").eqNullSafe(F.col("is_now")), "stale")
+    return rows.withColumn("outcome", outcome.when((F.col("kind") == "entity") & (F.col("stance") != "unset"), "entity").when(same, "same").otherwise("changed"))
+
+
+def updated_records(records: DataFrame, judged: DataFrame) -> DataFrame:
+    """The records after the updates that change one; its revision grows by one."""
+    fields = ("reviewed", "included", "stance", "note")
+    done = judged.filter("outcome = 'changed'").select("key", *(F.col(c).alias(f"new_{c}") for c in fields), F.lit(1).alias("step"))
+    rows = records.join(done, "key", "left")
+    return rows.withColumns({"revision": F.col("revision") + F.coalesce("step", F.lit(0)), **{c: F.when(F.col("step").isNull(), F.col(c)).otherwise(F.col(f"new_{c}")) for c in fields}}).select(records.columns)

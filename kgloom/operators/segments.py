@@ -43,10 +43,12 @@ def contained(cues: DataFrame, clips: DataFrame, slack: float = 0.002, width: fl
     return inside.withColumns({"from": F.round(F.greatest(F.lit(0.0), F.col("start") - F.col("clip_start")), 3), "to": F.round(F.least(length, F.col("end") - F.col("clip_start")), 3)}).drop("_b")
 
 
-def active_at(times: DataFrame, cues: DataFrame) -> DataFrame:
-    """For each (doc, t) the last cue that has begun and not ended: start of it, or null."""
-    both = times.join(cues, "doc").filter("start <= t AND t < end").groupBy("doc", "t").agg(F.max("start").alias("cue_start"))
-    return times.join(both, ["doc", "t"], "left")
+def active_at(times: DataFrame, cues: DataFrame, width: float = 600.0) -> DataFrame:
+    """For each (doc, t) the last cue that has begun and not ended: start of it, or null; an equi-join on document and the buckets of time that a cue touches."""
+    spread = cues.select("doc", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("_b"))
+    keyed = times.withColumn("_b", F.floor(F.col("t") / width))
+    hits = keyed.join(spread, ["doc", "_b"], "left").groupBy("doc", "t").agg(F.max(F.when((F.col("start") <= F.col("t")) & (F.col("t") < F.col("end")), F.col("start"))).alias("cue_start"))
+    return times.join(hits, ["doc", "t"], "left")
 
 
 def greedy_windows(rows: DataFrame, width: float) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgloom.functions.text import srt_stamp
+from kgloom.functions.text import slug, srt_stamp
 from kgloom.store import checkpointed
 
 #: Lines of a part of a note.
@@ -28,25 +28,66 @@ def edge_lines(named: DataFrame) -> DataFrame:
     return named.select("id", F.concat_ws("\t", "subject", "predicate", "object").alias("line"))
 
 
-def entity_notes(named: DataFrame, part_lines: int = PART_LINES) -> DataFrame:
-    """(name, part, note): a Markdown list of an entity's relations, outgoing and incoming, by triple id, in parts of `part_lines` lines.
+def _parts(lines: DataFrame, part_lines: int) -> DataFrame:
+    """(name, part, lines) of lines (name, id, line), by id, in parts of `part_lines`.
 
-    Lines are dealt by name and id, so that those of a hot entity lie in many
+    Lines are dealt by name and id, so that those of a hot name lie in many
     slices; a line's number is its place in its slice and the count of the name's
-    lines in earlier ones. Parts from the second on have their number in the title.
+    lines in earlier ones.
     """
-    out = named.select(F.col("subject").alias("name"), "id", F.concat(F.lit("- "), "predicate", F.lit(" [["), "object", F.lit("]]")).alias("line"))
-    back = named.select(F.col("object").alias("name"), "id", F.concat(F.lit("- [["), "subject", F.lit("]] "), "predicate").alias("line"))
-    slices = int(named.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = checkpointed(out.unionByName(back).repartitionByRange(slices, "name", "id", "line").withColumn("slice", F.spark_partition_id()))
+    slices = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = checkpointed(lines.repartitionByRange(slices, "name", "id", "line").withColumn("slice", F.spark_partition_id()))
     earlier = F.sum("n").over(Window.partitionBy("name").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
     # Only the first name of a slice has lines in earlier ones, so this has a row for each slice at most.
     before = dealt.groupBy("name", "slice").agg(F.count("*").alias("n")).select("name", "slice", earlier.alias("before")).filter("before > 0")
     place = F.row_number().over(Window.partitionBy("name", "slice").orderBy("id", "line")) - 1 + F.coalesce("before", F.lit(0))
     parts = dealt.join(F.broadcast(before), ["name", "slice"], "left").select("name", "id", "line", (F.floor(place / part_lines) + 1).alias("part"))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("id", "line"))), lambda x: x["line"])
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("id", "line"))), lambda x: x["line"])
+    return parts.groupBy("name", "part").agg(F.array_join(listed, "\n").alias("lines"))
+
+
+def entity_notes(named: DataFrame, part_lines: int = PART_LINES) -> DataFrame:
+    """(name, part, note): a Markdown list of an entity's relations, outgoing and incoming, by triple id, in parts of `part_lines` lines. Parts from the second on have their number in the title."""
+    out = named.select(F.col("subject").alias("name"), "id", F.concat(F.lit("- "), "predicate", F.lit(" [["), "object", F.lit("]]")).alias("line"))
+    back = named.select(F.col("object").alias("name"), "id", F.concat(F.lit("- [["), "subject", F.lit("]] "), "predicate").alias("line"))
     title = F.concat(F.lit("# "), "name", F.when(F.col("part") > 1, F.concat(F.lit(" ("), F.col("part").cast("string"), F.lit(")"))).otherwise(""), F.lit("\n\n"))
-    return parts.groupBy("name", "part").agg(F.array_join(lines, "\n").alias("lines")).select("name", "part", F.concat(title, "lines").alias("note"))
+    return _parts(out.unionByName(back), part_lines).select("name", "part", F.concat(title, "lines").alias("note"))
+
+
+def content_notes(contents: DataFrame, named: DataFrame, part_lines: int = PART_LINES) -> DataFrame:
+    """(id, part, note) of contents (id, title, source, kind, url, summary, topics, key_points, relevance: a map) with what was extracted from each: front matter, summary, key points, relevance from the highest, relations.
+
+    The first part holds all but the relations beyond `part_lines`, which follow in parts of their own.
+    """
+    line = F.concat(F.lit("- [["), slug(F.col("subject")), F.lit("]] **"), "predicate", F.lit("** [["), slug(F.col("object")), F.lit("]]"))
+    known = _parts(named.join(contents.select(F.col("id").alias("source")), "source", "left_semi").select(F.col("source").alias("name"), "id", line.alias("line")), part_lines)
+    links = F.array_join(F.transform("topics", lambda t: F.concat(F.lit('"[['), slug(t), F.lit(']]"'))), ", ")
+    front = F.concat_ws("\n", F.lit("---"), F.concat(F.lit('title: "'), "title", F.lit('"')), *(F.concat(F.lit(f"{label}: "), column) for label, column in (("source", "source"), ("kind", "kind"), ("url", "url"), ("content_id", "id"))), F.concat(F.lit("topics: ["), links, F.lit("]")), F.lit("tags: [inbox]"), F.lit("---"), F.lit(""))
+    shown = F.array_sort(F.transform(F.map_entries("relevance"), lambda e: F.struct((-e["value"]).alias("v"), e["key"].alias("k"))))
+    relevance = F.when(F.size("relevance") > 0, F.concat(F.lit("\n\n## Relevance\n"), F.array_join(F.transform(shown, lambda e: F.concat(F.lit("- "), e["k"], F.lit(": "), F.format_string("%.2f", -e["v"]))), "\n"))).otherwise("")
+    points = F.concat(F.lit("\n\n## Key points"), F.array_join(F.transform("key_points", lambda p: F.concat(F.lit("\n- "), p)), ""))
+    head = F.concat(front, F.lit("\n# "), F.coalesce(F.nullif("title", F.lit("")), "id"), F.lit("\n\n## Summary\n"), "summary", points, relevance)
+    heads = contents.select(F.col("id").alias("name"), F.lit(1).cast("long").alias("part"), head.alias("head"))
+    body = F.when(F.col("lines").isNull(), "").when(F.col("part") == 1, F.concat(F.lit("\n\n## Extracted knowledge\n"), "lines")).otherwise(F.col("lines"))
+    return heads.join(known, ["name", "part"], "full_outer").select(F.col("name").alias("id"), "part", F.concat(F.coalesce("head", F.lit("")), body, F.lit("\n")).alias("note"))
+
+
+def graph_payload(entities: DataFrame, named: DataFrame) -> DataFrame:
+    """(kind, source, predicate, target, type): a node an entity, and an edge for each distinct triple of names, whatever its sources."""
+    nodes = entities.select(F.lit("node").alias("kind"), F.col("name").alias("source"), F.lit(None).cast("string").alias("predicate"), F.lit(None).cast("string").alias("target"), "type")
+    edges = named.select(F.lit("edge").alias("kind"), F.col("subject").alias("source"), "predicate", F.col("object").alias("target"), F.lit(None).cast("string").alias("type")).distinct()
+    return nodes.unionByName(edges)
+
+
+def action_pages(actions: DataFrame, queued: DataFrame) -> DataFrame:
+    """(path, line) that actions (action, rule, entity, ...) add: a page for each wiki or map of content, and a line of the report queue for each other action that is not in `queued` (line) yet."""
+    name = F.col("entity")
+    said = F.array_join(F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}="), F.col(c).cast("string"))) for c in sorted(actions.columns) if c not in ("action", "rule")))), ", ")
+    page = actions.filter(F.col("action").isin("create_wiki_page", "create_moc") & (name != ""))
+    wiki = F.col("action") == "create_wiki_page"
+    pages = page.select(F.when(wiki, F.concat(F.lit("Wiki/"), slug(name))).otherwise(F.concat(F.lit("MOC/"), slug(name), F.lit(" MOC"))).alias("path"), F.when(wiki, F.concat(F.lit("# "), name, F.lit(" by "), "rule")).otherwise(F.concat(F.lit("- [["), slug(name), F.lit("]]"))).alias("line"))
+    lines = actions.filter(F.col("action").isin("queue_report", "flag_controversy")).select(F.lit("Reports/_queue").alias("path"), F.concat(F.lit("- `"), "action", F.lit("` "), said, F.lit(" (rule: "), "rule", F.lit(")")).alias("line")).distinct()
+    return pages.unionByName(lines.join(queued.select("line"), "line", "left_anti").select("path", "line"))
 
 
 def srt(cues: DataFrame) -> DataFrame:
