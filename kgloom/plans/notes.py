@@ -9,6 +9,7 @@ from kgloom.plans import testgraph as G
 from kgloom.plans.curation import DEFAULT_RULES, _FACTS, _facts
 from kgloom.plans.queries import SEGMENTS, _segments, query
 from kgloom.sinks import projections
+from kgloom.sources import routing
 
 
 def _table(spark, sf_dir, name):
@@ -82,3 +83,20 @@ def clip_fitted_single(spark, sf_dir):
     lone = cues.groupBy("doc").agg(F.count("*").alias("n")).filter("n = 1").select("doc")
     own = cues.join(lone, "doc", "left_semi")
     return clips.fitted(own.withColumn("rank", F.lit(1)), own, lone.select("doc", F.lit(86400.0).alias("target"), F.lit(100000.0).alias("duration"))).select("doc", "idx", "start", "end")
+
+
+@query("""WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://www.163.com/a/' || page_id WHEN 1 THEN 'https://youtu.be/' || lpad(CAST(page_id AS VARCHAR), 11, 'a') WHEN 2 THEN 'https://www.youtube.com/watch?x=1&v=short' ELSE url END AS url, ['﻿ #EXTM3U x', ' {"events":[]}', 'WEBVTT'][CAST(page_id % 3 AS INT) + 1] AS payload FROM pages)
+SELECT page_id, CASE page_id % 4 WHEN 0 THEN '163:' || left(sha1(url), 12) WHEN 1 THEN 'yt:' || right(url, 11) END AS item, CASE WHEN contains(payload, '#EXTM3U') THEN 'hls' WHEN contains(payload, '{') THEN 'json3' ELSE 'vtt' END AS format FROM p""")
+def link_routing(spark, sf_dir):
+    """Links of both sources, one without an id, and those of the pages, which belong to neither."""
+    i = F.col("page_id")
+    url = F.when(i % 4 == 0, F.concat(F.lit("https://www.163.com/a/"), i)).when(i % 4 == 1, F.concat(F.lit("https://youtu.be/"), F.lpad(i.cast("string"), 11, "a"))).when(i % 4 == 2, "https://www.youtube.com/watch?x=1&v=short").otherwise(F.col("url"))
+    payload = F.element_at(F.array(*map(F.lit, ("﻿ #EXTM3U x", ' {"events":[]}', "WEBVTT"))), (i % 3 + 1).cast("int"))
+    return _table(spark, sf_dir, "pages").select("page_id", routing.item_id(url).alias("item"), routing.caption_format(payload).alias("format"))
+
+
+@query("""WITH t AS (SELECT o_custkey AS doc, ['official', 'automatic', 'other'][o_orderkey % 3 + 1] AS kind, ['en', 'zh', 'de', 'zh-Hans'][o_orderkey % 4 + 1] AS lang, 'u' || o_orderkey AS url FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY kind = 'automatic', CASE lang WHEN 'zh-Hans' THEN 0 WHEN 'zh' THEN 1 ELSE 2 END, url) AS k FROM t WHERE kind <> 'other' AND lang <> 'de') SELECT doc, kind, lang, url FROM r WHERE k = 1""")
+def caption_tracks(spark, sf_dir):
+    k, words = F.col("o_orderkey"), lambda *w: F.array(*map(F.lit, w))
+    rows = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), F.element_at(words("official", "automatic", "other"), (k % 3 + 1).cast("int")).alias("kind"), F.element_at(words("en", "zh", "de", "zh-Hans"), (k % 4 + 1).cast("int")).alias("lang"), F.concat(F.lit("u"), k).alias("url"))
+    return routing.preferred_tracks(rows)
