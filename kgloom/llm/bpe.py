@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 
 from kgloom.llm.common import CACHE, lean, others
 
-#: Pieces that a worker remembers, and the characters of the longest of them.
-CACHE_PIECES, CACHE_CHARS = 1 << 18, 64
+#: Pieces that a worker remembers before those that it has not met since are forgotten.
+CACHE_PIECES = 1 << 18
 #: Text bytes, or ids, that are worked on at once.
 _SLICE = 1 << 20
 #: Characters that all versions of Unicode since 13 class and lower alike; texts with others are normalised and split by the tokenizer's own parts.
@@ -133,13 +134,13 @@ class WordBpe:
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         tokens = {i: t for t, i in (vocabulary | self.special).items()}
         self.tokens = pa.array([tokens.get(i) for i in range(max(tokens) + 1)], pa.large_string())
-        self.known: dict[str, list[int]] = {}
+        self.known = _Known(self, {})
 
     def ids_of(self, piece: bytes) -> list[int]:
         """Ids of one piece."""
         return PairTree([*(self.inner[b] for b in piece[:-1]), self.final[piece[-1]]], self.ranks).merged(self.results)
 
-    def _pieces(self, text: str) -> list[str]:
+    def _plain(self, text: str) -> list[str | bytes]:
         """Pieces of a text without special tokens; those that the tokenizer's own parts made, as bytes."""
         if text.isascii():
             return self.pattern.findall(text.lower())
@@ -149,28 +150,55 @@ class WordBpe:
             text = unicodedata.normalize("NFC", text)
         return self.pattern.findall(text.replace("Σ", "σ").lower())  # sigma is lowered alike at a word's end
 
-    def encode(self, text: str) -> Iterator[list[int]]:
-        """Lists of ids, one a piece."""
-        if self.specials and (found := list(self.specials.finditer(text))):
-            at = 0
-            for m in found:
-                yield from self.encode_plain(text[at : m.start()])
-                yield [self.special[m[0]]]
-                at = m.end()
-            text = text[at:]
-        yield from self.encode_plain(text)
-
-    def encode_plain(self, text: str) -> Iterator[list[int]]:
-        pieces, known, long = self._pieces(text), self.known, {}
-        for p in set(pieces).difference(known):
-            ids = self.ids_of(p if isinstance(p, bytes) else p.encode())
-            (known if len(p) <= CACHE_CHARS else long)[p] = ids
-        if long:
-            yield from [long[p] if p in long else known[p] for p in pieces]
+    def pieces(self, text: str) -> list[str | bytes | int]:
+        """Pieces of a text; a special token as its id."""
+        if not (self.specials and (found := list(self.specials.finditer(text)))):
+            return self._plain(text)
+        ends = [0, *(m.end() for m in found)]
+        between = (self._plain(text[i : m.start()]) + [self.special[m[0]]] for i, m in zip(ends, found, strict=False))
+        return [*chain.from_iterable(between), *self._plain(text[ends[-1] :])]
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each text has, and all ids."""
+        if len(self.known) > CACHE_PIECES:
+            self.known = _Known(self, self.known)
+        known, rows, counts = self.known, array("q"), []
+        for text in texts:
+            had = len(rows)
+            if text:
+                rows.extend(map(known.__getitem__, self.pieces(text)))
+            counts.append(len(rows) - had)
+        row = np.array(rows, np.int64)
+        size, start, ids = (np.array(x, np.int64) for x in (known.sizes, known.starts, known.ids))
+        size, start = size[row], start[row]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        flat = ids[np.arange(ends[-1]) + np.repeat(start - ends[:-1], size)]
+        return np.diff(ends[np.concatenate(([0], np.cumsum(counts))).astype(np.int64)]), flat
+
+
+class _Known(dict):
+    """Rows of pieces; a new piece is merged, unless `before` has it."""
+
+    def __init__(self, bpe: WordBpe, before: dict) -> None:
+        super().__init__()
+        self.bpe, self.before = bpe, before
+        if before:
+            before.before = {}
+        self.starts, self.sizes, self.ids = array("q"), array("q"), array("q")
+
+    def __missing__(self, piece: str | bytes | int) -> int:
+        if piece in self.before:
+            row = self.before[piece]
+            ids = self.before.ids[self.before.starts[row] : self.before.starts[row] + self.before.sizes[row]]
+        elif isinstance(piece, int):
+            ids = [piece]
         else:
-            yield from map(known.__getitem__, pieces)
-        if len(known) > CACHE_PIECES:
-            known.clear()
+            ids = self.bpe.ids_of(piece if isinstance(piece, bytes) else piece.encode())
+        row = self[piece] = len(self.sizes)
+        self.starts.append(len(self.ids))
+        self.sizes.append(len(ids))
+        self.ids.extend(ids)
+        return row
 
 
 def _loaded(path: str) -> WordBpe:
@@ -211,9 +239,8 @@ def bpe_encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",))
     """ids (array of int) of each whole text, and the columns of `keep`."""
 
     def ids(texts: pa.Array) -> pa.Array:
-        bpe = _loaded(path)
-        each = [np.fromiter(chain.from_iterable(bpe.encode(t)), np.int32) if t else np.empty(0, np.int32) for t in texts.to_pylist()]
-        return pa.ListArray.from_arrays(np.cumsum([0, *map(len, each)]).astype(np.int32), np.concatenate(each))
+        sizes, flat = _loaded(path).encode(texts.to_pylist())
+        return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), flat.astype(np.int32))
 
     return _mapped(docs.select("text", *dict.fromkeys(c for c in keep if c != "text")), "text", "ids", "array<int>", ids)
 
