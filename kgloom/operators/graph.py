@@ -61,25 +61,44 @@ def resolve(norms: DataFrame, entities: DataFrame, former: DataFrame, aliases: D
     return norms.join(owners, "norm", "left").select("norm", F.when(F.col("least") == F.col("most"), F.col("least")).alias("entity_id"), status.alias("status"))
 
 
-def closure(classes: DataFrame, depth: int = 16) -> DataFrame:
+def small_rows(df: DataFrame, most: int = 10_000) -> list:
+    """The rows of a part of an ontology, which has `most` at most."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"an ontology has over {most:,} rows")
+    return rows
+
+
+def ancestors(classes: DataFrame) -> dict[str, list[str]]:
+    """Each class of a (class, parent) tree with its ancestors, itself first."""
+    parents = {r["class"]: r["parent"] for r in small_rows(classes)}
+    out = {}
+    for name in parents:
+        line = [name]
+        while (up := parents.get(line[-1])) is not None:
+            if up in line:
+                raise ValueError(f"the class tree has a cycle at {up}")
+            line.append(up)
+        out[name] = line
+    return out
+
+
+def closure(classes: DataFrame) -> DataFrame:
     """(class, ancestor), reflexive, of a (class, parent) tree."""
-    out = level = classes.select("class", F.col("class").alias("ancestor"))
-    for _ in range(depth):
-        level = level.join(classes.select(F.col("class").alias("ancestor"), "parent"), "ancestor").filter("parent IS NOT NULL").select("class", F.col("parent").alias("ancestor"))
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
-    raise ValueError("the class tree has a cycle or is too deep")
+    return classes.sparkSession.createDataFrame([(c, a) for c, line in ancestors(classes).items() for a in line], "class string, ancestor string")
 
 
 def validated(triples: DataFrame, entities: DataFrame, classes: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Named triples with `error`: unknown relation, then unknown class of either end, then domain, then range; null where the triple holds."""
-    up = closure(classes)
-    known = signatures.select("predicate").distinct().withColumn("known", F.lit(True))
-    listed = lambda end: classes.select(F.col("class").alias(f"{end}_type"), F.lit(True).alias(f"{end}_listed")).distinct()
-    side = lambda kind, end: signatures.select("predicate", F.col(kind).alias("ancestor")).distinct().join(up, "ancestor").select("predicate", F.col("class").alias(f"{end}_type"), F.lit(True).alias(f"{kind}_ok")).distinct()
-    named = with_names(triples, entities).join(known, "predicate", "left").join(side("domain", "subject"), ["predicate", "subject_type"], "left").join(side("range", "object"), ["predicate", "object_type"], "left")
-    named = named.join(listed("subject"), "subject_type", "left").join(listed("object"), "object_type", "left")
+    """Named triples with `error`: unknown relation, then unknown class of either end, then domain, then range; null where the triple holds.
+
+    What an ontology allows is bounded by it, and joined by broadcast.
+    """
+    up, allowed = ancestors(classes), small_rows(signatures.select("predicate", "domain", "range"))
+    table = lambda rows, *names: F.broadcast(triples.sparkSession.createDataFrame(sorted(rows), ", ".join(f"{n} {'boolean' if n.endswith(('_ok', 'listed', 'known')) else 'string'}" for n in names)))
+    side = lambda kind, end: table({(r["predicate"], c, True) for r in allowed for c, line in up.items() if r[kind] in line}, "predicate", f"{end}_type", f"{kind}_ok")
+    named = with_names(triples, entities).join(table({(r["predicate"], True) for r in allowed}, "predicate", "known"), "predicate", "left")
+    for kind, end in (("domain", "subject"), ("range", "object")):
+        named = named.join(side(kind, end), ["predicate", f"{end}_type"], "left").join(table({(c, True) for c in up}, f"{end}_type", f"{end}_listed"), f"{end}_type", "left")
     return named.withColumn("error", F.when(F.col("known").isNull(), "relation").when(F.col("subject_listed").isNull() | F.col("object_listed").isNull(), "class").when(F.col("domain_ok").isNull(), "domain").when(F.col("range_ok").isNull(), "range"))
 
 

@@ -2,18 +2,46 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgloom.functions.text import normalize
+from kgloom.ontology import parse_ontology
+from kgloom.store import shared_folder
 
 G = 1_000_000_000
 #: A lineitem's triple: its keys side by side.
 MAKES_ID = "((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 100000 + l_suppkey"
-CLASSES = [("Thing", None), ("Person", "Thing"), ("Organization", "Thing"), ("Product", "Thing"), ("DefinedTerm", "Thing"), ("Event", "Thing"), ("CreativeWork", "Thing"), ("Article", "CreativeWork"), ("Claim", "CreativeWork")]
-SIGNATURES = [("makes", "Organization", "Product"), ("makes", "Person", "Product"), ("develops", "Organization", "Product"), ("participatesIn", "Person", "Event"), ("relatedTo", "Thing", "Thing")]
+ONTOLOGY = parse_ontology(Path(__file__).with_name("ontology.json").read_text(encoding="utf-8"))
+CLASSES = list(ONTOLOGY.parents.items())
+SIGNATURES = [(name, d, r) for name, relation in ONTOLOGY.relations.items() for d in relation.domain for r in relation.range]
+#: Where the graph of a folder is stored, by application and folder.
+_STORED: dict[tuple[str, str, str], tuple[str, object]] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """A table of the graph, which is written when it is first asked for and read from then on."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        df, path = make(spark, sf_dir), f"{shared_folder(spark)}/graph/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        _STORED[key] = (path, df.schema)
+    path, schema = _STORED[key]
+    return spark.read.schema(schema).parquet(path)
+
+
+def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, name, type, norm_name)"""
+    return _stored(spark, sf_dir, "entities", _entities)
+
+
+def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, subject_id, predicate, object_id, confidence, source), in ranges of subjects"""
+    return _stored(spark, sf_dir, "triples", lambda *at: _triples(*at).repartitionByRange("subject_id").sortWithinPartitions("subject_id", "id"))
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +55,7 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.groupBy("norm_name").agg((F.lit(3 * G) + F.min("k")).alias("id"), F.min_by("p_name", "k").alias("name"))
 
 
-def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = [("supplier", "s_suppkey", "s_name", 1, "Organization"), ("customer", "c_custkey", "c_name", 2, "Person"), ("nation", "n_nationkey", "n_name", 4, "DefinedTerm"), ("region", "r_regionkey", "r_name", 5, "DefinedTerm")]
     parts = [_read(spark, sf_dir, t).select((F.lit(p * G) + F.col(k)).alias("id"), F.col(n).alias("name"), F.lit(kind).alias("type")) for t, k, n, p, kind in plain]
     parts.append(products(spark, sf_dir).select("id", "name", F.lit("Product").alias("type")))
@@ -35,7 +63,7 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).withColumn("norm_name", F.lower(F.trim("name")))
 
 
-def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _read(spark, sf_dir, "part").select("p_partkey", F.lower(F.trim("p_name")).alias("norm_name")).join(products(spark, sf_dir).select("norm_name", F.col("id").alias("object_id")), "norm_name")
     makes = _read(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.expr(MAKES_ID).alias("id"), (F.lit(G) + F.col("l_suppkey")).alias("subject_id"), F.lit("makes").alias("predicate"), "object_id", F.round(1 - F.col("l_discount"), 4).alias("confidence"), F.concat(F.lit("order:"), "l_orderkey").alias("source"))
     row = lambda df, base, key, s, predicate, o: df.select((F.lit(base) + F.col(key)).alias("id"), s.alias("subject_id"), F.lit(predicate).alias("predicate"), o.alias("object_id"), F.lit(1.0).alias("confidence"), F.lit("base").alias("source"))

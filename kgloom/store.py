@@ -1,20 +1,77 @@
-"""Where iterative operators cut their lineage."""
+"""The folder that driver and executors share: cut lineage, and versions of a set of tables."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df`, written to the folder of spark.checkpoint.dir; in local mode one of our own where it is unset."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; in local mode one of our own where it is unset."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             folder = tempfile.mkdtemp(prefix="kgloom-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df`, written to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df`, written to the shared folder as Parquet and read back: columns that are not asked for are not read again."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Snapshots:
+    """Versions of a set of tables in a folder, for one writer at a time.
+
+    A version's tables are written first; then one row (version, path, names, note)
+    is added to the table of versions. Readers follow its newest row, so they see
+    all of a version or nothing of it, and a writer that dies leaves none.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder
+
+    def _newest(self):
+        try:
+            rows = self.spark.read.parquet(f"{self.folder}/versions").orderBy(F.desc("version")).limit(1).collect()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            rows = []
+        return rows[0] if rows else None
+
+    def version(self) -> int:
+        """The newest version; 0 before the first."""
+        row = self._newest()
+        return row["version"] if row else 0
+
+    def tables(self) -> dict[str, DataFrame]:
+        """The tables of the newest version."""
+        row = self._newest()
+        return {name: self.spark.read.parquet(f"{row['path']}/{name}") for name in row["names"]} if row else {}
+
+    def publish(self, tables: dict[str, DataFrame], note: str) -> int:
+        """Write `tables` as a new version and switch to it."""
+        version = self.version() + 1
+        path = f"{self.folder}/data/{version}-{uuid.uuid4().hex}"
+        for name, df in tables.items():
+            df.write.parquet(f"{path}/{name}")
+        row = [(version, path, sorted(tables), note)]
+        self.spark.createDataFrame(row, "version bigint, path string, names array<string>, note string").coalesce(1).write.mode("append").parquet(f"{self.folder}/versions")
+        return version
