@@ -66,7 +66,7 @@ al AS (SELECT owner, list(DISTINCT alias) AS a FROM ok WHERE NOT manual GROUP BY
 kv AS (SELECT owner, ord, k, v FROM ok WHERE NOT manual UNION ALL SELECT owner, ord, 'text', name FROM ok WHERE NOT manual AND type = 'Claim' UNION ALL SELECT owner, ord, 'verificationStatus', 'unverified' FROM ok WHERE NOT manual AND type = 'Claim'),
 kvs AS (SELECT owner, k, arg_max(v, ord) AS v FROM kv GROUP BY ALL),
 w AS (SELECT owner, any_value(eid) AS id, min(ord) AS ord, arg_min(name, ord) AS name, any_value(norm) AS norm, any_value(f) AS f, any_value(first) AS first, arg_min(added_time, ord) FILTER (added_time <> '') AS t FROM ok GROUP BY owner),
-al2 AS (SELECT coalesce(sn.id, 1 + (SELECT max(id) FROM entities) + w.ord) AS id, coalesce(sn.name, w.name) AS name, coalesce(sn.norm_name, w.norm) AS norm_name, CASE WHEN owner IS NOT NULL AND NOT coalesce(manual, false) THEN split_part(f, '/', -2) ELSE sn.type END AS type,
+al2 AS (SELECT coalesce(sn.id, 7000000077 + row_number() OVER (PARTITION BY sn.id IS NULL ORDER BY w.ord)) AS id, coalesce(sn.name, w.name) AS name, coalesce(sn.norm_name, w.norm) AS norm_name, CASE WHEN owner IS NOT NULL AND NOT coalesce(manual, false) THEN split_part(f, '/', -2) ELSE sn.type END AS type,
     CASE WHEN owner IS NOT NULL AND NOT coalesce(manual, false) THEN list_sort(list_distinct(list_concat(CASE WHEN norm_alias IS NULL THEN [] ELSE [norm_alias] END, coalesce(a, [])))) ELSE CASE WHEN norm_alias IS NULL THEN [] ELSE [norm_alias] END END AS aliases,
     list_concat(CASE WHEN sn.id IS NULL THEN [] ELSE ['base'] END, coalesce(s, [])) AS sources, CASE WHEN coalesce(manual, false) OR owner IS NULL THEN sn.added_time WHEN coalesce(sn.added_time, '') <> '' THEN sn.added_time ELSE coalesce(t, '') END AS added_time, coalesce(manual, false) AS manual, owner, first, seed
     FROM sn FULL JOIN w ON w.id = sn.id LEFT JOIN srcs USING (owner) LEFT JOIN al USING (owner)),
@@ -74,7 +74,7 @@ props AS (SELECT id, k, v FROM al2 JOIN kvs USING (owner) WHERE NOT manual UNION
 pj AS (SELECT id, string_agg(k || '=' || v, ';' ORDER BY k) AS properties FROM props GROUP BY id)
 SELECT id, name, norm_name, type, array_to_string(aliases, ',') AS aliases, coalesce(properties, '') AS properties, array_to_string(sources, ',') AS sources, added_time, manual FROM al2 LEFT JOIN pj USING (id)""")
 def kg_upsert(spark, sf_dir):
-    after = ingest.upsert_entities(_batch(spark, sf_dir), _snapshot(spark, sf_dir), _former(spark), _aliases(G.entities(spark, sf_dir)), G.CLASSES, _URIS, "2")
+    after = ingest.upsert_entities(_batch(spark, sf_dir), _snapshot(spark, sf_dir), _former(spark), _aliases(G.entities(spark, sf_dir)), G.CLASSES, _URIS, "2", spark.sql("SELECT 7000000077L AS id"))
     pairs = F.transform(F.array_sort(F.map_entries("properties")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return after.withColumns({"properties": F.array_join(pairs, ";"), "aliases": F.array_join("aliases", ","), "sources": F.array_join("sources", ",")})
 
