@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that mark English prose, and capitals that are words rather than names.
-GLUE = "a an the and or but from to of for with without in on at by as is are was were be been being this that these those we you they he she it our your their can could will would have has had".split()
-ORDINARY = "THIS THAT IS ARE THE A AN AND OR YES NO HELLO WELCOME THANK THANKS YOU WE I IT DO NOT CAN WILL WITH TO FOR OF".split()
+GLUE = ("a", "an", "the", "and", "or", "but", "from", "to", "of", "for", "with", "without", "in", "on", "at", "by", "as", "is", "are", "was", "were", "be", "been", "being", "this", "that", "these", "those", "we", "you", "they", "he", "she", "it", "our", "your", "their", "can", "could", "will", "would", "have", "has", "had")
+ORDINARY = ("THIS", "THAT", "IS", "ARE", "THE", "A", "AN", "AND", "OR", "YES", "NO", "HELLO", "WELCOME", "THANK", "THANKS", "YOU", "WE", "I", "IT", "DO", "NOT", "CAN", "WILL", "WITH", "TO", "FOR", "OF")
 # Kinds of content that are documents.
 DOCUMENTS = ("VideoObject", "Article", "Book", "CreativeWork", "MediaObject")
 
@@ -16,7 +16,7 @@ def chinese(text: Column) -> Column:
     """Han letters and no kana; of latin words no more than half the Han letters (three are free), unless all are names."""
     han = F.regexp_count(text, F.lit(r"[\x{3400}-\x{9fff}]"))
     latin = F.regexp_extract_all(text, F.lit("[A-Za-z]{2,}"), F.lit(0))
-    names = F.forall(latin, lambda w: ~F.lower(w).isin(GLUE) & F.rlike(w, F.lit("[A-Z]")))
+    names = F.forall(latin, lambda w: ~F.lower(w).isin(*GLUE) & F.rlike(w, F.lit("[A-Z]")))
     few = F.size(latin) <= F.greatest(F.lit(3), F.floor(han / 2))
     return F.coalesce(~F.rlike(text, F.lit(r"[\x{3040}-\x{30ff}]")) & (han > 0) & (few | names), F.lit(False))
 
@@ -24,7 +24,7 @@ def chinese(text: Column) -> Column:
 def literal(text: Column) -> Column:
     """A URL, numbers, or up to four identifiers in capitals or digits."""
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    name = lambda w: F.rlike(w, F.lit(r"^[A-Za-z0-9.+_-]+$")) & ~F.upper(w).isin(ORDINARY) & ((F.regexp_count(w, F.lit("[A-Z]")) >= 2) | F.rlike(w, F.lit(r"^\d+$")))
+    name = lambda w: F.rlike(w, F.lit(r"^[A-Za-z0-9.+_-]+$")) & ~F.upper(w).isin(*ORDINARY) & ((F.regexp_count(w, F.lit("[A-Z]")) >= 2) | F.rlike(w, F.lit(r"^\d+$")))
     plain = F.rlike(F.trim(text), F.lit(r"^https?://\S+$")) | F.rlike(text, F.lit(r"^[\d\s.,:%+\-/$¥€()]+$"))
     return F.coalesce((F.trim(text) != "") & (plain | (F.size(words).between(1, 4) & F.forall(words, name))), F.lit(False))
 

@@ -23,10 +23,15 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{BLANK}+|{BLANK}+\z", "")
 
 
+def folded(text: str) -> str:
+    """NFKC, case folding, trimmed, single spaces."""
+    return " ".join(unicodedata.normalize("NFKC", text).casefold().split())
+
+
 @F.pandas_udf(StringType())
 def normalize(names: pd.Series) -> pd.Series:
-    """NFKC, case folding, trimmed, single spaces; apply it to distinct names."""
-    return names.map(lambda s: None if s is None else " ".join(unicodedata.normalize("NFKC", s).casefold().split()))
+    """`folded` names; apply it to distinct ones."""
+    return names.map(lambda s: None if s is None else folded(s))
 
 
 def tokens(text: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 STANCED = ("claim", "triple")
@@ -26,14 +26,27 @@ def records(targets: DataFrame, saved: DataFrame, redirects: DataFrame) -> DataF
 
 
 def baseline(snapshots: DataFrame, source: str, most: int = 150, chars: int = 120_000) -> DataFrame:
-    """Reviewed and included judgments with a stance that do not come from `source`, in order of key, within both limits.
+    """Reviewed and included judgments with a stance that do not come from `source`. More than `most`, or titles of over `chars` characters in all, are an error: none is left out in silence.
 
     snapshots: key, kind, title, sources (array), reviewed, included, stance.
     """
     fit = snapshots.filter(F.col("kind").isin(*STANCED) & F.col("reviewed") & F.col("included") & (F.col("stance") != "unset") & ~F.array_contains("sources", source))
-    first = fit.orderBy("key").limit(most)
-    used = F.sum(F.char_length("title")).over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, 0))  # `most` rows at most
-    return first.withColumn("_used", used).filter(F.col("_used") <= chars).drop("_used")
+    size = fit.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.char_length("title")), F.lit(0)).alias("chars")).first()
+    if size["n"] > most:
+        raise ValueError(f"{size['n']:,} judgments to compare, {most:,} at most")
+    if size["chars"] > chars:
+        raise ValueError(f"judgments of {size['chars']:,} characters to compare, {chars:,} at most")
+    return fit
+
+
+def baselines(snapshots: DataFrame, sources: DataFrame, most: int = 150, chars: int = 120_000) -> DataFrame:
+    """(source, judgments, characters, outcome) for each of `sources` (source): how many judgments there are to compare with, and none, many, long or ready. What all have in common is counted once."""
+    fit = snapshots.filter(F.col("kind").isin(*STANCED) & F.col("reviewed") & F.col("included") & (F.col("stance") != "unset")).withColumn("c", F.char_length("title"))
+    whole = fit.agg(F.count("*").alias("n"), F.coalesce(F.sum("c"), F.lit(0)).alias("c")).first()
+    own = fit.select(F.explode(F.array_distinct("sources")).alias("source"), "c").groupBy("source").agg(F.count("*").alias("own_n"), F.sum("c").alias("own_c"))
+    rows = sources.select("source").distinct().join(own, "source", "left").fillna(0, ["own_n", "own_c"])
+    rows = rows.select("source", (F.lit(whole["n"]) - F.col("own_n")).alias("judgments"), (F.lit(whole["c"]) - F.col("own_c")).alias("characters"))
+    return rows.withColumn("outcome", F.when(F.col("judgments") == 0, "none").when(F.col("judgments") > most, "many").when(F.col("characters") > chars, "long").otherwise("ready"))
 
 
 def latest(history: DataFrame) -> DataFrame:

@@ -7,11 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgloom.functions.text import folded
 from kgloom.operators.graph import with_names
 
 
 def query_terms(query: str, mode: str = "terms", expand: bool = False, variants: dict[str, str] | None = None, most: int = 64) -> list[str]:
-    """Terms of a query: its words, or the whole as a phrase, which `expand` follows by its words; each spelling once in any case.
+    """Terms of a query: its words, or the whole as a phrase, which `expand` follows by its words; each spelling once, at its first place, whatever its case or width.
 
     `variants` lists the characters that may stand for one, itself included; a term has at most `most` spellings.
     """
@@ -23,7 +24,11 @@ def query_terms(query: str, mode: str = "terms", expand: bool = False, variants:
     def spellings(term: str) -> list[str]:
         return reduce(lambda begun, char: [b + c for b in begun for c in (variants or {}).get(char, char)][:most], term, [""])
 
-    return list({" ".join(s.casefold().split()): s for s in reversed([s for t in terms for s in spellings(t)])}.values())[::-1]
+    kept: dict[str, str] = {}
+    for term in terms:
+        for s in spellings(term):
+            kept.setdefault(folded(s), s)
+    return list(kept.values())
 
 
 def search_entities(entities: DataFrame, aliases: DataFrame, terms: list[str], limit: int) -> DataFrame:
@@ -36,7 +41,7 @@ def search_entities(entities: DataFrame, aliases: DataFrame, terms: list[str], l
     named = entities.select("id", "name", "norm_name", as_json.alias("json"))
     legs = []
     for n, term in enumerate(terms):
-        pattern = "%" + " ".join(term.lower().split()).replace("\\", "\\\\") + "%"
+        pattern = "%" + folded(term).replace("\\", "\\\\") + "%"
         found = (
             named.filter(F.col("norm_name").like(pattern) | F.lower("name").like(pattern)).select("id", "name", F.col("name").alias("value")),
             aliases.filter(F.col("norm_alias").like(pattern)).join(named, aliases["entity_id"] == named["id"]).select("id", "name", F.col("norm_alias").alias("value")),
@@ -80,7 +85,7 @@ def related(matched: DataFrame, entities: DataFrame, triples: DataFrame, evidenc
 
 def named_in(entities: DataFrame, aliases: DataFrame, question: str, most: int = 20) -> DataFrame:
     """(id, name) of entities whose name or alias, of two letters at least, stands in the question; longest names first."""
-    asked = F.lit(" ".join(question.lower().split()))
+    asked = F.lit(folded(question))
     spelled = entities.select("id", F.col("norm_name").alias("norm")).union(aliases.select("entity_id", "norm_alias"))
     ids = spelled.filter((F.char_length("norm") >= 2) & F.contains(asked, F.col("norm"))).select("id").distinct()
     return entities.join(ids, "id", "left_semi").select("id", "name").orderBy(F.desc(F.char_length("name")), "id").limit(most)

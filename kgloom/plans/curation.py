@@ -139,11 +139,21 @@ def memory_records(spark, sf_dir):
     return judgments.records(targets, _saved(spark, targets), spark.sql("SELECT 'gone' AS key, 1L AS target_id"))
 
 
-@query(_TARGETS + " SELECT key, title, stance FROM t JOIN saved USING (key) WHERE reviewed AND included AND stance <> 'unset' AND source <> 'base' ORDER BY key LIMIT 150")
+@query(_TARGETS + " SELECT key, title, stance FROM t JOIN saved USING (key) WHERE reviewed AND included AND stance <> 'unset' AND source <> 'base'")
 def memory_baseline(spark, sf_dir):
     targets = _targets(spark, sf_dir)
     snapshots = targets.join(_saved(spark, targets), "key").withColumn("sources", F.array("source"))
-    return judgments.baseline(snapshots, "base").select("key", "title", "stance")
+    return judgments.baseline(snapshots, "base", most=10**9, chars=10**12).select("key", "title", "stance")
+
+
+@query(_TARGETS + """, f AS (SELECT t.source, length(title) AS c FROM t JOIN saved USING (key) WHERE reviewed AND included AND stance <> 'unset'), o AS (SELECT source, count(*) AS n, sum(c) AS c FROM f GROUP BY source),
+x AS (SELECT DISTINCT t.source, (SELECT count(*) FROM f) - coalesce(o.n, 0) AS n, (SELECT sum(c) FROM f) - coalesce(o.c, 0) AS c FROM t LEFT JOIN o USING (source))
+SELECT source, CAST(n AS BIGINT) AS judgments, CAST(c AS BIGINT) AS characters, CASE WHEN n = 0 THEN 'none' WHEN n > 19000 THEN 'many' WHEN c > 640000 THEN 'long' ELSE 'ready' END AS outcome FROM x""")
+def memory_baselines(spark, sf_dir):
+    """Of each source, how many judgments it would be compared with."""
+    targets = _targets(spark, sf_dir)
+    snapshots = targets.join(_saved(spark, targets), "key").withColumn("sources", F.array("source"))
+    return judgments.baselines(snapshots, targets.select("source"), 19_000, 640_000)
 
 
 @query(", e AS (SELECT t.id, s.name || chr(9) || predicate || chr(9) || o.name AS line FROM triples t JOIN entities s ON s.id = subject_id JOIN entities o ON o.id = object_id) SELECT id, line FROM e")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kgloom.functions import text as T
 from kgloom.operators import clips, documents, graph, judgments, rules
 from kgloom.plans import testgraph as G
 from kgloom.plans.curation import DEFAULT_RULES, _FACTS, _facts
 from kgloom.plans.queries import SEGMENTS, _segments, query
 from kgloom.sinks import projections
-from kgloom.sources import routing
+from kgloom.sources import captions, routing
 
 
 def _table(spark, sf_dir, name):
@@ -85,13 +86,13 @@ def clip_fitted_single(spark, sf_dir):
     return clips.fitted(own.withColumn("rank", F.lit(1)), own, lone.select("doc", F.lit(86400.0).alias("target"), F.lit(100000.0).alias("duration"))).select("doc", "idx", "start", "end")
 
 
-@query("""WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://www.163.com/a/' || page_id WHEN 1 THEN 'https://youtu.be/' || lpad(CAST(page_id AS VARCHAR), 11, 'a') WHEN 2 THEN 'https://www.youtube.com/watch?x=1&v=short' ELSE url END AS url, ['﻿ #EXTM3U x', ' {"events":[]}', 'WEBVTT'][CAST(page_id % 3 AS INT) + 1] AS payload FROM pages)
-SELECT page_id, CASE page_id % 4 WHEN 0 THEN '163:' || left(sha1(url), 12) WHEN 1 THEN 'yt:' || right(url, 11) END AS item, CASE WHEN contains(payload, '#EXTM3U') THEN 'hls' WHEN contains(payload, '{') THEN 'json3' ELSE 'vtt' END AS format FROM p""")
+@query("""WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://www.163.com/a/' || page_id WHEN 1 THEN 'https://youtu.be/' || lpad(CAST(page_id AS VARCHAR), 11, 'a') WHEN 2 THEN 'https://www.youtube.com/watch?x=1&v=short' ELSE url END AS url, ['﻿ #EXTM3U x', ' {"events":[]}', 'WEBVTT', 'hello world'][CAST(page_id % 5 AS INT) % 4 + 1] AS payload FROM pages)
+SELECT page_id, CASE page_id % 4 WHEN 0 THEN '163:' || left(sha1(url), 12) WHEN 1 THEN 'yt:' || right(url, 11) END AS item, CASE WHEN contains(payload, '#EXTM3U') THEN 'hls' WHEN contains(payload, '{') THEN 'json3' WHEN payload = 'WEBVTT' THEN 'vtt' END AS format FROM p""")
 def link_routing(spark, sf_dir):
     """Links of both sources, one without an id, and those of the pages, which belong to neither."""
     i = F.col("page_id")
     url = F.when(i % 4 == 0, F.concat(F.lit("https://www.163.com/a/"), i)).when(i % 4 == 1, F.concat(F.lit("https://youtu.be/"), F.lpad(i.cast("string"), 11, "a"))).when(i % 4 == 2, "https://www.youtube.com/watch?x=1&v=short").otherwise(F.col("url"))
-    payload = F.element_at(F.array(*map(F.lit, ("﻿ #EXTM3U x", ' {"events":[]}', "WEBVTT"))), (i % 3 + 1).cast("int"))
+    payload = F.element_at(F.array(*map(F.lit, ("﻿ #EXTM3U x", ' {"events":[]}', "WEBVTT", "hello world"))), (i % 5 % 4 + 1).cast("int"))
     return _table(spark, sf_dir, "pages").select("page_id", routing.item_id(url).alias("item"), routing.caption_format(payload).alias("format"))
 
 
@@ -100,3 +101,26 @@ def caption_tracks(spark, sf_dir):
     k, words = F.col("o_orderkey"), lambda *w: F.array(*map(F.lit, w))
     rows = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), F.element_at(words("official", "automatic", "other"), (k % 3 + 1).cast("int")).alias("kind"), F.element_at(words("en", "zh", "de", "zh-Hans"), (k % 4 + 1).cast("int")).alias("lang"), F.concat(F.lit("u"), k).alias("url"))
     return routing.preferred_tracks(rows)
+
+
+_LINKS = ["https://youtu.be/{}", "http://www.youtube.com/watch?x=1&v={}&t=2)", "https://m.youtube.com/shorts/{}/x", "https://youtube.com.example.org/watch?v={}", "https://youtube.com/watch?v={}x", "https://example.org/youtu.be/{}", "https://youtube.com/user?v={}", "https://youtube.com/embed/{}?start=1。"]
+
+
+@query("""WITH p AS (SELECT page_id, page_id % 8 AS k, lpad(CAST(page_id AS VARCHAR), 11, 'a') AS v FROM pages) SELECT page_id, CASE WHEN k IN (0, 1, 2, 7) THEN v WHEN page_id % 3 = 0 THEN reverse(v) END AS video FROM p""")
+def video_links(spark, sf_dir):
+    """The video of a text with a link, some only like one, and in a third of the texts another link after it."""
+    i, v = F.col("page_id"), F.lpad(F.col("page_id").cast("string"), 11, "a")
+    link = F.replace(F.element_at(F.array(*map(F.lit, _LINKS)), (i % 8 + 1).cast("int")), F.lit("{}"), v)
+    text = F.concat(F.coalesce("html", F.lit("")), F.lit(" see "), link, F.when(i % 3 == 0, F.concat(F.lit(" or https://www.youtu.be/"), F.reverse(v))).otherwise(""))
+    return _table(spark, sf_dir, "pages").select("page_id", routing.video_in(text).alias("video"))
+
+
+@query(rf"""WITH d AS (SELECT doc_id, 'WEBVTT' || chr(10) || 'NOTE x' || chr(10) || '12' || chr(10) || text || chr(10) || ' <c>Hello</c> a &lt; b' || chr(13) || chr(10) || 'REGION y' || chr(10) || '00:01.0 --> 00:02.0' || chr(10) || text AS t FROM documents),
+l AS (SELECT doc_id, unnest(list_transform(regexp_split_to_array(t, '{T.LINE_END}'), lambda x: regexp_replace(x, '^{T.BLANK}+|{T.BLANK}+$', '', 'g'))) AS s, generate_subscripts(regexp_split_to_array(t, '{T.LINE_END}'), 1) AS i FROM d),
+k AS (SELECT doc_id, i, replace(regexp_replace(s, '<[^>]+>', '', 'g'), '&lt;', '<') AS s FROM l WHERE s <> '' AND NOT regexp_matches(s, '^(WEBVTT|Kind:|Language:|NOTE|X-TIMESTAMP-MAP|STYLE|REGION)|-->|^\d+$')),
+f AS (SELECT doc_id, s, min(i) AS i FROM k WHERE s <> '' GROUP BY ALL)
+SELECT doc_id, sha256(coalesce(string_agg(s, chr(10) ORDER BY i), '')) AS speech FROM d LEFT JOIN f USING (doc_id) GROUP BY doc_id""")
+def vtt_speech(spark, sf_dir):
+    """The speech of texts as captions, each of them twice, between headers and tags."""
+    text = F.concat(F.lit("WEBVTT\nNOTE x\n12\n"), "text", F.lit("\n <c>Hello</c> a &lt; b\r\nREGION y\n00:01.0 --> 00:02.0\n"), "text")
+    return _table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce(captions.vtt_text(text), F.lit("")).cast("binary"), 256).alias("speech"))

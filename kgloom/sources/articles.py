@@ -3,24 +3,26 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+# Tags without text, where a page's article begins, a paragraph's start and a tag, as loose as pages are.
 _SKIPPED = {"script", "style", "iframe"}
 _POST_BODY = re.compile(r'class="post_body"[^>]*>(.*?)</div>', re.S)
-_PARAGRAPH = re.compile(r"<p[^>]*>(.*?)</p>", re.S)
+_PARAGRAPH = re.compile(r"<p[^>]*>")
+_TAG = re.compile(r"<[^>]+>")
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
 class _Paragraphs(HTMLParser):
-    """Texts of <p> by the container they stand in; the best container is that of the lowest rank."""
+    """Pieces of the texts of <p>, by the container they stand in: the first of each rank; the best is that of the lowest rank."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.title: list[str] = []
         self.found: dict[int, list[list[str]]] = {}
         self.open: list[tuple[str, int | None]] = []
         self.paragraph: list[str] | None = None
@@ -31,11 +33,13 @@ class _Paragraphs(HTMLParser):
         if tag == "p":
             self.paragraph = []
             for rank in {r for _, r in self.open if r is not None}:
-                self.found.setdefault(rank, []).append(self.paragraph)
+                self.found[rank].append(self.paragraph)
         a = {k: v or "" for k, v in attrs}
         rank = 0 if "post_body" in a.get("class", "").split() else 1 if a.get("id") == "content" else 2 if tag == "article" else None
-        if rank is not None:
-            self.found.setdefault(rank, [])
+        if rank in self.found:
+            rank = None
+        elif rank is not None:
+            self.found[rank] = []
         self.open.append((tag, rank))
 
     def handle_endtag(self, tag: str) -> None:
@@ -47,33 +51,30 @@ class _Paragraphs(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        tags = {t for t, _ in self.open}
-        if tags & _SKIPPED:
-            return
-        if "title" in tags:
-            self.title.append(data)
-        elif self.paragraph is not None:
-            self.paragraph.append(data)
+        if self.paragraph is not None and data.strip() and not {t for t, _ in self.open} & _SKIPPED:
+            self.paragraph.append(data.strip())
 
 
-def _plain_paragraphs(page: str) -> list[str]:
-    """Texts of all <p> of the post_body div, up to its first end tag, or of the whole page where there is no such div; markup is only cut out."""
+def _loose_paragraphs(page: str) -> Iterator[str]:
+    """Texts between each paragraph's start and the next end tag, without markup, in the first post_body div up to its first end tag, or in the whole page."""
     div = _POST_BODY.search(page)
-    scope = div[1] if div else page
-    # Nothing after the last end tag matches; without it, each <p> there would be sought an end for in vain.
-    return [re.sub(r"\s+", " ", re.sub(r"<[^>]+>", "", p)).strip() for p in _PARAGRAPH.findall(scope[: scope.rfind("</p>") + 4] if "</p>" in scope else "")]
+    for piece in (div[1] if div else page).split("</p>")[:-1]:
+        if start := _PARAGRAPH.search(piece):
+            yield " ".join(_TAG.sub("", piece[start.end() :]).split())
 
 
 def _article(page: str | None) -> tuple[str, str]:
+    page = page or ""
     parser = _Paragraphs()
-    parser.feed(page or "")
+    parser.feed(page)
     parser.close()
-    body = parser.found[min(parser.found)] if parser.found else []
-    texts = [t for p in body if (t := "".join(p).strip())] or [t for t in _plain_paragraphs(page or "") if t]
-    return "".join(parser.title).strip().split("_")[0], "\n".join(texts)
+    best = parser.found[min(parser.found)] if parser.found else []
+    texts = [" ".join(pieces) for pieces in best if pieces] or [t for t in _loose_paragraphs(page) if t]
+    title, end, _ = page.partition("<title>")[2].partition("</title>")
+    return title.strip().split("_")[0] if end else "", "\n".join(texts)
 
 
 @F.pandas_udf(StructType().add("title", StringType()).add("body", StringType()))
 def extract_article(pages: pd.Series) -> pd.DataFrame:
-    """Title, up to its first underscore, and the paragraphs of the page's main container: class post_body, else id content, else <article>. Without a container, or if it has no text in paragraphs, see _plain_paragraphs."""
+    """Title as it is written, up to its first underscore, and the paragraphs, their pieces joined by spaces, of the page's main container: class post_body, else id content, else <article>. Without a container, or if it has no text in paragraphs, see _loose_paragraphs."""
     return pd.DataFrame([_article(p) for p in pages], columns=["title", "body"])

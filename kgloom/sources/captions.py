@@ -8,42 +8,26 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType, StructType
+from pyspark.sql.types import ArrayType, StringType, StructType
 
-from kgloom.functions.text import LINE_END, stripped
+from kgloom.functions.text import LINE_END, stripped, timestamp_seconds
 
-_SEGMENTS = ArrayType(StructType().add("start", DoubleType()).add("end", DoubleType()).add("text", StringType()))
+_STAMPED = ArrayType(StructType().add("start", StringType()).add("end", StringType()).add("text", StringType()))
 # What counts as a cue, a clock origin, a tag and a payload that is no speech.
 _CUE = re.compile(r"\s*([\d:.,]+)\s+-->\s+([\d:.,]+)")
-_ORIGIN = re.compile(r"X-TIMESTAMP-MAP=LOCAL:([^,\s]+),MPEGTS:(\d+)")
+_ORIGIN = r"X-TIMESTAMP-MAP=LOCAL:([^,\s]+),MPEGTS:(\d+)"
 _TAG = re.compile(r"<[^>]+>")
 PAYLOAD = r"^(#EXTM3U|#EXT-X-|\{|\[|<\?xml)|^(?i:<(!doctype|html|head|body|error)([^\p{L}\p{N}_]|\z))"
+HEADERS = r"^(WEBVTT|Kind:|Language:|NOTE|X-TIMESTAMP-MAP|STYLE|REGION)|-->|^\d+\z"
 BEFORE = r"^[\x{FEFF} \r\n\t]+"
 _JSON3 = "struct<events:array<struct<tStartMs:double,dDurationMs:double,segs:array<struct<utf8:string>>>>>"
 
 
-def _seconds(stamp: str) -> float | None:
-    """Seconds of [hh:]mm:ss; None where it is none."""
-    total = 0.0
-    parts = stamp.replace(",", ".").split(":")
-    try:
-        for part in parts:
-            total = total * 60 + float(part)
-    except ValueError:
-        return None
-    return total if len(parts) in (2, 3) else None
-
-
-def _cues(text: str | None) -> list[tuple[float, float, str]]:
-    """A cue's text ends at a blank line or at the next arrow; a text whose clock does not start at zero has no cues."""
-    text = text or ""
-    if "X-TIMESTAMP-MAP" in text:
-        origin = _ORIGIN.search(text)
-        if not origin or int(origin[2]) or _seconds(origin[1]) != 0:
-            return []
+def _cues(text: str | None) -> list[dict[str, str]]:
+    """Stamps and texts; a cue's text ends at a blank line or at the next arrow."""
     found: list[tuple[str, str, list[str]]] = []
     body: list[str] | None = None
-    for line in text.splitlines():
+    for line in (text or "").splitlines():
         if "-->" in line or not line.strip():
             cue, body = _CUE.match(line), None
             if cue:
@@ -51,26 +35,30 @@ def _cues(text: str | None) -> list[tuple[float, float, str]]:
                 found.append((cue[1], cue[2], body))
         elif body is not None:
             body.append(line.strip())
-    timed = ((_seconds(a), _seconds(b), lines) for a, b, lines in found)
-    return [(a, b, html.unescape(_TAG.sub("", "\n".join(lines))).strip()) for a, b, lines in timed if a is not None and b is not None]
+    return [{"start": a, "end": b, "text": html.unescape(_TAG.sub("", "\n".join(lines))).strip()} for a, b, lines in found]
 
 
-@F.pandas_udf(_SEGMENTS)
-def vtt_segments(texts: pd.Series) -> pd.Series:
-    """Cues of a WebVTT text, without tags and with entities decoded; blank ones are left to `valid_segments`."""
-    return texts.map(lambda s: [{"start": a, "end": b, "text": t} for a, b, t in _cues(s)])
+@F.pandas_udf(_STAMPED)
+def _stamped(texts: pd.Series) -> pd.Series:
+    return texts.map(_cues)
 
 
-@F.pandas_udf(StringType())
-def unescaped(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda s: None if s is None else html.unescape(s))
+def vtt_segments(text: Column | str) -> Column:
+    """Cues of a WebVTT text, without tags and with entities decoded; blank ones are left to `valid_segments`. A text whose clock does not start at zero has none."""
+    text = F.col(text) if isinstance(text, str) else text
+    local, ticks = (F.regexp_extract(text, _ORIGIN, k) for k in (1, 2))
+    zero = (local != "") & (timestamp_seconds(local) == 0) & F.rlike(ticks, F.lit(r"^0+\z"))
+    timed = F.transform(_stamped(text), lambda c: F.struct(timestamp_seconds(c["start"]).alias("start"), timestamp_seconds(c["end"]).alias("end"), c["text"].alias("text")))
+    cues = F.filter(timed, lambda c: c["start"].isNotNull() & c["end"].isNotNull())
+    return F.when(~F.contains(text, F.lit("X-TIMESTAMP-MAP")) | zero, cues).otherwise(F.slice(cues, 1, 0))
 
 
 def vtt_text(text: Column) -> Column:
-    """Lines of speech, each at its first occurrence only, without headers, times, numbers and tags."""
-    lines = F.transform(F.split(unescaped(F.regexp_replace(text, "<[^>]*>", "")), r"\r?\n"), lambda s: F.trim(s))
-    spoken = F.filter(lines, lambda s: (s != "") & ~F.rlike(s, F.lit(r"^(WEBVTT|NOTE|STYLE|Kind:|Language:|X-TIMESTAMP-MAP|\d+$)|-->")))
-    return F.array_join(F.array_distinct(spoken), "\n")
+    """Lines of speech, each at its first occurrence only, without headers, times and numbers; then tags are cut within a line."""
+    lines = F.transform(F.split(text, LINE_END), stripped)
+    spoken = F.filter(lines, lambda s: (s != "") & ~F.rlike(s, F.lit(HEADERS)))
+    plain = _each_unescaped(F.transform(spoken, lambda s: F.regexp_replace(s, "<[^>]+>", "")))
+    return F.array_join(F.array_distinct(F.filter(plain, lambda s: s != "")), "\n")
 
 
 @F.pandas_udf(ArrayType(StringType()))

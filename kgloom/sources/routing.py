@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kgloom.sources.takeout import article_id
 
 # Hosts of the two sources, and the order in which caption tracks are taken.
+VIDEO_ADDRESS = r"(?i:https?://)(?:(?i:(?:www\.)?youtu\.be)(?::\d*)?/+|(?i:(?:www\.|m\.)?youtube\.com)(?::\d*)?/(?:(?:shorts|live|embed)/|watch\?(?:[^#]*?&)?v=))([A-Za-z0-9_-]{11})(?=[/?#&]|\z)"
 VIDEO_ID = r"(?:v=|youtu\.be/)([A-Za-z0-9_-]{11})"
 KINDS = ("official", "automatic")
 LANGUAGES = ("zh-Hans", "zh", "en")
@@ -20,9 +21,16 @@ def item_id(url: Column) -> Column:
 
 
 def caption_format(payload: Column) -> Column:
-    """hls, json3 or vtt, by how a caption payload begins."""
+    """hls, json3 or vtt, by how a caption payload begins or, of the last, by an arrow in it; null for any other."""
     body = F.regexp_replace(payload, r"^[\x{FEFF}\s]+", "")
-    return F.when(F.startswith(body, F.lit("#EXTM3U")), "hls").when(F.startswith(body, F.lit("{")), "json3").otherwise("vtt")
+    return F.when(F.startswith(body, F.lit("#EXTM3U")), "hls").when(F.startswith(body, F.lit("{")), "json3").when(F.startswith(body, F.lit("WEBVTT")) | F.contains(body, F.lit("-->")), "vtt")
+
+
+def video_in(text: Column) -> Column:
+    """The id of the first link in a text that leads to a video: a known host with a path of its own; null where there is none, however like one a link looks."""
+    links = F.transform(F.regexp_extract_all(text, F.lit(r'https?://[^\s<>"\])]+'), F.lit(0)), lambda u: F.regexp_replace(u, "[。，；]+$", ""))
+    ids = F.transform(links, lambda u: F.regexp_extract(u, "^" + VIDEO_ADDRESS, 1))
+    return F.get(F.filter(ids, lambda i: i != ""), F.lit(0))
 
 
 def preferred_tracks(tracks: DataFrame) -> DataFrame:

@@ -39,9 +39,9 @@ def written(df: DataFrame) -> DataFrame:
 class Snapshots:
     """Versions of a set of tables in a folder, for one writer at a time.
 
-    A version's tables are written first; then one row (version, path, names, note)
-    is added to the table of versions. Readers follow its newest row, so they see
-    all of a version or nothing of it, and a writer that dies leaves none.
+    A version's changed tables are written first; then one row (version, paths of all
+    tables, note) is added to the table of versions. Readers follow its newest row, so
+    they see all of a version or nothing of it, and a writer that dies leaves none.
     """
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
@@ -64,14 +64,14 @@ class Snapshots:
     def tables(self) -> dict[str, DataFrame]:
         """The tables of the newest version."""
         row = self._newest()
-        return {name: self.spark.read.parquet(f"{row['path']}/{name}") for name in row["names"]} if row else {}
+        return {name: self.spark.read.parquet(path) for name, path in row["paths"].items()} if row else {}
 
     def publish(self, tables: dict[str, DataFrame], note: str) -> int:
-        """Write `tables` as a new version and switch to it."""
-        version = self.version() + 1
-        path = f"{self.folder}/data/{version}-{uuid.uuid4().hex}"
+        """Write `tables` and switch to a version that has them, and the other tables as they were."""
+        row, folder = self._newest(), f"{self.folder}/data/{uuid.uuid4().hex}"
         for name, df in tables.items():
-            df.write.parquet(f"{path}/{name}")
-        row = [(version, path, sorted(tables), note)]
-        self.spark.createDataFrame(row, "version bigint, path string, names array<string>, note string").coalesce(1).write.mode("append").parquet(f"{self.folder}/versions")
+            df.write.parquet(f"{folder}/{name}")
+        version = (row["version"] if row else 0) + 1
+        paths = (row["paths"] if row else {}) | {name: f"{folder}/{name}" for name in tables}
+        self.spark.createDataFrame([(version, paths, note)], "version bigint, paths map<string,string>, note string").coalesce(1).write.mode("append").parquet(f"{self.folder}/versions")
         return version

@@ -1,12 +1,14 @@
 """Small fixtures for rules, walks, segments, captions, articles and projections."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from kgloom.operators import documents, judgments, rules, schema_changes, segments
+from kgloom.functions.text import normalize
+from kgloom.operators import documents, judgments, rules, schema_changes, search, segments
 from kgloom.plans import curation
 from kgloom.plans import testgraph as G
 from kgloom.sinks import projections
-from kgloom.sources import articles, captions, takeout
+from kgloom.sources import articles, captions, routing, takeout
 from tests.test_queries import spark  # noqa: F401
 
 
@@ -128,7 +130,8 @@ def test_articles_without_container_text(spark):  # noqa: F811
 def test_judgments(spark):  # noqa: F811
     rows = spark.createDataFrame([("a", "triple", "t1", ["x"], True, True, "agree"), ("b", "triple", "t2", ["y"], True, True, "agree"), ("c", "entity", "t3", ["y"], True, True, "agree"), ("d", "claim", "t4", ["y"], True, False, "agree"), ("e", "claim", "t5", ["y"], True, True, "unset"), ("f", "claim", "long", ["y"], True, True, "agree")], "key string, kind string, title string, sources array<string>, reviewed boolean, included boolean, stance string")
     assert [r["key"] for r in judgments.baseline(rows, "x").collect()] == ["b", "f"]
-    assert [r["key"] for r in judgments.baseline(rows, "x", chars=3).collect()] == ["b"]
+    with pytest.raises(ValueError, match="6 characters"):
+        judgments.baseline(rows, "x", chars=3)
     history = spark.createDataFrame([(1, "k", "old"), (2, "k", "new"), (3, "m", "one")], "id int, memory_key string, after_state string")
     assert sorted((r["memory_key"], r["after_state"]) for r in judgments.latest(history).collect()) == [("k", "new"), ("m", "one")]
 
@@ -155,3 +158,49 @@ def test_entity_notes(spark):  # noqa: F811
 def test_rows_only_queries(spark):  # noqa: F811
     for name in ("reading_walk", "entity_notes", "seg_topk_nonoverlap", "seg_batches", "srt_subtitles", "page_extract_article"):
         assert not curation.query.__globals__["QUERIES"][name](spark, "/root/testdata/sf0.001").isEmpty(), name
+
+
+def test_speech_of_vtt(spark):  # noqa: F811
+    texts = ["WEBVTT\n\n00:01.0 --> 00:02.0\na < b\n\n00:02.0 --> 00:03.0\nc > d", "REGION x\nSTYLE\n<c>12</c>\n12\nhi\nhi <b>\n&amp;amp;\r\n<i></i>", "", None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", captions.vtt_text(F.col("t")).alias("v")).collect()
+    assert {r["k"]: r["v"] for r in rows} == {0: "a < b\nc > d", 1: "12\nhi\nhi <b>\n&amp;".replace("hi <b>", "hi "), 2: "", 3: None}
+
+
+def test_articles_first_container(spark):  # noqa: F811
+    pages = {
+        "<article><p>one</p></article><article><p>two</p></article>": ("", "one"),
+        "<title>A &amp; B_c</title><article><p>one<b>two</b> three</p></article>": ("A &amp; B", "one two three"),
+        "<title>open<p>x</p>": ("", "x"),
+        "<p>a<p>b</p>c</p><p>d": ("", "a b".replace(" ", "")),
+    }
+    rows = spark.createDataFrame([(p,) for p in pages], "html string").select("html", articles.extract_article("html").alias("a")).collect()
+    assert {r["html"]: tuple(r["a"]) for r in rows} == pages
+
+
+def test_links_and_formats(spark):  # noqa: F811
+    ids = {"https://youtu.be/abcdefghijk": "abcdefghijk", "see https://www.youtube.com/watch?a=1&v=abcdefghijk&t=2。 more": "abcdefghijk", "http://m.youtube.com/shorts/abcdefghij-/x": "abcdefghij-", "https://evil.com/youtube.com/watch?v=abcdefghijk": None, "https://youtube.com.evil.org/watch?v=abcdefghijk": None, "https://youtube.com/watch?v=short": None, "https://youtube.com/other?v=abcdefghijk https://youtu.be/kjihgfedcba": "kjihgfedcba", "none": None, "https://YouTube.com/live/abcdefghijk": "abcdefghijk", "https://youtube.com/watch?v=abcdefghijkl": None}
+    rows = spark.createDataFrame([(t,) for t in ids], "t string").select("t", routing.video_in(F.col("t")).alias("i")).collect()
+    assert {r["t"]: r["i"] for r in rows} == ids
+    kinds = {"﻿ #EXTM3U": "hls", "{": "json3", "WEBVTT": "vtt", "x --> y": "vtt", "hello world": None, "": None}
+    rows = spark.createDataFrame([(t,) for t in kinds], "t string").select("t", routing.caption_format(F.col("t")).alias("f")).collect()
+    assert {r["t"]: r["f"] for r in rows} == kinds
+
+
+def test_baseline_is_whole_or_refused(spark):  # noqa: F811
+    rows = spark.createDataFrame([(str(k), "triple", "t" * 10, ["s"] if k < 5 else ["o"], True, True, "agree") for k in range(20)], "key string, kind string, title string, sources array<string>, reviewed boolean, included boolean, stance string")
+    assert judgments.baseline(rows, "s", most=15).count() == 15
+    for limits in ({"most": 14}, {"chars": 149}):
+        with pytest.raises(ValueError):
+            judgments.baseline(rows, "s", **limits)
+    got = judgments.baselines(rows, spark.createDataFrame([("s",), ("o",), ("x",)], "source string"), 15, 149).collect()
+    assert sorted((r["source"], r["judgments"], r["characters"], r["outcome"]) for r in got) == [("o", 5, 50, "ready"), ("s", 15, 150, "long"), ("x", 20, 200, "many")]
+
+
+def test_search_folds(spark):  # noqa: F811
+    assert search.query_terms("x y x") == ["x", "y"]
+    assert search.query_terms("Ａ a Straße STRASSE") == ["Ａ", "Straße"]
+    entities = spark.createDataFrame([(1, "Ｓtraße"), (2, "other")], "id bigint, name string").withColumn("norm_name", normalize("name")).withColumn("aliases", F.array().cast("array<string>"))
+    none = spark.createDataFrame([], "norm_alias string, entity_id bigint")
+    for asked in ("STRASSE", "ＳＴＲＡßE"):
+        assert [r["id"] for r in search.search_entities(entities, none, search.query_terms(asked), 5).collect()] == [1]
+    assert [r["id"] for r in search.named_in(entities, none, "Wo ist die ＳTRASSE?").collect()] == [1]
