@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import functools
+import inspect
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -65,22 +67,11 @@ def id_range(splits: list[int], column: str = "doc_id") -> Column:
     return F.coalesce(F.least(group * size + F.coalesce(below(F.get(listed, group)), F.lit(0)), F.lit(len(splits))), F.lit(0))
 
 
-def byte_shards(docs: DataFrame, limit: int, column: str = "doc_id") -> tuple[Column, int]:
-    """A number of each row's shard, and how many shards: ranges of ids with about `limit` bytes of text, or a part by hash of text of one range that has more."""
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    total = docs.agg(F.sum(size).alias("n")).first()["n"] or 0
-    splits = id_splits(docs, max(1, -(-2 * total // limit)), column)
-    had = {r["k"]: r["n"] for r in docs.groupBy(id_range(splits, column).alias("k")).agg(F.sum(size).alias("n")).collect()}
-    first, parts, shard, filled = [], [], -1, limit
-    for k in range(len(splits) + 1):
-        n = had.get(k, 0)
-        if n > limit or filled + n > limit:
-            shard, filled = shard + 1, 0
-        first.append(shard)
-        parts.append(max(1, -(-n // limit)))
-        shard, filled = shard + parts[-1] - 1, limit if n > limit else filled + n
-    at = id_range(splits, column)
-    return (F.get(_numbers(first), at) + F.pmod(F.xxhash64("text"), F.get(_numbers(parts), at))).cast("int"), shard + 1
+def byte_shards(docs: DataFrame, limit: int) -> tuple[Column, int]:
+    """A number of each row's shard, by a hash of its id and text, and how many shards: so many that one has about `limit` bytes of text. Only their number goes through the driver."""
+    total = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
+    shards = max(1, -(-total // limit))
+    return F.pmod(F.xxhash64("doc_id", "text", F.lit("shard")), F.lit(shards)).cast("int"), shards
 
 
 def fold(name: str, remainder: int, of: int, column: str = "doc_id") -> Column:
@@ -93,6 +84,38 @@ def others(keep: tuple[str, ...], *results: str) -> tuple[str, ...]:
     return tuple(c for c in dict.fromkeys(keep) if c not in results)
 
 
+def hidden(keep: tuple[str, ...]) -> tuple[list[Column], tuple[str, ...], list[Column]]:
+    """Columns that carry `keep` through an operator, their names, and columns that bring `keep` back.
+
+    doc_id and text, which operators read, stay as they are; all others get names that no operator uses.
+    """
+    named = lambda c: F.col(f"`{c.replace('`', '``')}`")
+    names = {c: c if c in ("doc_id", "text") else f"_kept_{i}" for i, c in enumerate(keep)}
+    return [named(c).alias(n) for c, n in names.items()], tuple(names.values()), [F.col(n).alias(c) for c, n in names.items()]
+
+
+def carries(*results: str) -> Callable:
+    """For an operator with parameters docs and keep: whatever the kept columns are called, no name clashes with its own; a result column takes the place of a kept one of its name."""
+
+    def wrap(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        given = inspect.signature(f)
+
+        @functools.wraps(f)
+        def carried(*args, **named) -> DataFrame:
+            call = given.bind(*args, **named)
+            call.apply_defaults()
+            docs = call.arguments["docs"]
+            carry, names, back = hidden(others(call.arguments["keep"], *results))
+            read = [c for c in ("doc_id", "text") if c in docs.columns and c not in names]
+            call.arguments |= {"docs": docs.select(*read, *carry), "keep": names}
+            out = f(*call.args, **call.kwargs)
+            return out.select(*back, *(c for c in out.columns if c not in names))
+
+        return carried
+
+    return wrap
+
+
 #: What tasks of one kind keep in a Python worker from one task to the next; a task of another kind drops it.
 CACHE: dict[str, object] = {}
 

@@ -8,8 +8,9 @@ answers rank, all phrases are searched backwards at once, and occurrences are
 located by walking to sampled suffix positions. Hits become word spans, which
 are merged.
 
-The benchmark is collected in blocks of at most BLOCK_BYTES of text by a hash of
-its item_id; each block is one pass over the documents, without a shuffle.
+The benchmark is collected in blocks of about BLOCK_BYTES of text by a hash of
+its rows; a block's windows are made once, on the driver, and sent to the workers
+as arrays; each block is one pass over the documents, without a shuffle.
 
 Defined cases: a null text has no words; an item with a null id or without words
 is no item; items that share an id are one; documents are kept row for row,
@@ -26,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import lean, materialize
+from kgloom.llm.common import carries, lean, materialize
 from kgloom.llm.words import BY_ALNUM, Words, slices, utf8, word_slices
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+#: Windows that are sought at once.
+_ASKED = 1 << 18
 #: Text of a training shard, which has an index of its own.
 PIECE_BYTES = 8 << 20
 #: One suffix in so many has its position stored.
@@ -96,12 +99,13 @@ class FMIndex:
 
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Suffix intervals of the rows of `patterns`, by backward search."""
-        low = np.zeros(len(patterns), np.int64)
-        high = np.full(len(patterns), self.before[-1])
-        for c in patterns.T[::-1]:
-            low, high = self.before[c] + self.rank(c, low), self.before[c] + self.rank(c, high)
-            high = np.maximum(low, high)
-        return low, high
+        low, high = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.before[-1])
+        left = np.arange(len(patterns))
+        for step in range(patterns.shape[1] - 1, -1, -1):
+            c = patterns[left, step]
+            low[left], high[left] = self.before[c] + self.rank(c, low[left]), self.before[c] + self.rank(c, high[left])
+            left = left[high[left] > low[left]]
+        return low, np.maximum(low, high)
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
         """Text positions of suffixes: back to a sampled one, and as many steps forward."""
@@ -118,32 +122,46 @@ class FMIndex:
 
 @dataclass
 class Phrases:
-    """Distinct windows of a benchmark block as symbols, by length, and the items that have each."""
+    """Distinct windows of a benchmark block, by length, and the items that have each; at most some 50 bytes for each word of the block."""
 
     vocabulary: np.ndarray  # sorted word hashes; symbol = place + 2; 1 separates runs, 0 ends the text
-    windows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # symbols (n x length), items of each window as CSR: starts, items
+    symbols: np.ndarray  # all words of the block
+    windows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]  # length, first words of windows in `symbols`, items of each window as CSR: starts, items
     items: list[str]
 
     @property
     def shortest(self) -> int:
-        return min((w.shape[1] for w, _, _ in self.windows), default=0)
+        return min((length for length, *_ in self.windows), default=0)
+
+
+def _names(symbols: np.ndarray, length: int) -> np.ndarray:
+    """Equal numbers for equal sequences of `length` symbols, by first symbol: numbers of twice the length from pairs of them."""
+    names, have = symbols.astype(np.int64), 1
+    while have < length:
+        step = min(have, length - have)
+        names = np.unique(names[:-step] * (int(names.max(initial=0)) + 1) + names[step:], return_inverse=True)[1]
+        have += step
+    return names
 
 
 def phrases(rows: list[tuple[str, str]], width: int) -> Phrases:
-    names = sorted({i for i, _ in rows})
-    place = {x: k for k, x in enumerate(names)}
+    """Windows of `width` words of the texts of rows (item, text), and whole texts of fewer."""
+    items = sorted({i for i, _ in rows})
+    place = {x: k for k, x in enumerate(items)}
     words = Words(*utf8(pa.array([t for _, t in rows], pa.string())), BY_ALNUM, lower=True)
     vocabulary, symbols = np.unique(words.hashes(), return_inverse=True)
-    found: dict[tuple[int, ...], set[int]] = {}
-    for k, (item, _) in enumerate(rows):
-        s = (symbols[words.first[k] : words.first[k + 1]] + 2).tolist()
-        for i in range(max(1, len(s) - width + 1) if s else 0):
-            found.setdefault(tuple(s[i : i + width]), set()).add(place[item])
-    out = []
-    for length in sorted({len(w) for w in found}):
-        same = [(w, sorted(x)) for w, x in sorted(found.items()) if len(w) == length]
-        out.append((np.array([w for w, _ in same], np.int64), np.cumsum([0, *(len(x) for _, x in same)]), np.array([y for _, x in same for y in x], np.int64)))
-    return Phrases(vocabulary, out, names)
+    symbols = (symbols + 2).astype(np.int32)
+    item, size = np.array([place[i] for i, _ in rows], np.int64)[words.doc], np.repeat(words.counts, words.counts)
+    first = np.arange(len(symbols)) == words.first[:-1][words.doc]
+    found = []
+    for length in np.unique(np.minimum(words.counts[words.counts > 0], width)).tolist():
+        at = np.flatnonzero((words.left >= width) if length == width else first & (size == length))
+        names = _names(symbols, length)[at]
+        pairs = np.unique(names * len(items) + item[at])
+        distinct, where = np.unique(names, return_index=True)
+        starts = np.searchsorted(pairs, np.append(distinct * len(items), np.iinfo(np.int64).max))
+        found.append((length, at[where].astype(np.int32), starts.astype(np.int32), (pairs % len(items)).astype(np.int32)))
+    return Phrases(vocabulary, symbols, found, items)
 
 
 def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -194,16 +212,22 @@ class _Shard:
         if self.symbols:
             place = np.concatenate(self.places)
             index = FMIndex(np.concatenate((*self.symbols, [0])), len(self.p.vocabulary) + 1)
-            for windows, starts, of in self.p.windows:
-                low, high = index.search(windows)
-                there = np.flatnonzero(high > low)
-                n = high[there] - low[there]
-                first = place[index.locate(_spread(low[there], n))]
-                window = np.repeat(there, n)
-                k = starts[window + 1] - starts[window]
-                firsts.append(first)
-                lengths.append(np.full(len(first), windows.shape[1]))
-                items.append((np.repeat(first, k), of[_spread(starts[window], k)]))
+            here = np.diff(index.before) > 0
+            for length, begins, starts, of in self.p.windows:
+                for k in range(0, len(begins), _ASKED):
+                    begin = begins[k : k + _ASKED].astype(np.int64)
+                    asked = np.arange(len(begin))
+                    for i in range(length):  # windows with a word that the shard lacks are not sought
+                        asked = asked[here[self.p.symbols[begin[asked] + i]]]
+                    low, high = index.search(self.p.symbols[begin[asked][:, None] + np.arange(length)].astype(np.int64))
+                    there = np.flatnonzero(high > low)
+                    n = high[there] - low[there]
+                    first = place[index.locate(_spread(low[there], n))]
+                    window = np.repeat(asked[there] + k, n)
+                    count = (starts[window + 1] - starts[window]).astype(np.int64)
+                    firsts.append(first)
+                    lengths.append(np.full(len(first), length))
+                    items.append((np.repeat(first, count), of[_spread(starts[window].astype(np.int64), count)]))
         join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
         return join(firsts), join(lengths), items
 
@@ -260,18 +284,22 @@ def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> It
         yield [(r["item_id"], r["text"]) for r in rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()], k == n - 1
 
 
+@carries("n_words", "spans", "items")
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, keep: tuple[str, ...] = ("doc_id",), block_bytes: int = BLOCK_BYTES, cut: bool = False) -> DataFrame:
     """`keep` (with the spans taken out of text if `cut`), n_words, spans (hit words, merged, [first, end)) and items (sorted) of each row.
 
     The result of each block but the last is written before the next is collected.
     """
+    spark = docs.sparkSession
     rows = docs.select(*dict.fromkeys((*keep, "text")))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     for k, (block, last) in enumerate(benchmark_blocks(benchmark, block_bytes)):
         carry = not last and "text" not in keep
 
-        def scan(batches: Iterator[pa.RecordBatch], block=block, k=k, carry=carry, last=last) -> Iterator[pa.RecordBatch]:
-            p = phrases(block, width)
+        sought = spark.sparkContext.broadcast(phrases(block, width))  # bounded by block_bytes
+
+        def scan(batches: Iterator[pa.RecordBatch], sought=sought, k=k, carry=carry, last=last) -> Iterator[pa.RecordBatch]:
+            p = sought.value
             for batch in _pieces(batches):
                 n_words, spans, items = _scan(batch, p)
                 if k:

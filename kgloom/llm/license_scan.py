@@ -17,7 +17,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import NON_ALNUM, others
+from kgloom.llm.common import NON_ALNUM, carries
 
 #: (label, keyword, name): a licence's name as a regex over words; every form of it holds the keyword, a word unless it has a * where other characters may follow or precede.
 FAMILIES: list[tuple[str, str, str]] = [
@@ -171,9 +171,9 @@ def _phrase_places(phrase: str, label: str) -> Column:
     return F.transform(_places(F.col("_norm"), F.lit(regex)), lambda p: F.struct(p["first"].cast("long").alias("first"), F.lit(label).alias("label")))
 
 
+@carries("n_words", "detections", "base", "score")
 def scan_licenses(docs: DataFrame, base: tuple[tuple[str, str], ...] = BASE, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep`, n_words, detections (first, end, priority, rule, label; words from 0), base (first, label) and score of each row; result columns take the place of those in `keep` of their names."""
-    keep = others(keep, "n_words", "detections", "base", "score")
     text = F.coalesce("text", F.lit(""))
     table = F.from_json(F.lit(json.dumps(rules())), f"array<{_RULE}>")
     gap = NON_ALNUM

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import byte_shards, lean, materialize, others, shuffle_partitions
+from kgloom.llm.common import byte_shards, hidden, lean, materialize, others, shuffle_partitions
 from kgloom.llm.words import BY_SPACE, Words, mix, word_slices
 
 DISCOUNT, MASS = 0.75, 1000.0
@@ -189,12 +189,12 @@ def _lookup(kind: int, asked: np.ndarray, trained: np.ndarray, answers: list[byt
 
 def score_texts(docs: DataFrame, train: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep`, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score of each row; rows with the SQL condition `train` teach. Result columns take the place of those in `keep` of their names."""
-    keep = others(keep, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    carry, keep, back = hidden(others(keep, "n_tokens", "n_known", "train_tokens", "base_score", "score"))
     spark = docs.sparkSession
     shard, shards = byte_shards(docs, SHARD_BYTES)
     shards = max(1, shards)
     parts = max(shuffle_partitions(spark), shards // 2)
-    rows = docs.select(*dict.fromkeys((*keep, "text")), shard.alias("_shard"), F.coalesce(F.expr(train), F.lit(True)).alias("_train"))
+    rows = docs.select(*carry, *(["text"] if "text" not in keep else []), shard.alias("_shard"), F.coalesce(F.expr(train), F.lit(True)).alias("_train"))
     asked = rows.select(F.col("_shard").alias("shard"), F.col("_train").alias("train"), "text").mapInArrow(lean(_ask(3 * parts)), _ASKED)
     answers = materialize(asked.repartition(parts, "bucket").mapInArrow(lean(_answer), _ROWS), "lm-counts")
     stats = answers.filter(F.col("kind") == _STATS).agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
@@ -225,7 +225,8 @@ def score_texts(docs: DataFrame, train: str, keep: tuple[str, ...] = ("doc_id",)
         columns = {c: left.column(c) for c in keep} | {"n_tokens": pa.array(np.diff(first), pa.int64()), "n_known": pa.array(total((count > 0).astype(np.int64)), pa.int64()), "train_tokens": pa.array(np.full(left.num_rows, n), pa.int64()), "base_score": pa.array(total(np.log10((count + 1) / (n + v + 1))), pa.float64()), "score": pa.array(total(np.log10(p)), pa.float64())}
         return pa.table(columns)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
     replies = answers.filter(F.col("kind") != _STATS).select("shard", "kind", "blob")
     table = rows.repartition(shards, "_shard").groupBy("_shard").cogroup(replies.repartition(shards, "shard").groupBy("shard"))
-    return table.applyInArrow(traverse, f"{fields}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    scored = table.applyInArrow(traverse, f"{fields}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return scored.select(*back, "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import SPACES, materialize, others
+from kgloom.llm.common import SPACES, carries, materialize
 
 BUCKETS = 1 << 17
 #: Labelled rows that the model is fitted on.
@@ -91,9 +91,9 @@ class Domains:
             w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         self.softmax = w
 
+    @carries("n_tokens", "posteriors")
     def posteriors(self, docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
         """`keep`, n_tokens and posteriors (array, by domain) of each row."""
-        keep = others(keep, "n_tokens", "posteriors")
         slope = self.softmax[:-1] / self.scale[:, None]
         start = self.softmax[-1] - self.mean @ slope
         z = [sum((F.get("x", F.lit(i)) * float(slope[i, d]) for i in range(len(slope))), F.lit(float(start[d]))) for d in range(self.k)]
@@ -188,6 +188,7 @@ def fit_rates(rows: DataFrame, targets: list[float]) -> tuple[Column, list[float
     return _rate(steps, p), (best[2] * scale).tolist()
 
 
+@carries("n_tokens", "posteriors", "rate")
 def mixing_rates(docs: DataFrame, labelled: DataFrame, shares: dict[str, float], tokens: float | None = None, lead: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep`, n_tokens, posteriors (by sorted domain) and rate of each row.
 
@@ -196,7 +197,6 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, shares: dict[str, float],
     its share is beside it, or its own expected tokens where it has fewer: a mix
     lowers what there is too much of and repeats no other documents.
     """
-    keep = others(keep, "n_tokens", "posteriors", "rate")
     domains = sorted(shares)
     rows = materialize(fit_domains(docs, labelled, domains).posteriors(docs, keep), "posteriors")
     had = rows.agg(F.sum("n_tokens").alias("n"), *(F.sum(F.col("n_tokens") * F.get("posteriors", F.lit(i))).alias(f"n{i}") for i in range(len(domains)))).first()

@@ -39,7 +39,9 @@ def _pairs(words: Column) -> Column:
 
 def fingerprints(rows: DataFrame, texts: list[str]) -> DataFrame:
     """`rows` without the text columns `texts`, each replaced by the fingerprint (a long) of its text."""
-    others = [c for c in rows.columns if c not in texts]
+    kept = [c for c in rows.columns if c not in texts]
+    others = [f"_kept_{i}" for i in range(len(kept))]
+    rows = rows.select(*texts, *(F.col(f"`{c}`").alias(o) for c, o in zip(kept, others, strict=True)))
     hashed = rows.select(*others, *(F.xxhash64(t).alias(f"same_{t}") for t in texts), *(terms(F.col(t)).alias(t) for t in texts))
     hashed = hashed.withColumns({t: _pairs(F.col(t)) for t in texts})
     ends = [sum((F.size(t) for t in texts[: k + 1]), F.lit(0)) for k in range(len(texts))]
@@ -57,7 +59,7 @@ def fingerprints(rows: DataFrame, texts: list[str]) -> DataFrame:
         value = value.bitwiseOR(bit(F.col(f"v{i}").bitwiseAND(F.lit(_LOW)), i)).bitwiseOR(bit(F.shiftrightunsigned(f"v{i}", 32), i + BITS // 2))
     each = voted.select(*keys, "of", "rows", value.alias("f"))
     wide = each.groupBy(*keys).agg(F.sum("rows").alias("rows"), *(F.coalesce(F.max(F.when(F.col("of") == k, F.col("f"))), F.lit(0).cast("long")).alias(t) for k, t in enumerate(texts)))
-    return wide.select(*others, *texts, F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("_")).drop("_")
+    return wide.select(*(F.col(o).alias(c) for o, c in zip(others, kept, strict=True)), *texts, F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("_copy_")).drop("_copy_")
 
 
 def likeness(a: Column, b: Column) -> Column:

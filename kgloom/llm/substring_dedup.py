@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import lean, others, shuffle_partitions
+from kgloom.llm.common import carries, lean, shuffle_partitions
 from kgloom.llm.words import BY_SPACE, Words, grams, mix, word_slices
 
 LENGTH, SEED = 13, 5
@@ -178,9 +178,9 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.collect_list(F.struct("key", "mask")).alias("_runs"))
 
 
+@carries("n_words", "n_removed", "spans", "kept_text")
 def dedup_substrings(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep`, n_words, n_removed, spans (removed words, [first, end)) and kept_text (kept words, joined by one space) of each row; result columns take the place of those in `keep` of their names."""
-    keep = others(keep, "n_words", "n_removed", "spans", "kept_text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     spans_type = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 

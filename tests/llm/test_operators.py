@@ -5,6 +5,7 @@ import itertools
 import math
 import re
 import struct
+import time
 import warnings
 import zlib
 from collections import Counter
@@ -454,3 +455,79 @@ def test_block_round_trip(n):
 def test_queries_have_contract_columns(spark):
     for name, columns in {"op2_decontaminate": "doc_id n_words n_hit n_items items_sha256 contaminated", "op5_quality": "doc_id held_out score predicted"}.items():
         assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").columns == columns.split()
+
+
+def clashing(spark, *names):
+    """Texts with kept columns of all these names, each with a value of its own."""
+    schema = ", ".join(["doc_id bigint", "text string", *(f"`{n}` string" for n in names)])
+    texts = ["under the mit license a b c d e f g h", None, "", "word " * 40, "under the mit license a b c d e f g h"]
+    return spark.createDataFrame([(i, t, *(f"{n}{i}" for n in names)) for i, t in enumerate(texts)], schema), names
+
+
+@pytest.mark.parametrize(
+    ("names", "run"),
+    [
+        (("x", "z", "e", "chosen", "sums", "r", "p0", "_kept_0"), lambda d, k: mixing.mixing_rates(d, d.selectExpr("doc_id", "CASE WHEN doc_id < 3 THEN 'a' ELSE 'b' END AS domain"), {"a": 0.5, "b": 0.5}, keep=k)),
+        (("_hits", "_norm", "first", "a.b"), lambda d, k: license_scan.scan_licenses(d, keep=k)),
+        (("_runs", "key", "mask", "bucket"), lambda d, k: substring_dedup.dedup_substrings(d, keep=k)),
+        (("_shard", "_train", "shard", "kind", "blob"), lambda d, k: lm_score.score_texts(d, "true", keep=k)),
+        (("names", "at", "part"), lambda d, k: decontaminate.decontaminate(d, d.selectExpr("doc_id AS item_id", "text").limit(1), keep=k)),
+    ],
+)
+def test_kept_columns_may_have_any_name(spark, names, run):
+    docs, names = clashing(spark, *names)
+    got = run(docs, ("doc_id", *names)).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(5))
+    assert all(r[n] == f"{n}{r['doc_id']}" for r in got for n in names)
+
+
+def test_fingerprints_keep_any_name(spark):
+    docs, names = clashing(spark, "pos", "h", "of", "rows", "row", "same_text", "weight", "v0", "end_0", "_")
+    got = simhash.fingerprints(docs, ["text"]).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(5)) and all(r[n] == f"{n}{r['doc_id']}" for r in got for n in names)
+
+
+def test_results_replace_kept_columns(spark):
+    docs, _ = clashing(spark, "spans", "items")
+    got = decontaminate.decontaminate(docs, docs.selectExpr("doc_id AS item_id", "text").limit(1), keep=("doc_id", "spans", "items")).collect()
+    assert {r["doc_id"]: r["items"] for r in got} == {0: ["0"], 1: [], 2: [], 3: [], 4: ["0"]}
+
+
+def test_repeated_ids_of_token_files_are_ordered_by_text(spark, tmp_path):
+    import public_tokenizers
+
+    texts = [f"{'same beginning ' * (i % 3) * 3}{i % 50:03}" for i in range(400)]
+    docs = spark.createDataFrame([(7, t) for t in texts] + [(None, "z"), (1, None), (9, "a")], "doc_id bigint, text string").repartition(6)
+    path = f"file://{tmp_path}/tokens"
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    got = sorted(token_blocks.token_blocks(docs, tokenizer, end_id=2, path=path).collect(), key=lambda r: r["start"])
+    from tokenizers import Tokenizer
+
+    encode = Tokenizer.from_file(tokenizer).encode
+    wanted = [(None, "z"), (1, ""), *((7, t) for t in sorted(texts, key=str.encode)), (9, "a")]
+    assert [(r["doc_id"], r["ids_crc32"]) for r in got] == [(i, zlib.crc32(np.array([*encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes())) for i, t in wanted]
+
+
+def test_windows_of_a_large_block():
+    """Windows by number are those by words, in little time and memory."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 9, n)) for n in (3, 3, 40, 12, 9, 10, 0, 300)]
+    rows = [(f"i{k % 5}", t) for k, t in enumerate(texts)]
+    p = decontaminate.phrases(rows, 10)
+    got = {}
+    for length, begins, starts, of in p.windows:
+        for w, b in enumerate(begins.tolist()):
+            got[tuple(p.symbols[b : b + length].tolist())] = {p.items[i] for i in of[starts[w] : starts[w + 1]]}
+    known = sorted({int(h): None for h in Words(*utf8(pa.array(texts)), decontaminate.BY_ALNUM, lower=True).hashes()})
+    words = {w: known.index(int(Words(*utf8(pa.array([w])), decontaminate.BY_ALNUM, lower=True).hashes()[0])) + 2 for w in " ".join(texts).split()}
+    wanted = {}
+    for item, text in rows:
+        w = [words[x] for x in text.split()]
+        for i in range(max(1, len(w) - 9) if w else 0):
+            wanted.setdefault(tuple(w[i : i + 10]), set()).add(item)
+    assert got == wanted
+    large = [(str(k), " ".join(map(str, rng.integers(0, 50_000, 1000)))) for k in range(1400)]
+    began = time.time()
+    p = decontaminate.phrases(large, 10)
+    held = sum(a.nbytes for a in (p.vocabulary, p.symbols, *(x for _, *arrays in p.windows for x in arrays)))
+    assert time.time() - began < 20 and held < 60 << 20 and sum(len(t) for _, t in large) > 7 << 20
