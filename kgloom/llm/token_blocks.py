@@ -44,7 +44,7 @@ SEGMENT_IDS = 1 << 20
 #: A space beside other white space: a tokenizer may join pieces across it, as byte_bpe_50k does for spaces and U+00A0 by turns.
 _RUNS = r"[{0}] | [{0}]".format(r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}")
 #: Words whose ids a worker keeps; when full it drops those met once.
-CACHE_WORDS = 1 << 20
+CACHE_WORDS = 1 << 19
 _MAGIC = b"PFB1"
 
 
