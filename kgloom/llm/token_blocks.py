@@ -147,56 +147,49 @@ class _Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        """Rows of words by word: heads as they begin a text, words as they follow a space; where each row's ids are."""
-        self.heads: dict[str, int] = {}
-        self.words: dict[str, int] = {}
+        """Words as they follow a space; where each one's ids are, and whether a later slice had it too."""
+        self.words = pa.array([], pa.large_string())
         self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        #: Of each row: where its ids are, and whether a later slice had it too.
         self.starts, self.again = np.zeros(0, np.int64), np.zeros(0, bool)
 
     def _trim(self) -> None:
         """Only words that were met again stay; none do if those are many."""
-        keep, starts, sizes, ids, old = self.again, self.starts, self.sizes, self.ids, (self.heads, self.words)
+        keep, words, starts, sizes, ids = self.again, self.words, self.starts, self.sizes, self.ids
         self._clear()
         if 2 * keep.sum() > CACHE_WORDS:
             return
-        sizes, at = sizes[keep], (np.cumsum(keep) - 1).tolist()
-        self.sizes, self.starts, self.again = sizes, np.cumsum(sizes) - sizes, np.zeros(len(sizes), bool)
-        self.ids = ids[np.arange(sizes.sum()) + np.repeat(starts[keep] - self.starts, sizes)]
-        kept = keep.tolist()
-        self.heads, self.words = ({w: at[r] for w, r in rows.items() if kept[r]} for rows in old)
-
-    def _add(self, rows: dict[str, int], words: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
-        rows.update(zip(words, range(len(self.starts), len(self.starts) + len(words)), strict=True))
-        self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(sizes) - sizes))
-        self.sizes, self.ids = np.concatenate((self.sizes, sizes)), np.concatenate((self.ids, ids))
-        self.again = np.concatenate((self.again, np.zeros(len(words), bool)))
-
-    def _add_each(self, rows: dict[str, int], words: list[str], texts: list[str]) -> None:
-        each = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        self._add(rows, words, np.array([len(x) for x in each], np.int64), np.array([i for x in each for i in x], np.uint32))
+        self.words, self.sizes, self.again = words.filter(pa.array(keep)), sizes[keep], np.zeros(int(keep.sum()), bool)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.ids = ids[np.arange(self.sizes.sum()) + np.repeat(starts[keep] - self.starts, self.sizes)]
 
-    def _rows(self, heads: set[str], words: list[str]) -> np.ndarray:
-        """Rows of `words`. Encodes many new ones as one text, and cuts its ids where a token begins with a space."""
-        if len(self.starts) + len(words) + len(heads) > CACHE_WORDS:
+    def _rows(self, words: pa.Array) -> np.ndarray:
+        """Rows of distinct `words`. Encodes many new ones as one text, and cuts its ids where a token begins with a space."""
+        if len(self.starts) + len(words) > CACHE_WORDS:
             self._trim()
-        rows = np.array([self.words.get(w, -1) for w in words], np.int64)
+        rows = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
         self.again[rows[rows >= 0]] = True
-        if new := [w for w in heads if w not in self.heads]:
-            self._add_each(self.heads, new, new)
         gone = np.flatnonzero(rows < 0)
-        new = [w for w in map(words.__getitem__, gone.tolist()) if w]
-        if len(new) < len(gone):
-            self._add_each(self.words, [""], [" "])
-        parts = [new[k : k + 500] for k in range(0, len(new), 500)]
-        ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([" " + " ".join(p) for p in parts], add_special_tokens=False)]
-        if ids:
-            flat = np.concatenate(ids)
-            sizes = np.diff(np.append(np.flatnonzero(self.leads[flat]), len(flat)))
-            if len(sizes) != len(new):
-                raise ValueError("a word's first token does not begin with a space")
-            self._add(self.words, new, sizes, flat)
-        rows[gone] = [self.words[words[i]] for i in gone.tolist()]
+        if not len(gone):
+            return rows
+        new = words.take(pa.array(gone))
+        texts = new.to_pylist()
+        parts = [texts[k : k + 500] for k in range(0, len(texts), 500)]
+        # An empty word is a space alone, which the next one would join; it stands at the end of a part.
+        blank = [p.index("") if "" in p else None for p in parts]
+        ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([" " + " ".join(w for w in p if w) if any(p) else "" for p in parts], add_special_tokens=False)]
+        flat, lone = np.concatenate(ids), np.array(self.tokenizer.encode(" ", add_special_tokens=False).ids, np.uint32)
+        sizes = np.diff(np.append(np.flatnonzero(self.leads[flat]), len(flat)))
+        for k in (k for k, at in enumerate(blank) if at is not None):
+            at = 500 * k + blank[k]
+            flat = np.insert(flat, int(sizes[:at].sum()), lone)
+            sizes = np.insert(sizes, at, len(lone))
+        if len(sizes) != len(texts):
+            raise ValueError("a word's first token does not begin with a space")
+        rows[gone] = np.arange(len(self.starts), len(self.starts) + len(gone))
+        self.words = pa.concat_arrays([self.words, new])
+        self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(sizes) - sizes))
+        self.sizes, self.ids = np.concatenate((self.sizes, sizes)), np.concatenate((self.ids, flat))
+        self.again = np.concatenate((self.again, np.zeros(len(gone), bool)))
         return rows
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
@@ -208,17 +201,21 @@ class _Encoder:
             out[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
         rest = np.flatnonzero(~runs)
         if len(rest):
-            split = pc.split_pattern(texts.take(pa.array(rest)), " ")
+            split = pc.split_pattern(texts.take(pa.array(rest)).cast(pa.large_string()), " ")
             first = split.offsets.to_numpy()[:-1].astype(np.int64)
             flat = split.flatten()
-            heads, coded = flat.take(pa.array(first)).to_pylist(), flat.dictionary_encode()
-            row = self._rows(set(heads), coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
-            row[first] = [self.heads[w] for w in heads]
+            heads = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(flat.take(pa.array(first)).to_pylist(), add_special_tokens=False)]
+            follows = np.ones(len(flat), bool)
+            follows[first] = False
+            coded = flat.filter(pa.array(follows)).dictionary_encode()
+            row = self._rows(coded.dictionary)[coded.indices.to_numpy()]
             size = self.sizes[row]
             end = np.cumsum(size)
-            ids = self.ids[np.arange(end[-1]) + np.repeat(self.starts[row] - end + size, size)]
-            for i, x in zip(rest.tolist(), np.split(ids, (end - size)[first[1:]]), strict=True):
-                out[i] = x
+            total = int(end[-1]) if len(end) else 0
+            ids = self.ids[np.arange(total) + np.repeat(self.starts[row] - end + size, size)]
+            ends = np.append(0, end)[np.cumsum(np.diff(np.append(first, len(flat))) - 1)]
+            for i, head, x in zip(rest.tolist(), heads, np.split(ids, ends[:-1]), strict=True):
+                out[i] = np.concatenate((head, x))
         return out
 
 
