@@ -131,3 +131,34 @@ def editor_list(rows: DataFrame, text: str, limit: int = 250, **equal: str) -> D
     for column, value in equal.items():
         out = out.filter(F.col(column) == value)
     return out.orderBy("id").limit(limit)
+
+
+# The fields of which a history tells the changes.
+TOLD = ("name", "type", "aliases", "subject_id", "predicate", "object_id", "confidence", "verificationStatus")
+
+
+def history_page(history: DataFrame, entities: DataFrame, most: int = 50) -> DataFrame:
+    """The newest `most` changes of `history` (change_id, kind, target_id, undone, before, after: maps of fields as texts; after is null for a removal), newest first, as people read them.
+
+    label: the name before, or the relation's number; changes: 'field: old \u2192 new' for each field of TOLD that differs, ends
+    by name; a check that is missing is unverified. can_undo: whether it is the newest change that is not undone.
+    """
+    newest = history.filter("NOT undone").agg(F.max("change_id").alias("c")).first()["c"]
+    page = history.orderBy(F.desc("change_id")).limit(most)
+    ends = page.select("change_id", F.explode(F.array(*(F.struct(F.lit(f"{side}:{c}").alias("at"), F.col(side)[c].cast("long").alias("id")) for side in ("before", "after") for c in ("subject_id", "object_id")))).alias("x")).select("change_id", "x.at", "x.id").filter("id IS NOT NULL")
+    names = ends.join(entities.select("id", "name"), "id").groupBy("change_id").agg(F.map_from_entries(F.collect_list(F.struct("at", "name"))).alias("names"))
+
+    def told(field: str) -> Column:
+        plain = lambda side: F.col(side)[field]
+        if field == "verificationStatus":
+            had = F.map_contains_key("before", F.lit("type"))
+            old, new = (F.when(had, F.coalesce(plain(side), F.lit("unverified"))) for side in ("before", "after"))
+        else:
+            old, new = plain("before"), plain("after")
+        shown = lambda side, value: F.coalesce(F.try_element_at("names", F.lit(f"{side}:{field}")), value) if field.endswith("_id") else value
+        return F.when(old.isNotNull() & ~old.eqNullSafe(new), F.concat(F.lit(f"{field}: "), shown("before", old), F.lit(" \u2192 "), F.coalesce(shown("after", new), F.lit(""))))
+
+    changes = F.when(F.col("kind") == "entity_merge", F.array(F.concat(F.lit("merged into: "), F.col("after")["name"]))).when(F.col("after").isNull(), F.array(F.lit("removed"))).otherwise(F.array_compact(F.array(*map(told, TOLD))))
+    label = F.coalesce(F.col("before")["name"], F.concat(F.lit("relation #"), F.col("target_id").cast("string")))
+    rows = page.join(names, "change_id", "left")
+    return rows.select("change_id", "kind", "target_id", "undone", F.coalesce(F.col("change_id") == F.lit(newest), F.lit(False)).alias("can_undo"), label.alias("label"), changes.alias("changes")).orderBy(F.desc("change_id"))

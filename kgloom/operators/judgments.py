@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STANCED = ("claim", "triple")
@@ -74,3 +74,45 @@ def updated_records(records: DataFrame, judged: DataFrame) -> DataFrame:
     done = judged.filter("outcome = 'changed'").select("key", *(F.col(c).alias(f"new_{c}") for c in fields), F.lit(1).alias("step"))
     rows = records.join(done, "key", "left")
     return rows.withColumns({"revision": F.col("revision") + F.coalesce("step", F.lit(0)), **{c: F.when(F.col("step").isNull(), F.col(c)).otherwise(F.col(f"new_{c}")) for c in fields}}).select(records.columns)
+
+
+def _json_list(*parts: Column) -> Column:
+    """A JSON array of texts and numbers, a space after each comma."""
+    return F.concat(F.lit("["), F.concat_ws(", ", *parts), F.lit("]"))
+
+
+def _json_text(text: Column) -> Column:
+    """A text in JSON; null counts as empty."""
+    inside = F.to_json(F.array(F.coalesce(text, F.lit(""))))
+    return F.substring(inside, F.lit(2), F.length(inside) - 2)
+
+
+def targets(entities: DataFrame, triples: DataFrame) -> DataFrame:
+    """(key, kind, target_id, title, sources, evidence) of all that can be judged: entities, claims and triples (id, subject_id, predicate, object_id, source, evidence).
+
+    A key follows from what a target says (of a triple also source and quote), so that approval never moves on to other
+    evidence. evidence: (source, quote), of an entity each pair of its triples once, in the order of their first triple.
+    """
+    kind = F.when(F.col("type") == "Claim", "claim").otherwise("entity")
+    pairs = triples.filter("evidence <> ''").select(F.explode(F.array_distinct(F.array("subject_id", "object_id"))).alias("entity"), "id", "source", "evidence")
+    firsts = pairs.groupBy("entity", "source", "evidence").agg(F.min("id").alias("first"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("first", "source", "evidence"))), lambda x: F.struct(x["source"].alias("source"), x["evidence"].alias("quote")))
+    quoted = firsts.groupBy(F.col("entity").alias("id")).agg(listed.alias("evidence"))
+    none = F.expr("CAST(array() AS array<struct<source:string,quote:string>>)")
+    key = lambda *parts: F.sha2(_json_list(*parts).cast("binary"), 256).alias("key")
+    text = lambda c: F.col(c).cast("string")
+    own = entities.join(quoted, "id", "left").withColumn("kind", kind)
+    own = own.select(key(_json_text(F.col("kind")), text("id"), _json_text(F.col("name")), _json_text(F.col("type"))), "kind", F.col("id").alias("target_id"), F.col("name").alias("title"), "sources", F.coalesce("evidence", none).alias("evidence"))
+    ends = (entities.select(F.col("id").alias(f"{end}_id"), F.col("name").alias(end)) for end in ("subject", "object"))
+    named = reduce(lambda rows, end: rows.join(end, [c for c in end.columns if c.endswith("_id")]), ends, triples)
+    title = F.concat_ws(" \u2192 ", "subject", "predicate", "object")
+    said = F.array(F.struct(F.coalesce("source", F.lit("")).alias("source"), F.coalesce("evidence", F.lit("")).alias("quote")))
+    sources = F.filter(F.array("source"), lambda s: s != "")
+    lines = named.select(key(F.lit('"triple"'), text("subject_id"), *(_json_text(F.col(c)) for c in ("subject", "predicate")), text("object_id"), *(_json_text(F.col(c)) for c in ("object", "source", "evidence"))), F.lit("triple").alias("kind"), F.col("id").alias("target_id"), title.alias("title"), sources.alias("sources"), said.alias("evidence"))
+    return own.unionByName(lines)
+
+
+def assertions_of(targets: DataFrame, source: str) -> DataFrame:
+    """Claims and triples of a source, with the evidence that is from it alone."""
+    of = targets.filter(F.col("kind").isin(*STANCED) & F.array_contains("sources", source))
+    return of.withColumns({"sources": F.array(F.lit(source)), "evidence": F.filter("evidence", lambda e: e["source"] == source)})

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgloom.functions.text import slug, srt_stamp
@@ -96,3 +98,26 @@ def srt(cues: DataFrame) -> DataFrame:
     block = F.concat_ws("\n", k.cast("string"), F.concat(srt_stamp(F.col("start")), F.lit(" --> "), srt_stamp(F.col("end"))), "text")
     numbered = cues.select("doc", k.alias("k"), block.alias("b"))
     return numbered.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "b"))), lambda x: x["b"]), "\n\n").alias("srt"))
+
+
+# Fixed value: the heading of what a note's generated section begins with.
+SECTION = "## Extracted knowledge"
+
+
+def spliced(note: Column, lines: Column, renamed: list[tuple[str, str]] = ()) -> Column:
+    """A note of a source with its generated section written anew from `lines` (null: none), all else as readers left it; links to `renamed` (old, new) names follow."""
+    text = reduce(lambda t, pair: F.replace(t, F.lit(f"[[{pair[0]}]]"), F.lit(f"[[{pair[1]}]]")), renamed, note)
+    section = F.concat(F.lit(SECTION + "\n"), F.coalesce(lines, F.lit("")), F.lit("\n"))
+    start = F.instr(text, F.lit(SECTION))
+    end = F.locate("\n## ", F.substring(text, start + len(SECTION), F.length(text)))
+    tail = F.when(end > 0, F.substring(text, start + len(SECTION) + end - 1, F.length(text))).otherwise("")
+    added = F.when(lines.isNotNull(), F.concat(F.regexp_replace(text, r"\s+\z", ""), F.lit("\n\n"), section)).otherwise(text)
+    return F.when(start > 0, F.concat(F.substring(text, F.lit(1), start - 1), section, tail)).otherwise(added)
+
+
+def refreshed_notes(notes: DataFrame, named: DataFrame, affected: DataFrame, part_lines: int = PART_LINES) -> DataFrame:
+    """Entity notes (name, part, note) after a change: those of `affected` (name) are written again from all relations, the others stay."""
+    names = affected.select("name").distinct()
+    near = [named.join(names.withColumnRenamed("name", end), end, "left_semi").select(named.columns) for end in ("subject", "object")]
+    again = entity_notes(near[0].unionByName(near[1]).dropDuplicates(["id"]), part_lines).join(names, "name", "left_semi")
+    return notes.join(names, "name", "left_anti").select("name", "part", "note").unionByName(again.select("name", "part", "note"))
