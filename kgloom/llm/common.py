@@ -131,7 +131,7 @@ def carries(*results: str) -> Callable:
 CACHE: dict[str, object] = {}
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Free memory goes back to the system, as workers live on between tasks."""
     pa.default_memory_pool().release_unused()
     try:
@@ -146,11 +146,11 @@ def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], cach
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name in [k for k in CACHE if k != cache]:
             del CACHE[name]
-        _give_back()
+        give_back()
         try:
             yield from f(batches)
         finally:
-            _give_back()
+            give_back()
 
     return task
 

@@ -34,7 +34,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import CACHE, lean, shared_dir, shuffle_partitions
+from kgloom.llm.common import CACHE, give_back, lean, shared_dir, shuffle_partitions
+from kgloom.llm.words import slices, utf8
 
 BLOCK = 256
 #: Residuals up to this share of a block are packed; larger ones become exceptions.
@@ -45,6 +46,8 @@ SEGMENT_IDS = 1 << 20
 _RUNS = r"[{0}] | [{0}]".format(r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}")
 #: Words whose ids a worker keeps; when full it drops those met once.
 CACHE_WORDS = 1 << 19
+#: Parts of 500 words that are encoded at once, and bytes of text that are worked on at once.
+_AT_ONCE, _SLICE = 16, 3 << 20
 _MAGIC = b"PFB1"
 
 
@@ -176,7 +179,10 @@ class _Encoder:
         parts = [texts[k : k + 500] for k in range(0, len(texts), 500)]
         # An empty word is a space alone, which the next one would join; it stands at the end of a part.
         blank = [p.index("") if "" in p else None for p in parts]
-        ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([" " + " ".join(w for w in p if w) if any(p) else "" for p in parts], add_special_tokens=False)]
+        ids = []
+        for k in range(0, len(parts), _AT_ONCE):  # what the library returns is many times as large as the ids
+            joined = [" " + " ".join(w for w in p if w) if any(p) else "" for p in parts[k : k + _AT_ONCE]]
+            ids += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
         flat, lone = np.concatenate(ids), np.array(self.tokenizer.encode(" ", add_special_tokens=False).ids, np.uint32)
         sizes = np.diff(np.append(np.flatnonzero(self.leads[flat]), len(flat)))
         for k in (k for k, at in enumerate(blank) if at is not None):
@@ -224,6 +230,7 @@ def _encoder(path: str) -> _Encoder:
     kept = CACHE.get("tokens")
     if kept is None or kept[0] != path:
         kept = CACHE["tokens"] = (path, _Encoder(path))
+        give_back()
     return kept[1]
 
 
@@ -246,8 +253,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
             return pa.RecordBatch.from_pylist([{"part": part, "place": place, "start": start, "n_ids": n, "segment": data}], schema=pa.schema([("part", pa.int32()), ("place", pa.int64()), ("start", pa.int64()), ("n_ids", pa.int64()), ("segment", pa.binary())]))
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                rows = batch.slice(k, 1024)
+            for i, j in slices(utf8(batch.column("text"))[1], _SLICE):
+                rows = batch.slice(i, j - i)
                 for doc, ids in zip(rows.column("doc_id").to_pylist(), encode(rows.column("text")), strict=True):
                     doc_ids.append(doc)
                     got.append(ids.astype("<u4").tobytes() + end)
