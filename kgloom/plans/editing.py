@@ -103,7 +103,7 @@ def edit_triples_judged(spark, sf_dir):
     return editing.judged_triple_edits(_triple_edits(triples), triples, G.entities(spark, sf_dir), *_ontology(spark)).select("id", "outcome")
 
 
-@query(_TRIPLE_EDITS + """, x AS (SELECT t.*, CASE WHEN outcome = 'done' THEN d END AS k FROM triples t LEFT JOIN tk USING (id))
+@query(_TRIPLE_EDITS + """, x AS MATERIALIZED (SELECT t.*, CASE WHEN outcome = 'done' THEN d END AS k FROM triples t LEFT JOIN tk USING (id))
 SELECT id, CASE k WHEN 5 THEN 2000000001 ELSE subject_id END AS subject_id, CASE WHEN k IN (5, 6) THEN 'relatedTo' ELSE predicate END AS predicate, CASE k WHEN 5 THEN 4000000000 + id % 25 ELSE object_id END AS object_id, CASE k WHEN 6 THEN 0.5 ELSE confidence END AS confidence, source FROM x WHERE k IS NULL OR k <> 0""")
 def edit_triples_apply(spark, sf_dir):
     triples = G.triples(spark, sf_dir)
@@ -111,7 +111,7 @@ def edit_triples_apply(spark, sf_dir):
     return editing.edited_triples(triples, judged)
 
 
-@query(_TRIPLE_EDITS + """, x AS (SELECT t.*, d FROM triples t JOIN tk USING (id) WHERE outcome = 'done')
+@query(_TRIPLE_EDITS + """, x AS MATERIALIZED (SELECT t.*, d FROM triples t JOIN tk USING (id) WHERE outcome = 'done')
 SELECT id AS triple_id, subject_id, predicate, object_id, source FROM x UNION SELECT id, CASE d WHEN 5 THEN 2000000001 ELSE subject_id END, CASE WHEN d IN (5, 6) THEN 'relatedTo' ELSE predicate END, CASE d WHEN 5 THEN 4000000000 + id % 25 ELSE object_id END, source FROM x""")
 def edit_suppressed_keys(spark, sf_dir):
     triples = G.triples(spark, sf_dir)
