@@ -118,6 +118,7 @@ def spliced(note: Column, lines: Column, renamed: list[tuple[str, str]] = ()) ->
 def refreshed_notes(notes: DataFrame, named: DataFrame, affected: DataFrame, part_lines: int = PART_LINES) -> DataFrame:
     """Entity notes (name, part, note) after a change: those of `affected` (name) are written again from all relations, the others stay."""
     names = affected.select("name").distinct()
-    near = [named.join(names.withColumnRenamed("name", end), end, "left_semi").select(named.columns) for end in ("subject", "object")]
-    again = entity_notes(near[0].unionByName(near[1]).dropDuplicates(["id"]), part_lines).join(names, "name", "left_semi")
+    by = lambda rows, end, how: rows.join(names.withColumnRenamed("name", end), end, how).select(named.columns)
+    near = by(named, "subject", "left_semi").unionByName(by(by(named, "object", "left_semi"), "subject", "left_anti"))
+    again = entity_notes(near, part_lines).join(names, "name", "left_semi")
     return notes.join(names, "name", "left_anti").select("name", "part", "note").unionByName(again.select("name", "part", "note"))
