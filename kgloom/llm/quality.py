@@ -1,22 +1,27 @@
 """Quality classifier (5): positive-unlabelled learning.
 
-A logistic model over byte shares and shape statistics of whole texts minimises
+A linear model over byte shares and shape statistics of whole texts minimises
 the non-negative unbiased risk
     pi * E_p[l(g)] + max(0, E_u[l(-g)] - pi * E_p[l(-g)]),
 p: trusted positives, u: unlabelled web text, pi: the class prior. No negative
 label is read: the prior is estimated from positives and unlabelled texts, as the
 least share of the unlabelled above a threshold to that of the positives, on rows
-that the ranking did not learn from. The model is fitted on bounded samples (SAMPLE
-rows of each kind, those with the lowest hash of their doc_id); every row is scored.
+that the ranking did not learn from. The loss is squared, so that the risk over
+all unlabelled rows is a function of their moments: one pass over the texts adds
+these up exactly, another counts scores for the prior, and nothing of a row is kept.
+Trusted positives are a bounded sample (SAMPLE rows, those with the lowest hash of
+their doc_id), whose mean and spread standardise the features; every row is scored.
 
-Defined cases: a null text scores as an empty one; without trusted positives
-or without texts every score is 0.5; a repeated doc_id is scored as often as it
-occurs, and its least text teaches; in labels, the lowest quality of a doc_id holds.
+Defined cases: a null text scores as an empty one; without trusted positives every
+score is 0.5; a repeated doc_id is scored as often as it occurs, teaches as
+unlabelled as often, and as a positive by its least text; a row with a null doc_id
+teaches where `train` admits it; in labels, the lowest quality of a doc_id holds.
+The model does not depend on the order of rows or on how they are cut into tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,11 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import lean, others
+from kgloom.llm.common import lean, others, shuffle_partitions
 from kgloom.llm.words import BY_SPACE, word_slices
 
-#: Rows of each kind that the model is fitted on.
+#: Trusted positives that the model is fitted on.
 SAMPLE = 10_000
+#: Standardised features end at CLIP spreads and are whole numbers of 1/GRID; no spread is below LEAST_SCALE.
+CLIP, GRID, LEAST_SCALE = 8, 256, 0.01
+RIDGE = 0.1
 _SHAPES = 12
 FEATURES = 256 + _SHAPES
 
@@ -74,69 +82,178 @@ class QualityModel:
     prior: float
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights + self.bias
-        return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
-
-
-def fit_non_negative(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.03, decay: float = 1e-3) -> QualityModel:
-    """Full-batch Adam on the non-negative risk with the logistic loss; where the bracket is negative its gradient is climbed back."""
-    mean, scale = unlabelled.mean(0), unlabelled.std(0) + 1e-3
-    p, u = (np.clip((x - mean) / scale, -8, 8).astype(np.float32) for x in (positive, unlabelled))
-    w = np.zeros(p.shape[1] + 1)
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    grad = lambda x, g: np.append(x.T @ g, g.sum()) / len(x)
-    for t in range(1, rounds + 1):
-        zp, zu = p @ w[:-1].astype(np.float32) + w[-1], u @ w[:-1].astype(np.float32) + w[-1]
-        bracket = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        of_negative = grad(u, sig(zu)) - prior * grad(p, sig(zp))
-        g = prior * grad(p, sig(zp) - 1) + of_negative if bracket >= 0 else -of_negative
-        g[:-1] += decay * w[:-1]
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return QualityModel(mean, scale, w[:-1], float(w[-1]), prior)
+        """The margin estimates twice the probability less one; the logistic curve of that slope keeps its order to both ends."""
+        z = on_grid(x, self.mean, self.scale) @ self.weights / GRID + self.bias
+        return 1 / (1 + np.exp(-np.clip(2 * z, -60, 60)))
+
+
+def on_grid(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Standardised features as whole numbers of 1/GRID, so that sums of them and of their products are exact in any order."""
+    return np.rint(np.clip((x - mean) / scale, -CLIP, CLIP) * GRID)
+
+
+@dataclass
+class Moments:
+    """Of a set of rows: how many, and the sums of their standardised features, with a constant one last, and of all products of two."""
+
+    n: int
+    sums: np.ndarray
+
+    @staticmethod
+    def none() -> Moments:
+        return Moments(0, np.zeros((FEATURES + 1, FEATURES + 1), np.int64))
+
+    def add(self, z: np.ndarray) -> None:
+        """Add rows of `on_grid`, some thousands at a time: their products stay below 2^53."""
+        for k in range(0, len(z), 4096):
+            rows = np.c_[z[k : k + 4096], np.full(len(z[k : k + 4096]), GRID)]
+            self.sums += (rows.T @ rows).astype(np.int64)
+            self.n += len(rows)
 
+    def __add__(self, other: Moments) -> Moments:
+        return Moments(self.n + other.n, self.sums + other.sums)
 
-def _least_ratio(positive: np.ndarray, unlabelled: np.ndarray, margin: float = 1.01, delta: float = 0.1) -> float:
-    """The share of unlabelled to positive scores above the threshold where that ratio and its error bound are least."""
+    def means(self) -> np.ndarray:
+        return self.sums / (self.n * float(GRID * GRID))
+
+
+def non_negative_weights(positive: Moments, unlabelled: Moments, prior: float, ridge: float = RIDGE) -> np.ndarray:
+    """Weights (the constant's last) that minimise the non-negative risk with the squared loss l(z) = (1 - z)^2 / 4.
+
+    Where the bracket is positive at the unbounded minimum, that is the answer. Else the bracket is zero at the minimum, which
+    is that of pi * E_p[l(g)] + k * bracket for a multiplier k between 0 and 1: convex in the weights, and the bracket falls as
+    k grows, so k is found by halving.
+    """
+    p, u = positive.means(), unlabelled.means()
+    penalty = np.diag(np.r_[np.full(len(p) - 1, ridge), 1e-9])
+    at = lambda k: np.linalg.solve((prior * (1 - k) * p + k * u) / 2 + penalty, (prior * (1 + k) * p[-1] - k * u[-1]) / 2)
+    loss = lambda m, w: (1 + 2 * m[-1] @ w + w @ m @ w) / 4
+    bracket = lambda w: loss(u, w) - prior * loss(p, w)
+    if bracket(at(1.0)) >= 0:
+        return at(1.0)
+    low, high = 0.0, 1.0
+    for _ in range(50):
+        middle = (low + high) / 2
+        low, high = (middle, high) if bracket(at(middle)) >= 0 else (low, middle)
+    return at(low)
+
+
+def least_ratio(positive: np.ndarray, counts: np.ndarray, margin: float = 1.01, delta: float = 0.1) -> float:
+    """The share of unlabelled to positive scores above the threshold where that ratio and its error bound are least.
+
+    Thresholds are the distinct positive scores; counts: of all unlabelled scores, how many are below the first, from each on to the next, and so on.
+    """
     cuts = np.unique(positive)
-    above = lambda x: 1 - np.searchsorted(np.sort(x), cuts) / len(x)
-    p, u = above(positive), above(unlabelled)
-    error = margin * sum(np.sqrt(np.log(4 / delta) / 2 / len(x)) for x in (positive, unlabelled))
+    n = counts.sum()
+    p, u = 1 - np.searchsorted(np.sort(positive), cuts) / len(positive), 1 - np.cumsum(counts)[:-1] / n
+    error = margin * (np.sqrt(np.log(4 / delta) / 2 / len(positive)) + np.sqrt(np.log(4 / delta) / 2 / n))
     best = int(((u + error) / p).argmin())
     return float(u[best] / p[best])
 
 
-def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The share of positives among the unlabelled, each half judged by a ranking that the other half taught."""
-    if min(len(positive), len(unlabelled)) < 4:
-        return 0.5
-    found = []
+def _half_rankings(positive: np.ndarray, moments: list[Moments], mean: np.ndarray, scale: np.ndarray) -> list[QualityModel]:
+    """For each half of the rows a ranking that it taught, with even odds."""
+    out = []
     for k in (0, 1):
-        ranking = fit_non_negative(positive[k::2], unlabelled[k::2], 0.5)
-        found.append(_least_ratio(ranking.scores(positive[1 - k :: 2]), ranking.scores(unlabelled[1 - k :: 2])))
-    return min(0.99, max(0.01, float(np.mean(found))))
+        taught = Moments.none()
+        taught.add(on_grid(positive[k::2], mean, scale))
+        w = non_negative_weights(taught, moments[k], 0.5)
+        out.append(QualityModel(mean, scale, w[:-1], float(w[-1]), 0.5))
+    return out
+
+
+def _over_rows(docs: DataFrame, condition: str, work: Callable[[Iterator[tuple[np.ndarray, np.ndarray]]], Iterator[tuple[int, np.ndarray]]]) -> dict[int, np.ndarray]:
+    """Sums by key of what `work` yields, (key, whole numbers), from each task's batches of (features, half) of the rows that `condition` admits.
+
+    Tasks yield a bounded number of rows, which are added by key on their way to the driver. Rows that repeat are in one half.
+    """
+    halves = docs.filter(condition).select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(2)).cast("int").alias("half"))
+    names = ["key", "v"]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = ((text_features(b), b.column("half").to_numpy()) for b in batches if b.num_rows)
+        for key, v in work(parts):
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([v.astype(np.int64).tobytes()], pa.binary())], names=names)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for key, v in zip(batch.column("key").to_pylist(), batch.column("v")):
+                row = np.frombuffer(v.as_buffer(), np.int64)
+                sums[key] = sums[key] + row if key in sums else row.copy()
+        for key, v in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([v.tobytes()], pa.binary())], names=names)
+
+    schema = "key int, v binary"
+    rows = halves.mapInArrow(lean(each), schema).repartition(shuffle_partitions(docs.sparkSession), "key").mapInArrow(lean(added), schema)
+    return {r["key"]: np.frombuffer(bytes(r["v"]), np.int64) for r in rows.collect()}
+
+
+def unlabelled_moments(docs: DataFrame, condition: str, mean: np.ndarray, scale: np.ndarray) -> list[Moments]:
+    """Moments of each half of all rows that the SQL condition admits; a row of the matrix is a key of its own, so that no task adds whole matrices of all others."""
+    width = FEATURES + 1
+
+    def work(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, np.ndarray]]:
+        held = [Moments.none(), Moments.none()]
+        for x, half in parts:
+            z = on_grid(x, mean, scale)
+            for k in (0, 1):
+                held[k].add(z[half == k])
+        for k, m in enumerate(held):
+            if m.n:
+                yield from ((k * width + i, row) for i, row in enumerate(m.sums))
+
+    rows, out = _over_rows(docs, condition, work), []
+    for k in (0, 1):
+        sums = np.array([rows.get(k * width + i, np.zeros(width, np.int64)) for i in range(width)])
+        out.append(Moments(int(sums[-1, -1]) // (GRID * GRID), sums))
+    return out
+
+
+def estimated_prior(docs: DataFrame, condition: str, positive: np.ndarray, rankings: list[QualityModel]) -> float:
+    """The share of positives among all rows that the condition admits, each half judged by the ranking that the other half taught."""
+    judged = [rankings[1 - k].scores(positive[k::2]) for k in (0, 1)]
+    cuts = [np.unique(s) for s in judged]
+
+    def work(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, np.ndarray]]:
+        counts = [np.zeros(len(c) + 1, np.int64) for c in cuts]
+        for x, half in parts:
+            for k in (0, 1):
+                counts[k] += np.bincount(np.searchsorted(cuts[k], rankings[1 - k].scores(x[half == k]), side="right"), minlength=len(cuts[k]) + 1)
+        yield from enumerate(counts)
+
+    counts = _over_rows(docs, condition, work)
+    found = [least_ratio(judged[k], counts[k]) for k in (0, 1) if k in counts and counts[k].sum()]
+    return min(0.99, max(0.01, float(np.mean(found)))) if found else 0.5
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, train: str = "true", sample: int = SAMPLE) -> QualityModel:
-    """Learn from the rows that the SQL condition `train` (on doc_id) admits."""
+    """Learn from the rows that the SQL condition `train` (on doc_id) admits: at most `sample` trusted positives, and all of `docs` as unlabelled."""
     spark = docs.sparkSession
     marked = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").filter(train).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    lowest = lambda df, salt: df.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(salt)), "doc_id").limit(sample)
-    ids = lowest(marked.filter("quality = 1"), 1).withColumn("kind", F.lit(1)).unionByName(lowest(docs.filter("doc_id IS NOT NULL").filter(train), 2).withColumn("kind", F.lit(0)))
-    ids = spark.createDataFrame(ids.collect(), "doc_id bigint, kind int")  # 2 * sample rows at most
+    trusted = marked.filter("quality = 1").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(sample)
+    ids = spark.createDataFrame(trusted.collect(), "doc_id bigint")  # `sample` rows at most
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("kind"), pa.array([x.tobytes() for x in text_features(batch)], pa.binary())], names=["doc_id", "kind", "x"])
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "kind").agg(F.min("text").alias("text")).mapInArrow(lean(features), "doc_id bigint, kind int, x binary")
-    got = sorted(((r["kind"], r["doc_id"], bytes(r["x"])) for r in rows.collect()))
-    p, u = (np.array([np.frombuffer(x, np.float32) for k, _, x in got if k == kind], np.float32).reshape(-1, FEATURES) for kind in (1, 0))
-    if not len(p) or not len(u):
-        return QualityModel(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), 0.0, 0.5)
-    return fit_non_negative(p, u, estimated_prior(p, u))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in text_features(batch)], pa.binary())], names=["doc_id", "x"])
+
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).mapInArrow(lean(features), "doc_id bigint, x binary")
+    got = sorted((r["doc_id"], bytes(r["x"])) for r in rows.collect())
+    p = np.array([np.frombuffer(x, np.float32) for _, x in got], np.float32).reshape(-1, FEATURES)
+    blank = QualityModel(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), 0.0, 0.5)
+    if not len(p):
+        return blank
+    mean, scale = p.mean(0, dtype=np.float64), p.std(0, dtype=np.float64) + LEAST_SCALE
+    halves = unlabelled_moments(docs, train, mean, scale)
+    prior = 0.5
+    if len(p) >= 4 and min(m.n for m in halves) >= 2:
+        prior = estimated_prior(docs, train, p, _half_rankings(p, halves, mean, scale))
+    taught = Moments.none()
+    taught.add(on_grid(p, mean, scale))
+    w = non_negative_weights(taught, halves[0] + halves[1], prior)
+    return QualityModel(mean, scale, w[:-1], float(w[-1]), prior)
 
 
 def score_quality(docs: DataFrame, model: QualityModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

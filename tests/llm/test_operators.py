@@ -271,13 +271,51 @@ def test_quality(spark):
     assert {r["score"] for r in quality.score_quality(docs, none).collect()} == {0.5}
 
 
-def test_quality_prior():
+def _risk(w, p, u, prior):
+    """The non-negative risk, row by row."""
+    g = lambda x: np.c_[x, np.ones(len(x))] @ w
+    bracket = ((1 + g(u)) ** 2).mean() / 4 - prior * ((1 + g(p)) ** 2).mean() / 4
+    return prior * ((1 - g(p)) ** 2).mean() / 4 + max(0.0, bracket), bracket
+
+
+@pytest.mark.parametrize("prior", [0.3, 0.6, 0.9])
+def test_quality_risk(prior):
+    """The weights from moments against small steps away from them on rows, and the bracket, which is not below zero."""
+    rng = np.random.default_rng(5)
+    draw = lambda n, at: quality.on_grid(rng.normal(at, 1, (n, quality.FEATURES)), 0.0, 1.0)
+    p, u = draw(500, 0.1), np.concatenate([draw(500, 0.1), draw(300, -0.1)])
+    sums = [quality.Moments.none(), quality.Moments.none()]
+    for m, x in zip(sums, (p, u), strict=True):
+        m.add(x[:100])
+        m.add(x[100:])
+    assert sums[1].n == 800 and (sums[1].sums[-1, :-1] == u.sum(0) * quality.GRID).all() and (sums[0].sums[:-1, :-1] == p.T @ p).all()
+    w = quality.non_negative_weights(*sums, prior, ridge=0.2)
+    full = lambda w: _risk(w, p / quality.GRID, u / quality.GRID, prior)[0] + 0.1 * (w[:-1] ** 2).sum()
+    assert _risk(w, p / quality.GRID, u / quality.GRID, prior)[1] > -1e-6
+    for _ in range(200):
+        step = rng.normal(0, 1, len(w))
+        assert full(w + 1e-3 * step / np.linalg.norm(step)) > full(w) - 1e-8
+
+
+def test_quality_prior(spark):
+    """The share of good texts among all, of which labels mark some; counts of scores against the scores themselves."""
     rng = np.random.default_rng(3)
-    for share in (0.2, 0.5, 0.9):
-        draw = lambda n, at: rng.normal(at, 1, (n, 6)).astype(np.float32)
-        unlabelled = np.concatenate([draw(int(4000 * share), 2), draw(4000 - int(4000 * share), -2)])
-        got = quality.estimated_prior(draw(4000, 2), unlabelled[rng.permutation(4000)])
-        assert abs(got - share) < 0.05
+    good = lambda: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(40))
+    for share in (0.3, 0.8):
+        rows = [(i, good() if i < 1500 * share else good().upper() + "!!") for i in range(1500)]
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+        labels = spark.createDataFrame([(i, 1) for i in range(0, int(1500 * share), 2)], "doc_id bigint, quality int")
+        model = quality.train_quality(docs, labels)
+        assert abs(model.prior - share) < 0.1
+        got = {r["doc_id"]: r["score"] for r in quality.score_quality(docs, model).collect()}
+        assert np.mean([(got[i] >= 0.5) == (i < 1500 * share) for i in got]) > 0.98
+    p, u = rng.normal(1, 1, 200), rng.normal(0, 1, 999)
+    cuts = np.unique(p)
+    counts = np.bincount(np.searchsorted(cuts, u, side="right"), minlength=len(cuts) + 1)
+    error = 1.01 * sum(np.sqrt(np.log(40) / 2 / n) for n in (200, 999))
+    pairs = [((u >= c).mean(), (p >= c).mean()) for c in cuts]
+    best = min(pairs, key=lambda x: (x[0] + error) / x[1])
+    assert quality.least_ratio(p, counts) == pytest.approx(best[0] / best[1])
 
 
 def test_quality_repeats(spark):
