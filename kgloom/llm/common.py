@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import inspect
@@ -155,6 +156,19 @@ def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], cach
     return task
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 2_000) -> Iterator[None]:
+    """What is written within it hands tasks Arrow batches of at most `rows` rows: JVM and worker each hold one. The session's own setting comes back after."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if int(before) <= 0 or int(before) > rows:
+        spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import CACHE, give_back, lean, shared_dir, shuffle_partitions
+from kgloom.llm.common import CACHE, give_back, lean, shared_dir, shuffle_partitions, small_batches
 from kgloom.llm.words import slices, utf8
 
 BLOCK = 256
@@ -265,14 +265,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
         if doc_ids:
             yield closed()
 
-    (
-        docs.select("doc_id", "text")
-        .repartitionByRange(shuffle_partitions(spark), "doc_id", F.left("text", F.lit(64)))  # bounds go to the driver, so only a beginning
-        .sortWithinPartitions("doc_id", "text")
-        .mapInArrow(lean(segments, "tokens"), "part int, place bigint, start bigint, n_ids bigint, segment binary")
-        .write.option("compression", "none")
-        .parquet(path)
-    )
+    in_order = docs.select("doc_id", "text").repartitionByRange(shuffle_partitions(spark), "doc_id", F.left("text", F.lit(64))).sortWithinPartitions("doc_id", "text")  # bounds go to the driver, so only a beginning
+    coded = in_order.mapInArrow(lean(segments, "tokens"), "part int, place bigint, start bigint, n_ids bigint, segment binary")
+    with small_batches(spark):
+        coded.write.option("compression", "none").parquet(path)
 
 
 def part_starts(spark: SparkSession, path: str) -> DataFrame:
