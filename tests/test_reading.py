@@ -110,3 +110,11 @@ def test_notes(spark):
     got = projections.refreshed_notes(old, left, spark.createDataFrame([("B",), ("C",), ("gone",)], "name string"))
     plain = lambda df: sorted(tuple(r) for r in df.select("name", "part", "note").collect())
     assert plain(got) == plain(projections.entity_notes(left))
+
+
+def test_words_of_sentences_are_no_rows(spark):
+    steps = spark.createDataFrame([("a", 0, "Old ACME sells, acmes do not"), ("a", 1, "acmes"), ("b", 0, "acme"), ("a", 2, None)], "doc string, step int, text string")
+    names = spark.createDataFrame([("a", 1, "Acme"), ("a", 1, "old acme"), ("a", 2, " "), ("b", 3, "sells")], "doc string, entity bigint, spelling string")
+    found = documents.scoped_mentions(steps, names)
+    assert [tuple(r) for r in found.collect()] == [("a", 0, 1)]
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
