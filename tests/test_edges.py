@@ -83,3 +83,17 @@ def test_judged_updates_nulls(spark):
     records = spark.createDataFrame([(1, "triple", 0, False, False, "unset", "")], "key long, kind string, revision int, reviewed boolean, included boolean, stance string, note string")
     rows = spark.createDataFrame([(1, None, True, True, "agree", ""), (2, 0, True, True, None, "")], schema)
     assert {r["key"]: r["outcome"] for r in judgments.judged_updates(rows, records).collect()} == {1: "stale", 2: "stance"}
+
+
+def test_revisions_of_edited_triples_alone(spark):
+    """All triples are compared by id and key; only an edited one's revision is made, and its ends are looked up once."""
+    entities = spark.createDataFrame([(1, "a", "Person"), (2, "b", "Person")], "id long, name string, type string")
+    triples = spark.createDataFrame([(7, 1, "knows", 2, "s", 0.5), (8, 2, "knows", 1, "s", 0.5)], "id long, subject_id long, predicate string, object_id long, source string, confidence double")
+    now = triples.select("id", editing.revision("id", "subject_id", "predicate", "object_id", "source", "confidence").alias("r"))
+    stamps = {r["id"]: r["r"] for r in now.collect()}
+    rows = [(7, stamps[7], False, 2, None, 1, None), (8, stamps[8], False, None, "hates", None, None), (9, "x", False, None, None, None, None)]
+    edits = spark.createDataFrame(rows, "id long, revision string, deleted boolean, to_subject long, to_predicate string, to_object long, to_confidence double")
+    classes, signatures = spark.createDataFrame([("Person", None)], "class string, parent string"), spark.createDataFrame([("knows", "Person", "Person")], "predicate string, domain string, range string")
+    out = editing.judged_triple_edits(edits, triples, entities, classes, signatures)
+    assert {r["id"]: r["outcome"] for r in out.collect()} == {7: "duplicate", 8: "relation", 9: "missing"}
+    assert "sha2" not in out._jdf.queryExecution().optimizedPlan().toString()
