@@ -5,6 +5,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from kgloom.operators import clips, editing, ingest, judgments, search, segments
+from kgloom.plans import editing as editing_plans
 
 CLASSES = [("Thing", None), ("Person", "Thing"), ("Work", "Thing"), ("Claim", "Work")]
 ENTITY = "id long, name string, norm_name string, type string, aliases array<string>, properties map<string,string>, sources array<string>, added_time string, manual boolean"
@@ -97,3 +98,10 @@ def test_revisions_of_edited_triples_alone(spark):
     out = editing.judged_triple_edits(edits, triples, entities, classes, signatures)
     assert {r["id"]: r["outcome"] for r in out.collect()} == {7: "duplicate", 8: "relation", 9: "missing"}
     assert "sha2" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_searched_entities_need_no_join(spark):
+    """An entity's aliases come from its own row, so that a search does not sort all entities to bring them together."""
+    named, aliases = editing_plans._named(spark, "/root/testdata/sf0.001")
+    assert "Join" not in named._jdf.queryExecution().optimizedPlan().toString()
+    assert aliases.count() == named.filter("size(aliases) = 1").count() > 0
