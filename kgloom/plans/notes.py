@@ -18,7 +18,7 @@ def _table(spark, sf_dir, name):
 
 
 def _named(spark, sf_dir):
-    return graph.with_names(G.triples(spark, sf_dir), G.entities(spark, sf_dir))
+    return G.named(spark, sf_dir)
 
 
 @query(", n AS (SELECT DISTINCT s.name AS s, predicate, o.name AS o FROM triples JOIN entities s ON s.id = subject_id JOIN entities o ON o.id = object_id) SELECT 'node' AS kind, name AS source, NULL AS predicate, NULL AS target, type FROM entities UNION ALL SELECT 'edge', s, predicate, o, NULL FROM n")
