@@ -14,9 +14,18 @@ STANCES = ("unset", "agree", "uncertain", "disagree")
 
 def triple_targets(named: DataFrame) -> DataFrame:
     """(key, kind, title, source) of named triples; another name or source gives another key, so that approval never moves on."""
-    parts = [F.lit("triple"), *(F.coalesce(F.col(c), F.lit("")) for c in ("subject", "predicate", "object", "source"))]
-    title = F.concat_ws(" ", "subject", "predicate", "object")
-    return named.select(F.sha2(F.concat_ws("\x1f", *parts).cast("binary"), 256).alias("key"), F.lit("triple").alias("kind"), title.alias("title"), "source").dropDuplicates(["key"])
+    names, none = ("subject", "predicate", "object"), (1 << 21) - 1
+    said = F.concat_ws("\x1f", F.lit("triple"), *(F.coalesce(c, F.lit("")) for c in (*names, "source"))).alias("said")
+    # What is said moves once, neither hashed nor doubled in a title; three lengths in a number, of a null `none`, tell its parts.
+    lengths = reduce(lambda all_, c: all_ * (none + 1) + F.coalesce(F.length(c), F.lit(none)), names, F.lit(0).cast("long"))
+    rows = named.groupBy(said).agg(F.min(lengths).alias("n"))
+    size = [F.shiftrightunsigned("n", 21 * (2 - i)).bitwiseAND(none).cast("int") for i in range(3)]
+    wide = [F.when(n == none, 0).otherwise(n) for n in size]
+    start = [F.lit(len("triple") + 2)]
+    for n in wide:
+        start.append(start[-1] + n + 1)
+    part = [F.when(n != none, F.substring("said", at, n)) for n, at in zip(size, start, strict=False)]
+    return rows.select(F.sha2(F.col("said").cast("binary"), 256).alias("key"), F.lit("triple").alias("kind"), F.concat_ws(" ", *part).alias("title"), F.substring("said", start[3], F.length("said")).alias("source"))
 
 
 def records(targets: DataFrame, saved: DataFrame, redirects: DataFrame) -> DataFrame:

@@ -1,6 +1,10 @@
 """Steps that were rewritten for large tables, against their plain forms."""
 
-from kgloom.operators import documents, graph
+import hashlib
+
+from pyspark.sql import functions as F
+
+from kgloom.operators import documents, graph, judgments
 
 NAMES = "id bigint, name string, type string"
 EDGES = "id bigint, subject_id bigint, predicate string, object_id bigint, source string"
@@ -34,3 +38,15 @@ def test_walk_in_arrays_and_rows(spark):
 def test_walk_moves_nothing(spark):
     docs = spark.createDataFrame([], "doc string, summary string, scope array<struct<id:bigint,name:string,type:string>>, edges array<struct<id:bigint,subject_id:bigint,predicate:string,object_id:bigint>>")
     assert "Exchange" not in documents.walked(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_targets_from_what_is_said(spark):
+    said = [("a", "b", "c", "s"), ("a", "b", "c", "s"), ("a", "b", "c", None), ("", "b", "c", "s"), (None, "b", "\U0001f600 é", "s"), ("x y", "b", "", "")]
+    got = judgments.triple_targets(spark.createDataFrame(said, "subject string, predicate string, object string, source string"))
+    key = lambda r: hashlib.sha256("\x1f".join(["triple", *(v or "" for v in r)]).encode()).hexdigest()
+    title = lambda r: " ".join(v for v in r[:3] if v is not None)
+    assert rows(got) == sorted({(key(r), "triple", title(r), r[3] or "") for r in said}, key=repr)
+    # The key is made of what moved, so that no hash is shuffled.
+    exchanges = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line]
+    assert exchanges and not any("key#" in line for line in exchanges)
+    assert got.agg(F.max(F.length("key"))).first()[0] == 64
