@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kgloom.operators.graph import with_names
+
 STANCED = ("claim", "triple")
 # The stances.
 STANCES = ("unset", "agree", "uncertain", "disagree")
@@ -96,11 +98,12 @@ def _json_text(text: Column) -> Column:
     return F.substring(inside, F.lit(2), F.length(inside) - 2)
 
 
-def targets(entities: DataFrame, triples: DataFrame) -> DataFrame:
+def targets(entities: DataFrame, triples: DataFrame, hubs: DataFrame | None = None) -> DataFrame:
     """(key, kind, target_id, title, sources, evidence) of all that can be judged: entities, claims and triples (id, subject_id, predicate, object_id, source, evidence).
 
     A key follows from what a target says (of a triple also source and quote), so that approval never moves on to other
     evidence. evidence: (source, quote), of an entity each pair of its triples once, in the order of their first triple.
+    Names of `hubs` (id) are broadcast.
     """
     kind = F.when(F.col("type") == "Claim", "claim").otherwise("entity")
     pairs = triples.filter("evidence <> ''").select(F.explode(F.array_distinct(F.array("subject_id", "object_id"))).alias("entity"), "id", "source", "evidence")
@@ -112,8 +115,7 @@ def targets(entities: DataFrame, triples: DataFrame) -> DataFrame:
     text = lambda c: F.col(c).cast("string")
     own = entities.join(quoted, "id", "left").withColumn("kind", kind)
     own = own.select(key(_json_text(F.col("kind")), text("id"), _json_text(F.col("name")), _json_text(F.col("type"))), "kind", F.col("id").alias("target_id"), F.col("name").alias("title"), "sources", F.coalesce("evidence", none).alias("evidence"))
-    ends = (entities.select(F.col("id").alias(f"{end}_id"), F.col("name").alias(end)) for end in ("subject", "object"))
-    named = reduce(lambda rows, end: rows.join(end, [c for c in end.columns if c.endswith("_id")]), ends, triples)
+    named = with_names(triples, entities, hubs)
     title = F.concat_ws(" \u2192 ", "subject", "predicate", "object")
     said = F.array(F.struct(F.coalesce("source", F.lit("")).alias("source"), F.coalesce("evidence", F.lit("")).alias("quote")))
     sources = F.filter(F.array("source"), lambda s: s != "")
