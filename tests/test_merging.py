@@ -151,3 +151,16 @@ def test_snapshots(spark, tmp_path):
     with pytest.raises(Exception):  # noqa: B017
         store.publish({"a": one, "b": one.select(F.udf(fails, "int")("id").alias("x"))}, "dies while it writes")
     assert store.version() == 2 and store.tables()["a"].count() == 2
+
+
+def test_what_was_archived_before_stays(spark):
+    """Relation 1 is in the archive already, once of its own and once of another: each pair of ids is there once, as it was first."""
+    state, none = state_of(spark), spark.createDataFrame([], "key string, kind string, target_id bigint")
+    first = spark.createDataFrame([(2, 1, (1, 1, "makes", 3, 0.1, "a", "older")), (1, 1, (1, 1, "makes", 3, 0.2, "a", "newer"))], state["triple_evidence"].schema)
+    changes = merging.merge_changes(state | {"triple_evidence": first}, merges_of(spark, (1, 2)), none)
+    new = {(r["triple_id"], r["original_id"]): r["original"]["evidence"] for r in changes["triple_evidence"][1].collect()}
+    assert new == {(2, 1): "older", (2, 2): "second quote", (3, 3): "x", (5, 5): "y"}
+    assert changes["triple_evidence"][1].count() == 4
+    # A relation is archived from its own row: no relation is looked up by its id again.
+    plan = changes["manual_triple_keys"][1]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("original_id") == 0
