@@ -118,3 +118,16 @@ def test_words_of_sentences_are_no_rows(spark):
     found = documents.scoped_mentions(steps, names)
     assert [tuple(r) for r in found.collect()] == [("a", 0, 1)]
     assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_library_counts_meet_once(spark):
+    """Names shared by several entities, ends that are null or no entities, a url of two, strangers: each row of a document moves once."""
+    contents = spark.createDataFrame([("d", "u", 1), ("e", "", 2), ("f", None, 0)], "id string, url string, rejections int")
+    none = {}
+    listed = [(1, "Node", "Article", ["d"], ["d"], none), (2, "Node", "Person", [], ["d", "e", "d"], none), (3, "Web", "Article", [], [], {"url": "u"}), (4, "Cee", "Claim", [], ["d", "e", "x"], none), (5, "Dee", "Person", ["e"], [], {"url": ""}), (6, "Web", "Thing", [], ["e"], {"url": "u"}), (7, None, "Person", ["e"], ["e"], none)]
+    entities = spark.createDataFrame(listed, "id bigint, name string, type string, aliases array<string>, sources array<string>, properties map<string,string>")
+    edges = [(10, 1, 4, "d"), (11, 4, 4, "d"), (12, 2, 6, "d"), (13, 6, 4, "d"), (14, 3, 3, "d"), (15, 99, 4, "d"), (16, None, 4, "e"), (17, 5, 7, "e"), (18, 2, 7, "e"), (19, 1, 2, "x"), (20, 2, 99, "f")]
+    triples = spark.createDataFrame([(i, s, "p", o, d) for i, s, o, d in edges], "id bigint, subject_id bigint, predicate string, object_id bigint, source string")
+    got = documents.library_counts(contents, entities, triples)
+    assert {r["doc"]: tuple(r)[1:] for r in got.collect()} == {"d": (0, 2, 1), "e": (3, 2, 2), "f": (1, 1, 0)}
+    assert got._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") <= 3
