@@ -50,3 +50,15 @@ def test_targets_from_what_is_said(spark):
     exchanges = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line]
     assert exchanges and not any("key#" in line for line in exchanges)
     assert got.agg(F.max(F.length("key"))).first()[0] == 64
+
+
+def test_hot_pieces_do_not_meet(spark):
+    """Pieces of many names find the same mentions as before, and only rarer ones move with their names."""
+    entities = spark.createDataFrame([(i, f"Order#{i}") for i in range(50)] + [(100, "Order"), (101, "order red"), (102, "red"), (103, "Red Order"), (104, "Éa"), (105, "#")], "id bigint, name string")
+    docs = spark.createDataFrame([(1, "order#7 and ORDER RED"), (2, "reds, order#77 #"), (3, "éa red order"), (4, None)], "doc_id bigint, text string")
+    want = [(1, 7), (1, 100), (1, 101), (1, 102), (2, 100), (2, 105), (3, 100), (3, 102), (3, 103), (3, 104)]
+    for least in (1, 3, 1000):
+        assert sorted(tuple(r) for r in documents.mentions(docs, entities, least).collect()) == want
+    # The counts of hot pieces are written, and joined by broadcast.
+    plan = documents.mentions(docs, entities, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LeftAnti" in plan
