@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgloom.functions.text import slug, srt_stamp
-from kgloom.store import checkpointed
+from kgloom.operators.graph import counted
+from kgloom.store import written
 
 #: Lines of a part of a note.
 PART_LINES = 1000
@@ -33,27 +34,31 @@ def edge_lines(named: DataFrame) -> DataFrame:
 def _parts(lines: DataFrame, part_lines: int) -> DataFrame:
     """(name, part, lines) of lines (name, id, line), by id, in parts of `part_lines`.
 
-    Lines are dealt by name and id, so that those of a hot name lie in many
-    slices; a line's number is its place in its slice and the count of the name's
-    lines in earlier ones.
+    A name with one part meets once. Lines of the others, which are few names, are dealt by name and id, so that those of a
+    hot name lie in many slices; a line's number is its place in its slice and the count of the name's lines in earlier ones.
     """
+    lines = written(lines.select("name", "id", "line"))
+    large = F.broadcast(written(lines.groupBy("name").agg(F.count("*").alias("n")).filter(F.col("n") > part_lines).select("name")))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "line"))), lambda x: x["line"]), "\n").alias("lines")
+    short = lines.join(large, "name", "left_anti").groupBy("name").agg(listed).select("name", F.lit(1).cast("long").alias("part"), "lines")
+    lines = lines.join(large, "name", "left_semi")
     slices = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = checkpointed(lines.repartitionByRange(slices, "name", "id", "line").withColumn("slice", F.spark_partition_id()))
+    dealt = written(lines.repartitionByRange(slices, "name", "id", "line").withColumn("slice", F.spark_partition_id()))
     earlier = F.sum("n").over(Window.partitionBy("name").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
     # Only the first name of a slice has lines in earlier ones, so this has a row for each slice at most.
     before = dealt.groupBy("name", "slice").agg(F.count("*").alias("n")).select("name", "slice", earlier.alias("before")).filter("before > 0")
     place = F.row_number().over(Window.partitionBy("name", "slice").orderBy("id", "line")) - 1 + F.coalesce("before", F.lit(0))
     parts = dealt.join(F.broadcast(before), ["name", "slice"], "left").select("name", "id", "line", (F.floor(place / part_lines) + 1).alias("part"))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("id", "line"))), lambda x: x["line"])
-    return parts.groupBy("name", "part").agg(F.array_join(listed, "\n").alias("lines"))
+    return short.unionByName(parts.groupBy("name", "part").agg(listed))
 
 
-def entity_notes(named: DataFrame, part_lines: int = PART_LINES) -> DataFrame:
-    """(name, part, note): a Markdown list of an entity's relations, outgoing and incoming, by triple id, in parts of `part_lines` lines. Parts from the second on have their number in the title."""
+def entity_notes(named: DataFrame, part_lines: int = PART_LINES, only: DataFrame | None = None) -> DataFrame:
+    """(name, part, note): a Markdown list of an entity's relations, outgoing and incoming, by triple id, in parts of `part_lines` lines. Parts from the second on have their number in the title. `only` (name): notes of these alone."""
     out = named.select(F.col("subject").alias("name"), "id", F.concat(F.lit("- "), "predicate", F.lit(" [["), "object", F.lit("]]")).alias("line"))
     back = named.select(F.col("object").alias("name"), "id", F.concat(F.lit("- [["), "subject", F.lit("]] "), "predicate").alias("line"))
     title = F.concat(F.lit("# "), "name", F.when(F.col("part") > 1, F.concat(F.lit(" ("), F.col("part").cast("string"), F.lit(")"))).otherwise(""), F.lit("\n\n"))
-    return _parts(out.unionByName(back), part_lines).select("name", "part", F.concat(title, "lines").alias("note"))
+    lines = out.unionByName(back)
+    return _parts(lines if only is None else lines.join(only, "name", "left_semi"), part_lines).select("name", "part", F.concat(title, "lines").alias("note"))
 
 
 def content_notes(contents: DataFrame, named: DataFrame, part_lines: int = PART_LINES) -> DataFrame:
@@ -117,8 +122,6 @@ def spliced(note: Column, lines: Column, renamed: list[tuple[str, str]] = ()) ->
 
 def refreshed_notes(notes: DataFrame, named: DataFrame, affected: DataFrame, part_lines: int = PART_LINES) -> DataFrame:
     """Entity notes (name, part, note) after a change: those of `affected` (name) are written again from all relations, the others stay."""
-    names = affected.select("name").distinct()
-    by = lambda rows, end, how: rows.join(names.withColumnRenamed("name", end), end, how).select(named.columns)
-    near = by(named, "subject", "left_semi").unionByName(by(by(named, "object", "left_semi"), "subject", "left_anti"))
-    again = entity_notes(near, part_lines).join(names, "name", "left_semi")
+    names = counted(written(affected.select("name").distinct()))
+    again = entity_notes(named, part_lines, names)
     return notes.join(names, "name", "left_anti").select("name", "part", "note").unionByName(again.select("name", "part", "note"))

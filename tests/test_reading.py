@@ -131,3 +131,15 @@ def test_library_counts_meet_once(spark):
     got = documents.library_counts(contents, entities, triples)
     assert {r["doc"]: tuple(r)[1:] for r in got.collect()} == {"d": (0, 2, 1), "e": (3, 2, 2), "f": (1, 1, 0)}
     assert got._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") <= 3
+
+
+def test_notes_of_one_part_move_once(spark):
+    """Names with as many lines as a part has, one more, and very many; no note is made of uncompressed rows."""
+    named = spark.createDataFrame([(i, "A", "p", f"o{i % 3}") for i in range(10)] + [(20 + i, "B", "p", "C") for i in range(4)] + [(30, "D", "p", "D")], "id bigint, subject string, predicate string, object string")
+    notes = projections.entity_notes(named, 4)
+    got = {(r["name"], r["part"]): r["note"].split("\n")[2:] for r in notes.collect()}
+    sizes = {key: len(lines) for key, lines in got.items()}
+    assert sizes == {("A", 1): 4, ("A", 2): 4, ("A", 3): 2, ("o0", 1): 4, ("o1", 1): 3, ("o2", 1): 3, ("B", 1): 4, ("C", 1): 4, ("D", 1): 2}
+    assert got["A", 2] == [f"- p [[o{i % 3}]]" for i in range(4, 8)] and got["D", 1] == ["- [[D]] p", "- p [[D]]"]
+    assert {r["name"] for r in projections.entity_notes(named, 4, spark.createDataFrame([("B",), ("none",)], "name string")).collect()} == {"B"}
+    assert "ExistingRDD" not in notes._jdf.queryExecution().executedPlan().toString()
