@@ -1,10 +1,15 @@
 """Steps that were rewritten for large tables, against their plain forms."""
 
 import hashlib
+import os
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from kgloom.operators import documents, graph, judgments
+from kgloom.plans import testgraph
 
 NAMES = "id bigint, name string, type string"
 EDGES = "id bigint, subject_id bigint, predicate string, object_id bigint, source string"
@@ -62,3 +67,48 @@ def test_hot_pieces_do_not_meet(spark):
     # The counts of hot pieces are written, and joined by broadcast.
     plan = documents.mentions(docs, entities, 3)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "LeftAnti" in plan
+
+
+def test_ids_beyond_64_bits(spark):
+    """Ids are the keys side by side while these fit, and follow the keys in any case."""
+    number = lambda o, n, p, s: ((o * 10 + n) * 1_000_000 + p) * 100_000 + s
+    schema = "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint"
+    ids = lambda keys: {tuple(r)[:4]: r["makes_id"] for r in testgraph.with_makes_id(spark.createDataFrame(keys, schema)).collect()}
+    fit = [(1, 1, 5, 7), (9_223_371, 7, 999_999, 99_999), (9_223_372, 0, 368_547, 75_807)]
+    assert ids(fit) == {k: number(*k) for k in fit} and number(*fit[-1]) == 2**63 - 1
+    far = [(9_223_372, 0, 368_547, 75_808), (9_223_372, 1, 3, 4), (9_223_372, 1, 3, 5), (54_000_000, 2, 7_200_000, 359_999), (54_000_000, 2, 7_200_000, 360_000), (54_000_000, 7, 1, 1)]
+    got = ids([*far, *fit, far[2]])
+    assert list(map(got.get, sorted(got))) == sorted(set(got.values())) and len(got) == 9 and max(got.values()) < 2**63
+    assert all(got[k] == number(*k) for k in fit[:2])
+    assert ids([]) == {}
+
+
+@pytest.fixture(scope="module")
+def far(tmp_path_factory):
+    """The smallest tables with keys as those of 360 times sf0.1, and some as they are."""
+    folder, base = tmp_path_factory.mktemp("far"), "/root/testdata/sf0.001"
+    for f in os.listdir(base):
+        os.symlink(f"{base}/{f}", folder / f) if f[:-8] not in ("orders", "lineitem") else None
+    con = duckdb.connect()
+    for table, key in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")):
+        con.execute(f"COPY (SELECT * REPLACE (CASE WHEN {key} % 3 = 0 THEN {key} ELSE {key} + 54000000 END AS {key}) FROM '{base}/{table}.parquet') TO '{folder}/{table}.parquet' (FORMAT parquet)")
+    # The same SQL, with keys wide enough for its ids.
+    for f in os.listdir(folder):
+        wide = "* REPLACE (l_orderkey::HUGEINT AS l_orderkey)" if f == "lineitem.parquet" else "*"
+        con.execute(f"CREATE VIEW {f[:-8]} AS SELECT {wide} FROM '{folder}/{f}'")
+    return str(folder), con
+
+
+@pytest.mark.parametrize("name", ["content_notes", "kg_ingest", "memory_baselines", "reading_steps", "rules_fire"])
+def test_queries_of_far_keys(spark, far, name):
+    folder, con = far
+    got = __spark_entry__.queries()[name](spark, folder)
+    columns = [c for c in got.columns if c != "ord"]
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({__spark_entry__.oracle_sql()[name]})").fetchall()
+    plain = lambda rows: sorted((tuple(map(str, r)) for r in rows))
+    assert plain(got.select(columns).collect()) == plain(want)
+
+
+@pytest.mark.parametrize("name", ["memory_all_targets", "merge_archive", "merge_undo", "notes_refreshed"])
+def test_far_keys_run(spark, far, name):
+    assert __spark_entry__.queries()[name](spark, far[0]).count() > 0
